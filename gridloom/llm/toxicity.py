@@ -37,7 +37,7 @@ TOXIC_BYTES, ORDINARY_BYTES = 1024, 65_536
 #: A toxic window stands in this share of the toxic training texts at least, and so many times its share of ordinary ones.
 LEAST_SHARE, LEAST_TEXTS, RATIO = 0.01, 3, 6.0
 WINDOW_BYTES = 48
-LEVEL = 3
+LEVEL = 9
 CARRIER = b" compression carrier of a window"
 THRESHOLDS = (2, 3, 4)
 TOP = (1, 3, 8)
