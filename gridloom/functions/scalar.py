@@ -120,7 +120,7 @@ def poly_rate(lr0: Column, step: Column, total: Column, power: float = 0.9) -> C
 
 def fixed(v: Column, digits: int = 4) -> Column:
     """A number with so many digits, or n/a for null and NaN."""
-    return F.when(v.isNull() | F.isnan(v), "n/a").otherwise(F.format_string(f"%.{digits}f", v))
+    return F.when(v.isNull() | F.isnan(v), "n/a").otherwise(F.format_string(f"%.{digits}f", F.bround(v, digits)))
 
 
 def bar(v: Column, width: int = 30) -> Column:

@@ -1 +1,4 @@
-"""Registered queries with their SQL counterparts."""
+"""Registered queries with their SQL counterparts; importing this registers all."""
+
+from . import aggregate_queries, match_queries, scalar_queries  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
