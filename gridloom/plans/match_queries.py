@@ -203,11 +203,11 @@ def surface_fraction(spark, sf):
 
 
 @query("contact_distance", "gt:l near:l mean:d least:d", f"""
-    WITH {VOX}, {INST_B}, {_BALL2.replace('range(-2, 3)', 'range(-3, 4)').replace('<= 4', '<= 9')}, i AS (SELECT z, y, x, gt FROM inst WHERE gt > 0),
+    WITH {VOX}, {INST_B}, {_BALL2}, i AS (SELECT z, y, x, gt FROM inst WHERE gt > 0),
     d AS (SELECT a.z, a.y, a.x, a.gt, min(sqrt(o.dz * o.dz + o.dy * o.dy + o.dx * o.dx)) AS d FROM i a, o JOIN i b ON b.z = a.z + o.dz AND b.y = a.y + o.dy AND b.x = a.x + o.dx WHERE a.gt <> b.gt AND {_A('a.gt')} = {_A('b.gt')} GROUP BY ALL)
     SELECT gt, count(*) AS near, avg(d) AS mean, min(d) AS least FROM d GROUP BY 1""")
 def contact_distance(spark, sf):
-    d = N.distance_to_other(X.instances_b(spark, sf), "gt", 3.0, same_anatomy).where("distance IS NOT NULL")
+    d = N.distance_to_other(X.instances_b(spark, sf), "gt", 2.0, same_anatomy).where("distance IS NOT NULL")
     return d.groupBy("gt").agg(F.count(F.lit(1)).alias("near"), F.avg("distance").alias("mean"), F.min("distance").alias("least"))
 
 
