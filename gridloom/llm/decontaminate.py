@@ -25,7 +25,7 @@ from .common import alnum_lut, scan_words, tune
 
 WINDOW = 10
 #: Bytes of benchmark text that one broadcast block carries, at most (one item may exceed it).
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 

@@ -1,6 +1,6 @@
 """Operator 3: mix sources to target weights on a low-discrepancy schedule. DataFrame functions only.
 
-Every source is cut into near-equal blocks of words over its documents in hash order. Slot i of the
+Every source is cut into near-equal blocks (sizes differ by a word at most) of words over its documents in hash order. Slot i of the
 schedule is the golden-ratio point frac((i + 1/2) * phi), mapped through the cumulative slot shares to
 a source; the k-th slot of a source takes its block k mod n_blocks. A document's taken words are its
 overlap with taken blocks, repeats counted.
@@ -77,11 +77,20 @@ def mix(docs: DataFrame) -> DataFrame:
     placed = _placed(sized, plan)
     hit = _block_range(placed)
     words = F.greatest(F.lit(0), F.least(F.col("stop"), F.col("block_stop")) - F.greatest(F.col("start"), F.col("block_start")))
-    spans = hit.withColumn("block", F.explode(F.sequence("first_block", "last_block"))).withColumn("block_start", F.expr("block * source_size div n_blocks")).withColumn("block_stop", F.expr("(block + 1) * source_size div n_blocks"))
+    # in doubles, as block times size may leave 64 bits; the same function gives a block's stop and the next one's start
+    start_of = lambda b: F.when(b >= F.col("n_blocks"), F.col("source_size")).otherwise(F.floor(b.cast("double") / F.col("n_blocks") * F.col("source_size")))
+    spans = hit.withColumn("block", F.explode(F.sequence("first_block", "last_block"))).withColumn("block_start", start_of(F.col("block"))).withColumn("block_stop", start_of(F.col("block") + 1))
     taken = spans.join(times, ["src", "block"], "left").groupBy("src", "bucket", "nth").agg(F.sum(words * F.coalesce("times", F.lit(0))).alias("taken"))
     return placed.join(taken, ["src", "bucket", "nth"], "left").select("doc_id", "source", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def _point(i: F.Column) -> F.Column:
+    """(i * STEP + RING / 2) mod RING, in halves of 16 bits so that no product leaves 64 bits."""
+    i = i % RING
+    high, low = F.floor(i / 65536).cast("long"), i % 65536
+    return (high * STEP % RING * 65536 + low * STEP + RING // 2) % RING
+
+
 def _times(spark, plan: DataFrame, n_slots: int) -> DataFrame:
     """How often each block is taken: (src, block, times).
 
@@ -90,7 +99,7 @@ def _times(spark, plan: DataFrame, n_slots: int) -> DataFrame:
     """
     cell = RING // 1024
     cells = plan.where("slots > 0").select("src", "n_blocks", "lo", "hi", F.explode(F.sequence((F.col("lo") / cell).cast("long"), F.least(F.lit(1023), (F.col("hi") / cell).cast("long")))).alias("cell"))
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), F.expr(f"(id % {RING} * {STEP} + {RING // 2}) % {RING}").alias("point")).withColumn("cell", F.expr(f"point div {cell}"))
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), _point(F.col("id")).alias("point")).withColumn("cell", F.expr(f"point div {cell}"))
     at = slots.join(small(cells), "cell").where("point >= lo AND point < hi").select("slot", "src", "n_blocks", F.expr(f"slot div {CHUNK}").alias("chunk"))
     before = at.groupBy("src", "chunk").count().withColumn("before", F.sum("count").over(Window.partitionBy("src").orderBy("chunk")) - F.col("count")).drop("count")
     ranked = at.withColumn("nth", F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")) - 1).join(before, ["src", "chunk"]).withColumn("rank", F.col("before") + F.col("nth"))
@@ -107,16 +116,20 @@ def _placed(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _block_range(placed: DataFrame) -> DataFrame:
-    """The blocks that may overlap [start, stop); block b is the words [b * size div n, (b + 1) * size div n) of the source."""
-    return placed.where("size > 0").withColumn("first_block", F.greatest(F.lit(0), F.expr("start * n_blocks div source_size") - 1)).withColumn("last_block", F.least(F.col("n_blocks") - 1, F.expr("(stop - 1) * n_blocks div source_size") + 1)).select("src", "bucket", "nth", "start", "stop", "source_size", "n_blocks", "first_block", "last_block")
+    """The blocks that may overlap [start, stop): those of its ends by proportion, and one more at either side for rounding."""
+    block_of = lambda p: F.floor(p.cast("double") / F.col("source_size") * F.col("n_blocks"))
+    ends = placed.where("size > 0").withColumn("first_block", F.greatest(F.lit(0), block_of(F.col("start")) - 1)).withColumn("last_block", F.least(F.col("n_blocks") - 1, block_of(F.col("stop")) + 1))
+    return ends.select("src", "bucket", "nth", "start", "stop", "source_size", "n_blocks", "first_block", "last_block")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: each row of docs appears round(taken / size) times (half up), with docs' own columns; a document
     without words stays once, as the mix says nothing about it."""
-    share = cut(mix(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "size", "taken"))
+    share = cut(mix(docs).select("doc_id", "text_hash", "size", "taken"))
     # rows that repeat in every used column share their copies: their sum is spread over them by the average
-    share = share.groupBy("_id", "_hash", "size").agg(F.avg("taken").alias("taken")).withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int"))
-    lookup = share.where("copies > 0").select("_id", "_hash", "copies")
-    out = docs.withColumn("_row_hash", F.xxhash64("doc_id", "text")).join(lookup, F.expr("doc_id <=> _id AND _row_hash = _hash"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[out[c] for c in docs.columns])
+    share = share.groupBy("doc_id", "text_hash", "size").agg(F.avg("taken").alias("taken")).withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int"))
+    lookup = share.where("copies > 0").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "copies")
+    # docs' columns by number, whatever their names
+    own = docs.select(*[docs[c].alias(f"in_{i}") for i, c in enumerate(docs.columns)], docs["doc_id"].alias("r_id"), F.xxhash64("doc_id", "text").alias("r_hash"))
+    out = own.join(lookup, F.expr("r_id <=> k_id AND r_hash = k_hash")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -11,7 +11,7 @@ texts are candidates if any group of the second agrees as well and their minhash
 3. Families (components of candidate links) gather their members' full sets. An exact prefix-filter
    join in each family gives the true links' spanning forest, and components of those are the result.
 
-Buckets and families of more than BLOCK members are split in blocks, and every pair of blocks is a task
+Buckets and families of more than BLOCK members (or of very long texts) are split in blocks, and every pair of blocks is a task
 of its own, so no task holds an unbounded group and no pair is lost. Links of a pair at the threshold
 itself are missed by the tables with a probability of about 0.001, of closer pairs with less; a
 component is lost only if all its paths are.
@@ -41,6 +41,8 @@ HASHES = 2 * GROUPS * TAKEN
 #: Candidates agree in so many minhashes at least: 4.4 standard deviations below the mean at the threshold.
 LEAST_AGREE = 30
 BLOCK = 2048
+#: Shingles of a family's block, about, so that families of very long texts get more and smaller blocks.
+BLOCK_SHINGLES = 4_000_000
 #: doc_id of a row that has none, inside.
 NO_ID = -(1 << 63)
 
@@ -211,11 +213,11 @@ def _family_pass(batches):
 
 
 def _in_blocks(rows: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
-    """rows with block numbers x <= y: a group of up to BLOCK rows is (0, 0); the rows of a larger one, dealt
-    to blocks by id, stand in each pair of blocks that has theirs. counts: keys and count, joined by the keys."""
-    joined = rows.join(counts, keys).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return joined.withColumn("other", other).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "own", "other", "count")
+    """rows with block numbers x <= y: a group of one block is (0, 0); the rows of a larger one, dealt to blocks by
+    id, stand in each pair of blocks that has theirs. counts: keys and the number of blocks, joined by the keys."""
+    joined = rows.join(counts, keys).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
+    return joined.withColumn("other", other).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "own", "other")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,14 +252,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # buckets by the groups of the first collection
     group = lambda i: F.substring("sig", 2 * TAKEN * i + 1, 2 * TAKEN)
     dealt = classes.select("id", "n", "sig", F.posexplode(F.array(*[group(i) for i in range(GROUPS)])).alias("part", "band"))
-    full = dealt.groupBy("part", "band").count().where("count > 1")
+    full = dealt.groupBy("part", "band").count().where("count > 1").select("part", "band", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     candidates = _in_blocks(dealt, ["part", "band"], full).repartition(parts, "part", "band", "x", "y").sortWithinPartitions("part", "band", "x", "y")
     families = components(candidates.mapInArrow(_bucket_pass, "node long, root long"))
 
     # the members' whole texts, by family
-    members = cut(families.select(F.col("node").alias("id"), F.col("comp").alias("family")).unionAll(families.select(F.col("comp").alias("id"), F.col("comp").alias("family")).distinct()))
-    sizes = members.groupBy("family").count()
-    placed = cut(_in_blocks(members, ["family"], sizes))
+    members = families.select(F.col("node").alias("id"), F.col("comp").alias("family")).unionAll(families.select(F.col("comp").alias("id"), F.col("comp").alias("family")).distinct())
+    members = cut(members.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id"))
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = cut(_in_blocks(members, ["family"], sizes).select("id", "family", "x", "y"))
     side = F.broadcast(placed) if placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else placed
     texts = ided.join(side, "id").repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
     own_links = classes.join(base.where("n > 0").select("digest", F.col("id").alias("other")), "digest").where("id <> other").select(F.col("other").alias("node"), F.col("id").alias("root")).distinct()
