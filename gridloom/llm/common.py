@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch carries to Python, so that very long texts stay within a worker's memory.
 ARROW_ROWS = 1000
+#: Bytes of such a batch, about, where Spark has the setting.
+ARROW_BYTES = 16 << 20
 #: A side is broadcast only if it was counted and has at most this many rows.
 BROADCAST_ROWS = 200_000
 
@@ -22,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -109,21 +112,52 @@ def utf8_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+#: Bytes of text scanned at once, about: the work arrays take some fifty times as much.
+SCAN_BYTES = 1 << 19
+
+
+def _pieces(data: np.ndarray, off: np.ndarray, sep: np.ndarray):
+    """(start, stop) of stretches of about SCAN_BYTES that cut no word: they end before a separator or a text's start."""
+    start, n = 0, len(data)
+    while start < n:
+        stop = min(start + SCAN_BYTES, n)
+        while stop < n:
+            ahead = np.flatnonzero(sep[data[stop : stop + SCAN_BYTES]])
+            head = off[min(np.searchsorted(off, stop), len(off) - 1)]
+            found = stop + ahead[0] if len(ahead) else min(stop + SCAN_BYTES, n)
+            if head <= found:
+                stop = max(int(head), stop)
+                break
+            stop = int(found)
+            if len(ahead):
+                break
+        yield start, stop
+        start = stop
+
+
 def scan_words(col: pa.Array, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of every text of the batch, in order, and the word offsets of each text (n + 1)."""
     data, off = utf8_buffers(col)
-    if not len(data):
+    hashes, starts, lower = [], [], lower_lut()
+    for a, b in _pieces(data, off, sep):
+        h, s = _scan(lower[data[a:b]], off[np.searchsorted(off, a) : np.searchsorted(off, b)] - a, sep)
+        hashes.append(h)
+        starts.append(s + a)
+    if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    data = lower_lut()[data]
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), off)
+
+
+def _scan(data: np.ndarray, heads: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of one stretch; a text's start (heads) begins a word of its own."""
     word = ~sep[data]
     before = np.empty_like(word)
     before[0] = False
     before[1:] = word[:-1]
-    heads = off[:-1]
-    before[heads[heads < len(data)]] = False
+    before[heads] = False
     start = np.flatnonzero(word & ~before)
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return np.zeros(0, np.uint64), start
     inside = np.flatnonzero(word)
     of = np.cumsum((word & ~before)[inside]) - 1
     at = inside - start[of]
@@ -131,5 +165,4 @@ def scan_words(col: pa.Array, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     long = at.max() + 1
     power = _POW if long <= len(_POW) else np.multiply.accumulate(np.concatenate(([_U64(1)], np.full(long, _STEP, np.uint64))))
     value *= power[at]
-    first = np.flatnonzero(at == 0)
-    return mix64(np.add.reduceat(value, first)), np.searchsorted(start, off)
+    return mix64(np.add.reduceat(value, np.flatnonzero(at == 0))), start

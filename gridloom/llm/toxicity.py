@@ -41,7 +41,7 @@ LEVEL = 9
 CARRIER = b" compression carrier of a window"
 THRESHOLDS = (2, 3, 4)
 TOP = (1, 3, 8)
-CACHE = 400_000
+CACHE = 250_000
 FEATURES = len(TOP) + 2 + len(THRESHOLDS)
 _WORD = re.compile(r"[^\W\d_]+")
 
