@@ -65,9 +65,9 @@ def mix(docs: DataFrame) -> DataFrame:
     targets = cut(source_targets(counted.select("src", "source_size")).join(counted.select(F.col("src").alias("s2"), "rows"), F.expr("src <=> s2")).drop("s2"))
     block = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK_WORDS)), F.col("total") / LEAST_SLOTS))
     plan = targets.withColumn("n_blocks", F.least(F.col("source_size"), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("source_size") / block))).cast("long"))
-    plan = plan.withColumn("slots", F.when(F.col("n_blocks") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0))
+    plan = plan.withColumn("slots", F.when(F.col("n_blocks") > 0, F.col("target") * F.col("n_blocks") / F.nullif(F.col("source_size"), F.lit(0))).otherwise(0.0))
     spread = Window.orderBy("src.missing", "src.name")
-    plan = plan.withColumn("upto", F.sum("slots").over(spread.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all_slots", F.sum("slots").over(Window.partitionBy())).withColumn("lo", (F.col("upto") - F.col("slots")) / F.col("all_slots") * RING).withColumn("hi", F.when(F.row_number().over(Window.orderBy(F.col("upto").desc(), F.col("src.missing").desc(), F.col("src.name").desc())) == 1, F.lit(float(RING))).otherwise(F.col("upto") / F.col("all_slots") * RING))
+    plan = plan.withColumn("upto", F.sum("slots").over(spread.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all_slots", F.nullif(F.sum("slots").over(Window.partitionBy()), F.lit(0.0))).withColumn("lo", (F.col("upto") - F.col("slots")) / F.col("all_slots") * RING).withColumn("hi", F.when(F.row_number().over(Window.orderBy(F.col("upto").desc(), F.col("src.missing").desc(), F.col("src.name").desc())) == 1, F.lit(float(RING))).otherwise(F.col("upto") / F.col("all_slots") * RING))
     # rows of a hash bucket: enough that neither a bucket nor the list of a source's buckets gets long
     plan = plan.withColumn("buckets", F.ceil(F.col("rows") / F.greatest(F.lit(128.0), F.sqrt("rows") / 4)).cast("long"))
     plan = cut(plan.select("src", "source_size", "target", "n_blocks", "slots", "lo", "hi", "buckets"))

@@ -15,7 +15,7 @@ hash order; the windows of whole texts of all rows are scored.
 Defined cases: a null or empty text has no windows and gets the calibration's score for none; windows
 that repeat in a text count once; a word over WINDOW_BYTES bytes is several windows; labels that repeat
 a doc_id count as toxic if one of them does, null labels not at all; without labelled rows of both kinds
-every score is the smoothed rate of toxic rows; an empty table gives no rows; other columns pass through
+every score is the smoothed rate of toxic rows, (toxic + 0.5) / (all + 2); an empty table gives no rows; other columns pass through
 `score_documents` and are no input of a score.
 """
 
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[b
     try:
         texts = counts.where(F.length("w") == 0).first()
         n_toxic, n_ordinary = (texts["toxic"], texts["ordinary"]) if texts else (0, 0)
-        rate = math.log((n_toxic + 1) / (n_ordinary + 1))
+        rate = math.log((n_toxic + 0.5) / (n_ordinary + 1.5))
         if not n_toxic or not n_ordinary:
             return CARRIER, CARRIER, np.array([rate] + [0.0] * FEATURES)
         least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * n_toxic))
