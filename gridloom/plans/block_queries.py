@@ -220,3 +220,16 @@ def skeleton_parts(spark, sf):
 @query("foreground_by_anatomy", "anatomy:l n:l", f"WITH {VOX}, {INST_B} SELECT CASE WHEN gt BETWEEN 1 AND 200 THEN (gt - 1) // 50 + 1 ELSE 0 END AS anatomy, count(*) AS n FROM inst GROUP BY 1")
 def foreground_by_anatomy(spark, sf):
     return X.instances_b(spark, sf).groupBy(anatomy_of(F.col("gt")).alias("anatomy")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("components_tiled", "parts:l largest:l voxels:l", f"""
+    WITH RECURSIVE {VOX}, m AS (SELECT z, y, x, z * 64 + y * 8 + x AS id FROM vox WHERE v > 0.15), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 AND b.z BETWEEN a.z - 1 AND a.z + 1),
+    r AS (SELECT id AS a, id AS root FROM m UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a), c AS (SELECT a AS id, min(root) AS root FROM r GROUP BY 1)
+    SELECT count(*) AS parts, max(n) AS largest, sum(n) AS voxels FROM (SELECT root, count(*) AS n FROM c GROUP BY 1)""")
+def components_tiled(spark, sf):
+    """The whole table as one volume, in tiles of 16 planes."""
+    from ..operators.graph import tiled_components
+
+    v = X.vox(spark, sf).select(F.lit(0).cast("long").alias("vol"), "z", "y", "x", (F.col("v") > 0.15).alias("m"))
+    n = tiled_components(v, "vol", "m", 16, (8, 8)).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.count(F.lit(1)).alias("parts"), F.max("n").alias("largest"), F.sum("n").alias("voxels"))

@@ -41,8 +41,8 @@ def case_presence(spark, sf):
     return c.groupBy("seg").agg(F.count_if(F.col("k") == 2).alias("complete"), F.count_if(F.col("k") < 2).alias("partial"))
 
 
-@query("optional_source", "id:l value:d origin:s", "SELECT p_partkey AS id, COALESCE(a, b, 0) AS value, CASE WHEN a IS NOT NULL THEN 'first' WHEN b IS NOT NULL THEN 'second' ELSE 'none' END AS origin FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END AS a, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS b FROM part)")
-def optional_source(spark, sf):
+@query("first_of_sources", "id:l value:d origin:s", "SELECT p_partkey AS id, COALESCE(a, b, 0) AS value, CASE WHEN a IS NOT NULL THEN 'first' WHEN b IS NOT NULL THEN 'second' ELSE 'none' END AS origin FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END AS a, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS b FROM part)")
+def first_of_sources(spark, sf):
     p = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice")).alias("a"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("double")).alias("b"))
     return p.select("id", F.coalesce("a", "b", F.lit(0.0)).alias("value"), F.when(F.col("a").isNotNull(), "first").when(F.col("b").isNotNull(), "second").otherwise("none").alias("origin"))
 

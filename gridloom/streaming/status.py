@@ -18,7 +18,8 @@ def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) ->
 
 def windowed_status(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, kind, n, mean, last): of each window and event type; works on streams and tables alike."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withWatermark("ts", late) if e.isStreaming else e
     return e.groupBy(F.window("ts", window).alias("w"), F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max_by("value", F.struct("ts", "event_id")).alias("last")).select(F.col("w.start").alias("start"), "kind", "n", "mean", "last")
 
 
