@@ -1,9 +1,11 @@
-"""What needs the cluster's shared folder: lineage cuts that survive lost executors."""
+"""What needs the cluster: lineage cuts in its shared folder that survive lost executors, and this package on its executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._gridloom_shared
 
 
+def ship(spark: SparkSession) -> None:
+    """Once a session, sends this package to the executors, where tasks import it; executors that start later fetch it too."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="gridloom-")), "gridloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("gridloom", os.path.relpath(path, here)))
+    sc.addPyFile(target)
+    sc._gridloom_shipped = True
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back."""
     spark = df.sparkSession

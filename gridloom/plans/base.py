@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 DIGITS = 6
@@ -29,6 +31,7 @@ def query(name: str, columns: str, sql: str | None = None):
 
     def wrap(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             df = f(spark, sf_dir)
             return df.select(*[(F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0) if t == "d" else F.col(c).cast(_TYPES[t][0])).alias(c) for c, t in spec])
 
