@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+from ..cluster import written as cut  # noqa: F401
+
 #: Rows an Arrow batch carries to Python, so that very long texts stay within a worker's memory.
 ARROW_ROWS = 1000
 #: Bytes of such a batch, about, where Spark has the setting.
@@ -23,28 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
+    """What operators with Python tasks need: this package on the executors, and batches of a bounded size."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset, as in tests) a local one."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf
-    if not hasattr(spark, "_gridloom_dir"):
-        spark._gridloom_dir = tempfile.mkdtemp(prefix="gridloom-")
-    return spark._gridloom_dir
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if df (already cut) counts at most `rows` rows; else leave the join to the planner and AQE."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

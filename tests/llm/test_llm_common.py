@@ -42,7 +42,6 @@ def test_sliced_arrays():
 def test_cut_reads_back_the_rows(spark):
     df = spark.range(10)
     assert sorted(r[0] for r in C.cut(df).collect()) == list(range(10))
-    assert C.shared_dir(spark) == C.shared_dir(spark)
 
 
 def test_small_is_a_hint_only_below_the_bound(spark):
