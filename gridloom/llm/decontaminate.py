@@ -171,3 +171,18 @@ def _finish(batches):
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the contaminated ones."""
     return mark(docs, benchmark, window).where("NOT contaminated").select(*docs.columns)
+
+
+def oracle_sql() -> str:
+    """The contract's columns of every document in DuckDB SQL, by comparing windows as texts."""
+    words = r"COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+    return f"""
+        WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+        g AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS m, array_to_string(w[i:i + least(len(w), {WINDOW}) - 1], ' ') AS k FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM b WHERE len(w) > 0)),
+        p AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM g) WHERE len(w) >= m),
+        h AS (SELECT DISTINCT p.doc_id, p.i, p.m, g.item FROM p JOIN g ON g.m = p.m AND g.k = array_to_string(p.w[p.i:p.i + p.m - 1], ' ')),
+        n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS q FROM h) GROUP BY 1),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id"""

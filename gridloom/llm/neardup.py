@@ -283,3 +283,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     several = left.join(repeated, "doc_id", "left_semi")
     one = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("row")).select("row.*")
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
+def oracle_sql() -> str:
+    """The result in DuckDB SQL, by joining all shingles; for small tables."""
+    words = r"COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [])"
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON b.k = a.k AND b.doc_id <> a.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+        r AS (SELECT doc_id AS a, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a),
+        m AS (SELECT a AS doc_id, min(root) AS component_id FROM r GROUP BY 1)
+        SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""

@@ -208,3 +208,19 @@ def test_odd_decontamination(odd, none, spark):
     assert hit == {6, 7, 8} and {r["n_hit"] for r in out.where("doc_id = 8").collect()} == {200_000}
     assert sorted((r["doc_id"] or 0) for r in decontaminate.clean(odd, bench).collect()) == [0, 1, 2, 3, 4, 5, 9, 10]
     assert decontaminate.clean(odd, bench.limit(0)).count() == len(odd_rows()) and decontaminate.clean(none, bench).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op6_sharding", "op7_decontamination", "op8_minhash"])
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    from gridloom.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    cur = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in cur.description]
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(cur.fetchall())
