@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over `documents`, each a Parquet table that the next one reads.
 
 1. toxicity: documents predicted toxic go.
-2. near_dedup: one document of each near-duplicate component stays.
+2. near_dedup: one document of each near-duplicate component (five-word shingles, a similarity of 0.8 or more) stays.
 3. decontamination: documents with a window of a benchmark item go.
 4. mixing: documents stand as often as the mix takes them (none to three times).
 5. sharding: each document gets its slot and shard.

@@ -1,7 +1,6 @@
 """Operator 8: near-duplicates by MinHash with tensored banding, verified on full shingle sets.
 
-Two collections of GROUPS groups of minhashes stand for a text: 2 * GROUPS * TAKEN minhashes make
-GROUPS * GROUPS table keys, one for each pair (a group of the first, a group of the second). The pairs
+Two collections of g groups of t minhashes stand for a text: 2 * g * t minhashes make g * g table keys, one for each pair (a group of the first, a group of the second). The pairs
 are formed inside buckets: texts are dealt by a group of the first collection, and within a bucket two
 texts are candidates if any group of the second agrees as well and their minhashes agree often enough.
 
@@ -13,7 +12,8 @@ texts are candidates if any group of the second agrees as well and their minhash
 
 Buckets and families of more than BLOCK members (or of very long texts) are split in blocks, and every pair of blocks is a task
 of its own, so no task holds an unbounded group and no pair is lost. Links of a pair at the threshold
-itself are missed by the tables with a probability of about 0.001, of closer pairs with less; a
+itself are missed by the tables with a probability of about 0.001 at 85 percent and 0.0004 at 80 (which has
+more groups), closer pairs with less; a
 component is lost only if all its paths are.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; a text of
@@ -25,6 +25,8 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,24 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, cut, mix64, partitions, scan_words, space_lut, tune
 
 SHINGLE = 5
-#: Links have PERCENT * union <= 100 * intersection.
-PERCENT = 85
-GROUPS, TAKEN = 8, 3
-HASHES = 2 * GROUPS * TAKEN
-#: Candidates agree in so many minhashes at least: 4.4 standard deviations below the mean at the threshold.
-LEAST_AGREE = 30
+
+
+class Setting(NamedTuple):
+    """Links have percent * union <= 100 * intersection. Each collection has so many groups of taken minhashes; candidates
+    agree in least_agree of all minhashes (4.4 standard deviations below the mean at the threshold)."""
+
+    percent: int
+    groups: int
+    taken: int
+    least_agree: int
+
+    @property
+    def hashes(self) -> int:
+        return 2 * self.groups * self.taken
+
+
+AT_85 = Setting(85, 8, 3, 30)
+AT_80 = Setting(80, 12, 3, 42)
 BLOCK = 2048
 #: Shingles of a family's block, about, so that families of very long texts get more and smaller blocks.
 BLOCK_SHINGLES = 4_000_000
@@ -47,8 +61,9 @@ BLOCK_SHINGLES = 4_000_000
 NO_ID = -(1 << 63)
 
 _rng = np.random.Generator(np.random.PCG64(8_675_309))
-_A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_MOST = 128
+_A = _rng.integers(1, 1 << 63, _MOST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, _MOST, dtype=np.uint64)
 _C = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -71,24 +86,27 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """HASHES minhashes of 16 bits."""
-    best = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+def signature(s: np.ndarray, hashes: int = AT_85.hashes) -> np.ndarray:
+    """So many minhashes of 16 bits."""
+    best = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 2048):
-        x = s[at : at + 2048, None] * _A + _B
+        x = s[at : at + 2048, None] * _A[:hashes] + _B[:hashes]
         x ^= x >> np.uint64(32)
         np.minimum(best, x.min(axis=0), out=best)
     return (mix64(best) >> np.uint64(48)).astype(np.uint16)
 
 
-def _describe(batches):
-    for batch in batches:
-        sets = shingle_sets(batch.column(1))
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-            pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-        ], names=["id", "n", "digest", "sig"])
+def _describe(hashes: int) -> Callable:
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column(1))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array([signature(s, hashes).tobytes() if len(s) else None for s in sets], pa.binary()),
+            ], names=["id", "n", "digest", "sig"])
+
+    return run
 
 
 class _Forest:
@@ -135,33 +153,36 @@ def _edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for _, b in edges], pa.int64()), pa.array([a for a, _ in edges], pa.int64())], names=["node", "root"])
 
 
-def bucket_edges(ids: list[int], sizes: list[int], sigs: list[bytes]) -> list[tuple[int, int]]:
+def bucket_edges(ids: list[int], sizes: list[int], sigs: list[bytes], how: Setting = AT_85) -> list[tuple[int, int]]:
     """A spanning forest of a bucket's candidate links, as (smaller root, node)."""
     order = sorted(range(len(ids)), key=lambda i: ids[i])
     ids, n = [ids[i] for i in order], np.array([sizes[i] for i in order])
-    s = np.frombuffer(b"".join(sigs[i] for i in order), np.uint16).reshape(len(ids), HASHES)
-    second = s[:, HASHES // 2 :].reshape(len(ids), GROUPS, TAKEN)
+    s = np.frombuffer(b"".join(sigs[i] for i in order), np.uint16).reshape(len(ids), how.hashes)
+    second = s[:, how.hashes // 2 :].reshape(len(ids), how.groups, how.taken)
     forest = _Forest(len(ids))
     for i in range(1, len(ids)):
-        apart = np.minimum(n[:i], n[i]) * 100 >= PERCENT * np.maximum(n[:i], n[i])
-        near = np.flatnonzero(apart & ((s[:i] == s[i]).sum(1) >= LEAST_AGREE))
+        apart = np.minimum(n[:i], n[i]) * 100 >= how.percent * np.maximum(n[:i], n[i])
+        near = np.flatnonzero(apart & ((s[:i] == s[i]).sum(1) >= how.least_agree))
         if len(near):
             for j in near[(second[near] == second[i]).all(2).any(1)].tolist():
                 forest.join(i, j)
     return [(ids[r], ids[i]) for i in range(len(ids)) if (r := forest.root(i)) != i]
 
 
-def _bucket_pass(batches):
-    out: list[tuple[int, int]] = []
-    for ids, sizes, sigs in _groups_of_runs(batches, ["part", "band", "x", "y"], ["id", "n", "sig"]):
-        out += bucket_edges(ids, sizes, sigs)
-        if len(out) > 50_000:
-            yield _edges_batch(out)
-            out = []
-    yield _edges_batch(out)
+def _bucket_pass(how: Setting) -> Callable:
+    def run(batches):
+        out: list[tuple[int, int]] = []
+        for ids, sizes, sigs in _groups_of_runs(batches, ["part", "band", "x", "y"], ["id", "n", "sig"]):
+            out += bucket_edges(ids, sizes, sigs, how)
+            if len(out) > 50_000:
+                yield _edges_batch(out)
+                out = []
+        yield _edges_batch(out)
 
+    return run
 
-def family_edges(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+
+def family_edges(ids: list[int], sets: list[np.ndarray], percent: int = AT_85.percent) -> list[tuple[int, int]]:
     """A spanning forest of the true links, exactly: texts by growing size, each looked up by its rarest shingles."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -195,21 +216,23 @@ def family_edges(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT)
     return [(ids[r], ids[i]) for i, r in links.items() if ids[r] != ids[i]]
 
 
-def _family_pass(batches):
-    out: list[tuple[int, int]] = []
-
-    def with_sets():
+def _family_pass(how: Setting) -> Callable:
+    def with_sets(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")))
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in ("family", "x", "y", "id")]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in sets], pa.binary())], names=["family", "x", "y", "id", "set"])
 
-    for ids, sets in _groups_of_runs(with_sets(), ["family", "x", "y"], ["id", "set"]):
-        out += family_edges(ids, [np.frombuffer(s, np.uint64) for s in sets])
-        if len(out) > 50_000:
-            yield _edges_batch(out)
-            out = []
-    yield _edges_batch(out)
+    def run(batches):
+        out: list[tuple[int, int]] = []
+        for ids, sets in _groups_of_runs(with_sets(batches), ["family", "x", "y"], ["id", "set"]):
+            out += family_edges(ids, [np.frombuffer(s, np.uint64) for s in sets], how.percent)
+            if len(out) > 50_000:
+                yield _edges_batch(out)
+                out = []
+        yield _edges_batch(out)
+
+    return run
 
 
 def _in_blocks(rows: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
@@ -240,21 +263,21 @@ def components(edges: DataFrame) -> DataFrame:
         edges = nxt
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, how: Setting = AT_85) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_shingles, component_id, kept)."""
     spark = docs.sparkSession
     tune(spark)
     parts = partitions(spark)
     ided = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    base = cut(ided.mapInArrow(_describe, "id long, n long, digest binary, sig binary"))
+    base = cut(ided.mapInArrow(_describe(how.hashes), "id long, n long, digest binary, sig binary"))
     classes = cut(base.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     # buckets by the groups of the first collection
-    group = lambda i: F.substring("sig", 2 * TAKEN * i + 1, 2 * TAKEN)
-    dealt = classes.select("id", "n", "sig", F.posexplode(F.array(*[group(i) for i in range(GROUPS)])).alias("part", "band"))
+    group = lambda i: F.substring("sig", 2 * how.taken * i + 1, 2 * how.taken)
+    dealt = classes.select("id", "n", "sig", F.posexplode(F.array(*[group(i) for i in range(how.groups)])).alias("part", "band"))
     full = dealt.groupBy("part", "band").count().where("count > 1").select("part", "band", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     candidates = _in_blocks(dealt, ["part", "band"], full).repartition(parts, "part", "band", "x", "y").sortWithinPartitions("part", "band", "x", "y")
-    families = components(candidates.mapInArrow(_bucket_pass, "node long, root long"))
+    families = components(candidates.mapInArrow(_bucket_pass(how), "node long, root long"))
 
     # the members' whole texts, by family
     members = families.select(F.col("node").alias("id"), F.col("comp").alias("family")).unionAll(families.select(F.col("comp").alias("id"), F.col("comp").alias("family")).distinct())
@@ -264,7 +287,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     side = F.broadcast(placed) if placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else placed
     texts = ided.join(side, "id").repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
     own_links = classes.join(base.where("n > 0").select("digest", F.col("id").alias("other")), "digest").where("id <> other").select(F.col("other").alias("node"), F.col("id").alias("root")).distinct()
-    links = texts.mapInArrow(_family_pass, "node long, root long").unionAll(own_links)
+    links = texts.mapInArrow(_family_pass(how), "node long, root long").unionAll(own_links)
     comps = cut(components(links))
     comp = F.broadcast(comps) if comps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else comps
     found = base.select("id", "n").join(comp, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))
@@ -272,9 +295,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, how: Setting = AT_80) -> DataFrame:
     """docs with one row of each component: the first row of its smallest doc_id. Rows without a doc_id are kept, as nothing tells them apart."""
-    gone = cut(near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    gone = cut(near_duplicates(docs, how).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
     side = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
     left = docs.join(side, "doc_id", "left_anti")
     repeated = cut(left.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))

@@ -18,7 +18,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def components(rows):
+def components(rows, percent=85):
     """(doc_id, text) to {doc_id: smallest reachable}, by comparing all pairs of distinct sets."""
     up = {i: i for i, _ in rows}
 
@@ -39,7 +39,7 @@ def components(rows):
     keys = list(sets)
     for k, a in enumerate(keys):
         for b in keys[:k]:
-            if min(len(a), len(b)) * 100 >= 85 * max(len(a), len(b)) and 100 * len(a & b) >= 85 * len(a | b):
+            if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
                 x, y = sorted((root(sets[a][0]), root(sets[b][0])))
                 up[y] = x
     return {i: root(i) for i, _ in rows}
@@ -82,6 +82,14 @@ def test_planted_copies_and_chains(spark):
     check(spark, planted(5))
 
 
+def test_looser_setting_keeps_one_of_each_group(spark):
+    rows = planted(11)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    want = set(components(rows, 80).values())
+    assert {r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect()} == want
+    assert {r["doc_id"] for r in neardup.drop_near_duplicates(docs, neardup.AT_85).collect()} == set(components(rows).values())
+
+
 def test_large_groups_in_blocks(spark, monkeypatch):
     """With blocks of a few members every group is split, and nothing is lost."""
     monkeypatch.setattr(neardup, "BLOCK", 4)

@@ -174,7 +174,7 @@ def test_stages_in_order(spark, sf):
             from .test_dedup_decontamination import components
 
             rows = [tuple(r) for r in before.select("doc_id", "text").collect()]
-            assert now == set(components(rows).values())
+            assert now == set(components(rows, 80).values())
         ids = now
     assert {"slot", "shard"} <= set(docs.columns)
     assert P.run(spark, sf).count() == docs.count()
