@@ -38,6 +38,34 @@ def partitions(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def first_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows of df, the first in the order of the key's hash: alike in reruns.
+
+    On large tables a bound on the hash, set for twice as many rows, goes before the sort, so that no task
+    gathers the first rows of all others.
+    """
+    h = F.xxhash64(key)
+    n = df.count()
+    if n > 4 * rows:
+        df = df.where(h <= -(1 << 63) + int((1 << 64) * 2 * rows / n))
+    return df.orderBy(h, *df.columns).limit(rows)
+
+
+def most_counted(df: DataFrame, count: str, rows: int) -> DataFrame:
+    """At most `rows` rows of df, those of the largest counts (to a sixteenth of a power of two), ties in or out together.
+
+    A histogram of at most a thousand bins gives the bound; nothing is sorted or gathered.
+    """
+    bin_ = F.floor(F.log2(F.greatest(F.col(count), F.lit(1)).cast("double")) * 16)
+    left, bound = rows, None
+    for r in sorted(df.groupBy(bin_.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
+        if r["count"] > left:
+            break
+        left -= r["count"]
+        bound = r["bin"]
+    return df.where(bin_ >= bound if bound is not None else F.lit(False))
+
+
 # ---------------------------------------------------------------- words of a whole Arrow batch
 
 _U64 = np.uint64

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import cut, most_counted, tune
 
 MODEL = "piece_bpe_32k.model"
 #: Entries of the broadcast table; distinct pre-tokens a task counts before it drops the rarest; those it reports.
@@ -81,8 +81,8 @@ def frequent_units(docs: DataFrame, entries: int = TABLE_ENTRIES) -> list[str]:
         top = [(u, n) for u, n in seen.most_common(TASK_REPORTED) if n > 1 and len(u) <= CACHE_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["unit", "n"])
 
-    found = docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return [r["unit"] for r in found.orderBy(F.desc("n"), "unit").limit(entries).collect()]
+    found = cut(docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
+    return [r["unit"] for r in most_counted(found, "n", entries).select("unit").collect()]
 
 
 def count_tokens(docs: DataFrame, model_path: str | None = None, over: int = OVER, entries: int = TABLE_ENTRIES) -> DataFrame:

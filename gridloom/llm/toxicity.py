@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import first_by_hash, most_counted, tune
 
 TRAIN_ROWS = 12_000
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 65_536
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[b
     """(toxic dictionary, ordinary dictionary, weights)."""
     tune(docs.sparkSession)
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = first_by_hash(told, "doc_id", rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def count(batches):
@@ -147,9 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[b
             return CARRIER, CARRIER, np.array([rate] + [0.0] * FEATURES)
         least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * n_toxic))
         marks = counts.where((F.length("w") > 4) & (F.col("toxic") >= least) & (F.col("toxic") / n_toxic > RATIO * (F.col("ordinary") + 0.2) / n_ordinary))
-        toxic = _dictionary([bytes(r["w"]) for r in marks.orderBy(F.desc("toxic"), "w").limit(TOXIC_BYTES).collect()], TOXIC_BYTES)
-        common = counts.where((F.length("w") > 0) & (F.col("ordinary") > 0)).orderBy(F.desc("ordinary"), "w").limit(ORDINARY_BYTES // 4)
-        ordinary = _dictionary([bytes(r["w"]) for r in common.collect()], ORDINARY_BYTES)
+        ranked = lambda df, n, most: [bytes(r["w"]) for r in sorted(most_counted(df, n, most).select("w", n).collect(), key=lambda r: (-r[n], bytes(r["w"])))]
+        toxic = _dictionary(ranked(marks, "toxic", TOXIC_BYTES), TOXIC_BYTES)
+        ordinary = _dictionary(ranked(counts.where((F.length("w") > 0) & (F.col("ordinary") > 0)), "ordinary", ORDINARY_BYTES // 2), ORDINARY_BYTES)
     finally:
         counts.unpersist()
 

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, first_by_hash, small
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -79,8 +79,8 @@ def judge(pages: DataFrame, rules=RULES, train_rows: int = TRAIN_ROWS) -> DataFr
     """pages (page_id, url) to (page_id, host, path, rule, verdict, block_score)."""
     spark = pages.sparkSession
     base = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("hit", rule_column(F.col("host"), F.col("path"), rules))
-    told = features(base).where("hit IS NOT NULL").withColumn("label", (F.col("hit.verdict") == "block").cast("double"))
-    sample = cut(told.orderBy(F.xxhash64("url"), "url", "page_id").limit(train_rows))
+    told = first_by_hash(base.where("hit IS NOT NULL").select("url", "page_id", "host", "path", (F.col("hit.verdict") == "block").cast("double").alias("label")), "url", train_rows)
+    sample = cut(features(told))
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     labelled = sum(counts.values())
     prior = (counts.get(1.0, 0) + 1) / (labelled + 2)

@@ -47,3 +47,20 @@ def test_cut_reads_back_the_rows(spark):
 def test_small_is_a_hint_only_below_the_bound(spark):
     plan = lambda d: d._jdf.queryExecution().logical().toString()
     assert "hint" in plan(C.small(spark.range(3), 5)).lower() and "hint" not in plan(C.small(spark.range(9), 5)).lower()
+
+
+def test_first_by_hash_is_the_sorted_head(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 AS other")
+    order = [r["id"] for r in df.orderBy(C.F.xxhash64("id"), "id").collect()]
+    for rows in (10, 200, 4000, 9000):
+        assert [r["id"] for r in C.first_by_hash(df, "id", rows).collect()] == order[:rows]
+    assert C.first_by_hash(df.limit(0), "id", 5).collect() == []
+    # one key in all rows: as many as are asked for, or none
+    assert C.first_by_hash(spark.range(100).selectExpr("1 AS k", "id"), "k", 5).count() in (0, 5)
+
+
+def test_most_counted_takes_whole_ties(spark):
+    df = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate([1000, 500, 500, 8, 8, 8, 1, 1, 1, 1])], "w string, n long")
+    got = lambda k: sorted(r["n"] for r in C.most_counted(df, "n", k).collect())
+    assert got(0) == [] and got(1) == [1000] and got(2) == [1000] and got(3) == [500, 500, 1000] and got(5) == [500, 500, 1000] and len(got(6)) == 6 and len(got(100)) == 10
+    assert C.most_counted(df.limit(0), "n", 3).collect() == []
