@@ -154,10 +154,10 @@ def bbox_by_label(spark, sf):
     return N.label_boxes(X.instances_b(spark, sf), "gt")
 
 
-@query("relabel_dense", "part:l compact:l n:l", "SELECT part, dense_rank() OVER (ORDER BY part) AS compact, n FROM (SELECT l_partkey AS part, count(*) AS n FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)")
+@query("relabel_dense", "part:l compact:l n:l", "SELECT part, dense_rank() OVER (ORDER BY part) AS compact, n FROM (SELECT l_partkey * 3 + l_linenumber % 2 AS part, count(*) AS n FROM lineitem GROUP BY 1)")
 def relabel_dense(spark, sf):
     # distinct ids first: the ranking window sees one row an id
-    ids = load(spark, sf, "lineitem").where("l_partkey % 3 <> 0").groupBy(F.col("l_partkey").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    ids = load(spark, sf, "lineitem").groupBy((F.col("l_partkey") * 3 + F.col("l_linenumber") % 2).alias("part")).agg(F.count(F.lit(1)).alias("n"))
     return ids.withColumn("compact", F.dense_rank().over(Window.orderBy("part")))
 
 

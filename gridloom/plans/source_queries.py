@@ -75,9 +75,9 @@ def report_json(spark, sf):
     return load(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.to_json(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))).alias("payload"))
 
 
-@query("evals_ranked", "event_id:l k:l rank:l", "SELECT event_id, k, row_number() OVER (ORDER BY COALESCE(k, -1) DESC, event_id) AS rank FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('click', 'view')) WHERE k IS NOT NULL")
+@query("evals_ranked", "event_id:l k:l rank:l", "SELECT event_id, k, row_number() OVER (ORDER BY COALESCE(k, -1) DESC, event_id) AS rank FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k IS NOT NULL")
 def evals_ranked(spark, sf):
-    e = load(spark, sf, "events").where(F.col("event_type").isin("click", "view")).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k IS NOT NULL")
+    e = load(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k IS NOT NULL")
     return e.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("k"), "event_id")))
 
 
@@ -135,9 +135,9 @@ def missing_context(spark, sf):
     return load(spark, sf, "orders").join(cache, "o_custkey", "left_anti").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("weight_paths", "dataset:l fold:s kind:s mb:d", "SELECT o_custkey % 3 + 537 AS dataset, CAST(o_orderkey % 5 AS VARCHAR) AS fold, 'best' AS kind, round_even(o_orderkey * 1000 / 1048576.0, 2) AS mb FROM orders WHERE o_orderkey % 10 = 0")
+@query("weight_paths", "dataset:l fold:s kind:s mb:d", "SELECT o_custkey % 3 + 537 AS dataset, CAST(o_orderkey % 5 AS VARCHAR) AS fold, 'best' AS kind, round_even(o_orderkey * 1000 / 1048576.0, 2) AS mb FROM orders")
 def weight_paths(spark, sf):
-    o = load(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.format_string("/results/Dataset%d_x/run/fold_%d/checkpoint_best.pth", F.col("o_custkey") % 3 + 537, F.col("o_orderkey") % 5).alias("path"), (F.col("o_orderkey") * 1000).alias("length"), F.current_timestamp().alias("modificationTime"))
+    o = load(spark, sf, "orders").select(F.format_string("/results/Dataset%d_x/run/fold_%d/checkpoint_best.pth", F.col("o_custkey") % 3 + 537, F.col("o_orderkey") % 5).alias("path"), (F.col("o_orderkey") * 1000).alias("length"), F.current_timestamp().alias("modificationTime"))
     return V.weight_files(o)
 
 
