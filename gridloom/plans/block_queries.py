@@ -201,7 +201,7 @@ def signed_distance(spark, sf):
 def official_audit(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c, _ = D.dense(pdf, ["gt"])
-        inst = np.where(c[0] <= 150, c[0], 0).astype(np.int64)
+        inst = c[0].astype(np.int64)
         a = T.audit_official(inst, T.official_target(inst)[0])
         return pd.DataFrame([(pdf["slab"].iloc[0], len(a["parts"]), a["ok"], a["fractions"][2])], columns=["slab", "fragments", "ok", "core_share"])
 

@@ -69,7 +69,7 @@ def barrier_oracle_eval(spark, sf):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c, _ = dense(pdf, ["gt"])
-        inst = np.where(c[0] <= 150, c[0], 0).astype(np.int64)
+        inst = T.valid(c[0].astype(np.int64))
         target, audit = T.barrier_target(inst, shell=1.5)
         out = DT.barrier(target)
         ious = []

@@ -232,3 +232,27 @@ def test_candidate_features():
     f = SU.candidate_features(source, piece, np.indices(source.shape)[2].astype(float), (1, 1, 2))
     assert f["piece_fraction"] == 3 / 8 and f["interface"] == 16 and f["gap_mm"] == 8 and f["long_mm"] == 16 and f["parts"] == f["piece_parts"] == 1
     assert f["mean_gap"] == 4.0 and len(f) == 24
+
+
+def test_femur_fragments_have_targets():
+    inst = np.zeros((14, 14, 24), int)
+    inst[2:12, 2:12, 2:12] = 151
+    inst[2:12, 2:12, 12:22] = 200
+    barrier, audit = T.barrier_target(inst, shell=2.0)
+    assert audit["fragments"] == 2 and set(np.unique(barrier)) == {0, 1, 2, 3, 4} and count(DT.barrier(barrier)) == 2
+    for dynamic in (None, (2, 12)):
+        official, info = T.official_target(inst, dynamic=dynamic)
+        assert ((official > 0) == (inst > 0)).all() and T.audit_official(inst, official)["ok"]
+    assert T.official_target(np.where(inst == 151, 201, 0))[0].max() == 0
+
+
+def test_audits_count_femur_fragments(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.plans import QUERIES
+    from gridloom.sources import fixtures as X
+
+    sf = "/root/testdata/sf0.001"
+    true = {r["slab"]: r["n"] for r in X.instances_b(spark, sf).where("gt > 0").groupBy("slab").agg(F.count_distinct("gt").alias("n")).collect()}
+    for name in ("official_audit", "barrier_oracle_eval"):
+        assert {r["slab"]: r["fragments"] for r in QUERIES[name](spark, sf).collect()} == true
