@@ -4,7 +4,8 @@ Base patterns give the sure spans. Beyond them, a probabilistic automaton of cre
 inferred from labelled credentials, and one of other tokens from tokens beside them: each starts as a
 prefix tree, whose states merge where a Hoeffding test finds their continuations compatible. Every
 candidate token of every text is then scored by how much likelier its format is as a credential, and
-those above the calibrated threshold are added as spans of kind "format".
+those above the calibrated threshold are added as spans of kind "format". Long tokens are scored along
+their whole length, in overlapping pieces; the likeliest piece decides.
 
 Labelled credentials are the base patterns' values in a bounded sample of documents, and examples
 generated for public formats (FORMATS); tokens of the sample outside base spans are the others.
@@ -43,7 +44,12 @@ EXAMPLES = 60
 ALPHA, LEAST_SEEN = 0.05, 8
 #: A format is added if its log-likelihood ratio is above that of all but this share of the other tokens, and of MIN_RATIO.
 FALSE_SHARE, MIN_RATIO = 0.005, 12.0
-MAX_SCORED = 256
+#: A longer token is judged in pieces of this length, each half over the one before, the last one ending with the token.
+PIECE = 256
+#: Verdicts of pieces that a task keeps, for speed only.
+CACHE = 200_000
+#: Ends a piece where the token goes on.
+OPEN = "\n"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,8 +73,15 @@ SYMBOLS = "azAZ9+/_.=-"
 
 
 def shape(token: str) -> str:
-    """The token's format: its characters' classes, of the first MAX_SCORED characters."""
-    return token[:MAX_SCORED].translate(_SHAPE)
+    """The token's format: its characters' classes."""
+    return token.translate(_SHAPE)
+
+
+def pieces(s: str) -> list[str]:
+    """The whole shape in distinct pieces of a bounded size."""
+    if len(s) <= PIECE:
+        return [s]
+    return list(dict.fromkeys([*(s[i : i + PIECE] + OPEN for i in range(0, len(s) - PIECE, PIECE // 2)), s[-PIECE:]]))
 
 
 class Automaton:
@@ -79,7 +92,8 @@ class Automaton:
         for s in strings:
             at = 0
             self.n[0] += 1
-            for c in s:
+            ends = not s.endswith(OPEN)
+            for c in s if ends else s[:-1]:
                 nxt = self.go[at].get(c)
                 if nxt is None:
                     nxt = self.go[at][c] = len(self.n)
@@ -90,7 +104,10 @@ class Automaton:
                 self.count[at][c] = self.count[at].get(c, 0) + 1
                 at = nxt
                 self.n[at] += 1
-            self.end[at] += 1
+            if ends:
+                self.end[at] += 1
+            else:
+                self.n[at] -= 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._infer()
 
@@ -145,9 +162,11 @@ class Automaton:
         self.states = len(red)
 
     def score(self, s: str) -> float:
-        """Log-likelihood, smoothed: a step never seen leads to the start at the smallest probability."""
+        """Log-likelihood, smoothed: a step never seen leads to the start at the smallest probability. A piece that goes on has no end."""
         at, total, choices = 0, 0.0, len(SYMBOLS) + 1
         for c in s:
+            if c == OPEN:
+                return total
             total += math.log((self.count[at].get(c, 0) + 0.1) / (self.n[at] + 0.1 * choices))
             at = self.go[at].get(c, 0)
         return total + math.log((self.end[at] + 0.1) / (self.n[at] + 0.1 * choices))
@@ -189,8 +208,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int =
                 spans = base_spans(text or "")
                 for a, kind, b in spans:
                     value = text[a:b] if kind else ASSIGN.match(text, a).group(1)
-                    rows.append((shape(value), True))
-                rows += [(shape(m.group()), False) for m in candidates(text or "", spans)]
+                    rows += [(s, True) for s in pieces(shape(value))]
+                rows += [(s, False) for m in candidates(text or "", spans) for s in pieces(shape(m.group()))]
             cols = list(zip(*rows, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_())], names=["shape", "credential"])
 
@@ -219,14 +238,15 @@ def scan(docs: DataFrame, keep: list[str] | None = None, scorer: Scorer | None =
                 base = base_spans(text)
                 more = []
                 for m in candidates(text, base):
-                    s = shape(m.group())
-                    hit = seen.get(s)
-                    if hit is None:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        hit = seen[s] = model.ratio(s) > model.threshold
-                    if hit:
-                        more.append((m.start(), 3, m.end()))
+                    for s in pieces(shape(m.group())):
+                        hit = seen.get(s)
+                        if hit is None:
+                            if len(seen) > CACHE:
+                                seen.clear()
+                            hit = seen[s] = model.ratio(s) > model.threshold
+                        if hit:
+                            more.append((m.start(), 3, m.end()))
+                            break
                 n = Counter(k for _, k, _ in base)
                 say = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
                 rows.append((n[0], n[1], n[2], len(more), hashlib.sha256(say(base).encode()).hexdigest(), say(sorted(base + more))))

@@ -119,3 +119,21 @@ def test_odd_secrets(odd, none):
     out = secrets.scan(odd)
     assert out.count() == len(odd_rows()) and out.columns[: len(odd.columns)] == odd.columns and {r["n_assign"] for r in out.collect()} == {0}
     assert secrets.scan(none).collect() == []
+
+
+def test_long_tokens_are_judged_whole(spark):
+    import random
+
+    rng = random.Random(3)
+    prefix = "somewhere/along/averylongpath/" * 10
+    key = "".join(rng.choice(secrets.BASE62) for _ in range(300))
+    texts = [prefix + "somewhere/along/averylongpath/" * 10, prefix + key, prefix + key + prefix]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(prefix) > 256 and len({secrets.shape(t) for t in texts}) == 3
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, scorer=secrets.train(docs.limit(0))).collect()}
+    assert got == {0: "", 1: f"format:0:{len(texts[1])}", 2: f"format:0:{len(texts[2])}"}
+    for n in (1, 256, 257, 384, 385, 5000):
+        whole = secrets.shape((key * 17)[:n])
+        parts = [p.rstrip(secrets.OPEN) for p in secrets.pieces(whole)]
+        seen = {i + k for p in parts for i in range(n) if whole.startswith(p, i) for k in range(len(p))}
+        assert seen == set(range(n)) and whole.endswith(parts[-1])
