@@ -8,7 +8,9 @@ those above the calibrated threshold are added as spans of kind "format". Long t
 their whole length, in overlapping pieces; the likeliest piece decides.
 
 Labelled credentials are the base patterns' values in a bounded sample of documents, and examples
-generated for public formats (FORMATS); tokens of the sample outside base spans are the others.
+generated for public formats (FORMATS). The others are generated too, and tokens of the sample outside
+base spans join them unless they look like credentials. The threshold is a quantile over the ordinary
+candidates of all documents, each as often as it stands there.
 
 Defined cases: a null text counts as empty; a text without matches has counts 0 and the hash of the
 empty string; texts that repeat have equal spans; an empty table gives no rows (the automata then come
@@ -44,6 +46,8 @@ EXAMPLES = 60
 ALPHA, LEAST_SEEN = 0.05, 8
 #: A format is added if its log-likelihood ratio is above that of all but this share of the other tokens, and of MIN_RATIO.
 FALSE_SHARE, MIN_RATIO = 0.005, 12.0
+#: Width of the bins in which ratios are counted.
+BIN = 0.25
 #: A longer token is judged in pieces of this length, each half over the one before, the last one ending with the token.
 PIECE = 256
 #: Verdicts of pieces that a task keeps, for speed only.
@@ -173,12 +177,35 @@ class Automaton:
 
 
 class Scorer:
-    """The two automata and the threshold."""
-
-    def __init__(self, credentials: list[str], others: list[str]):
-        self.credential, self.other = Automaton(credentials), Automaton(others)
-        ratios = sorted(map(self.ratio, others))
-        self.threshold = max(MIN_RATIO, ratios[min(len(ratios) - 1, math.ceil((1 - FALSE_SHARE) * len(ratios)))] if ratios else MIN_RATIO)
+    """The two automata and the threshold.
+
+    others are known to be ordinary. Of unlabelled strings, those that the credential automaton prefers to
+    one of the known others are taken for credentials without a label: they neither teach the automaton of
+    others nor move the threshold.
+    """
+
+    def __init__(self, credentials: list[str], others: list[str], unlabelled: list[str] = ()):
+        self.credential, self.known = Automaton(credentials), Automaton(others)
+        kept = [s for s in unlabelled if self.ordinary(s)]
+        self.other = Automaton([*others, *kept]) if kept else self.known
+        self.bins = Counter(self.bin(s) for s in others)
+        self.calibrate({})
+
+    def ordinary(self, s: str) -> bool:
+        return self.credential.score(s) - self.known.score(s) <= MIN_RATIO
+
+    def bin(self, s: str) -> int:
+        return math.floor(self.ratio(s) / BIN)
+
+    def calibrate(self, bins: dict[int, int]) -> None:
+        """Sets the threshold by the known others and more ordinary strings, counted by bin."""
+        count = self.bins + Counter(bins)
+        left, self.threshold = FALSE_SHARE * count.total(), MIN_RATIO
+        for k in sorted(count, reverse=True):
+            left -= count[k]
+            if left < 0:
+                self.threshold = max(MIN_RATIO, (k + 1) * BIN)
+                break
 
     def ratio(self, s: str) -> float:
         return self.credential.score(s) - self.other.score(s)
@@ -217,7 +244,35 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int =
     found = cut(sample.mapInArrow(collect, "shape string, credential boolean").distinct())
     take = lambda flag: [r["shape"] for r in first_by_hash(found.where(F.col("credential") == flag), "shape", sample_values).collect()]
     good, other = examples()
-    return Scorer([*map(shape, good), *take(True)], [*map(shape, other), *take(False)])
+    scorer = Scorer([*map(shape, good), *take(True)], list(map(shape, other)), take(False))
+    scorer.calibrate(ordinary_bins(docs, scorer))
+    return scorer
+
+
+def ordinary_bins(docs: DataFrame, scorer: Scorer) -> dict[int, int]:
+    """How many ordinary candidate tokens of all documents have a ratio in each bin; a token has that of its likeliest piece."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def count(batches):
+        model = shared.value
+        seen: dict[str, int | None] = {}
+        bins: Counter[int] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for m in candidates(text or "", base_spans(text or "")):
+                    own = []
+                    for s in pieces(shape(m.group())):
+                        if s not in seen:
+                            if len(seen) > CACHE:
+                                seen.clear()
+                            seen[s] = model.bin(s) if model.ordinary(s) else None
+                        own.append(seen[s])
+                    if None not in own:
+                        bins[max(own)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(bins), pa.int64()), pa.array(list(bins.values()), pa.int64())], names=["bin", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return {r["bin"]: r["n"] for r in counted.collect()}
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None, scorer: Scorer | None = None) -> DataFrame:

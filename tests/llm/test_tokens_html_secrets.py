@@ -137,3 +137,24 @@ def test_long_tokens_are_judged_whole(spark):
         parts = [p.rstrip(secrets.OPEN) for p in secrets.pieces(whole)]
         seen = {i + k for p in parts for i in range(n) if whole.startswith(p, i) for k in range(len(p))}
         assert seen == set(range(n)) and whole.endswith(parts[-1])
+
+
+def test_unlabelled_keys_do_not_lift_the_threshold(spark):
+    import random
+
+    rng = random.Random(5)
+    pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    keys = ["ghp_" + pick(secrets.BASE62, 36) if i % 2 else pick(secrets.BASE62 + "+/", 40) for i in range(1200)]
+    words = [pick(secrets.BASE62[26:52], rng.randint(16, 30)) for _ in range(1200)]
+    docs = spark.createDataFrame([(i, f"{k} and {w}") for i, (k, w) in enumerate(zip(keys, words, strict=True))], "doc_id long, text string")
+    got = secrets.scan(docs).collect()
+    assert sum(r["spans"] == f"format:0:{len(k)}" for r, k in zip(sorted(got, key=lambda r: r["doc_id"]), keys, strict=True)) >= 0.99 * len(keys)
+
+
+def test_threshold_counts_all_documents(spark):
+    scorer = secrets.train(spark.createDataFrame([], "doc_id long, text string"))
+    docs = spark.createDataFrame([(i, f"averylongordinaryword{'x' * (i % 3)} no") for i in range(500)], "doc_id long, text string")
+    bins = secrets.ordinary_bins(docs, scorer)
+    assert sum(bins.values()) == 500 and secrets.train(docs, sample_docs=1).threshold >= secrets.MIN_RATIO
+    scorer.calibrate({100: 1000})
+    assert scorer.threshold == 101 * secrets.BIN
