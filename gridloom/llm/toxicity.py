@@ -1,8 +1,9 @@
 """Operator 9: toxicity by compression distance.
 
-Two zstandard dictionaries hold the windows (words) that mark toxic and ordinary training texts. Every
-window of a text is compressed with each; what the toxic dictionary saves over the ordinary one is the
-window's distance. A text's largest distances, and how many pass thresholds, go through a logistic
+Two zstandard dictionaries hold the windows (words, and pairs of neighbours) that mark toxic and ordinary
+training texts: all toxic marks that pass a test of significance, and the most frequent ordinary words.
+Every word of a text, and every pair that is a mark, is compressed with each; what the toxic dictionary
+saves over the ordinary one is the window's distance. A text's largest distances, and how many pass thresholds, go through a logistic
 calibration fitted on the training rows.
 
 A window is compressed with a fixed carrier behind it that both dictionaries hold: zstandard stores
@@ -33,9 +34,13 @@ from pyspark.sql import functions as F
 from .common import first_by_hash, most_counted, tune
 
 TRAIN_ROWS = 12_000
-TOXIC_BYTES, ORDINARY_BYTES = 1024, 65_536
-#: A toxic window stands in this share of the toxic training texts at least, and so many times its share of ordinary ones.
-LEAST_SHARE, LEAST_TEXTS, RATIO = 0.01, 3, 6.0
+ORDINARY_BYTES = 65_536
+#: A toxic window stands in so many toxic training texts at least, and in so many times its share of ordinary ones.
+LEAST_TEXTS, RATIO = 3, 6.0
+#: The least G (likelihood-ratio) statistic of a toxic word, and of a pair: chances of about 5e-5 and 1e-6, as there are more pairs.
+LEAST_G, LEAST_G_PAIR = 15.0, 22.0
+#: Rows in which a task passes windows on while it counts.
+COUNT_ROWS = 100_000
 WINDOW_BYTES = 48
 LEVEL = 9
 CARRIER = b" compression carrier of a window"
@@ -60,6 +65,13 @@ def windows(text: str | None) -> list[bytes]:
     return list(out)
 
 
+def pairs(text: str | None) -> list[bytes]:
+    """The text's distinct pairs of neighbouring words; of long words, what stands next to the other."""
+    half = WINDOW_BYTES // 2
+    words = [w.encode() for w in _WORD.findall((text or "").lower())]
+    return list(dict.fromkeys(b" " + a[-half:] + b" " + b[:half] + b" " for a, b in zip(words, words[1:])))
+
+
 @lru_cache(maxsize=4)
 def compressors(toxic: bytes, ordinary: bytes):
     import zstandard as zs
@@ -74,6 +86,8 @@ class Distances:
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.by_toxic, self.by_ordinary = compressors(toxic, ordinary)
         self.seen: dict[bytes, int] = {}
+        # two spaces stand between windows, one within a pair
+        self.pairs = {b" " + w + b" " for w in toxic[: -len(CARRIER)].strip(b" ").split(b"  ") if b" " in w}
 
     def __call__(self, w: bytes) -> int:
         d = self.seen.get(w)
@@ -85,23 +99,40 @@ class Distances:
         return d
 
     def features(self, text: str | None) -> list[float]:
-        d = sorted(map(self, windows(text)), reverse=True)
-        n = len(d)
+        own = windows(text)
+        n = len(own)
+        if self.pairs:
+            own += [w for w in pairs(text) if w in self.pairs]
+        d = sorted(map(self, own), reverse=True)
         over = [float(sum(x >= t for x in d)) for t in THRESHOLDS]
         return [float(sum(d[:k])) for k in TOP] + [math.log1p(n), over[1] / n if n else 0.0] + [math.log1p(x) for x in over]
 
 
-def _dictionary(ranked: list[bytes], size: int) -> bytes:
-    """The best windows last, where zstandard finds them at the least cost, then the carrier."""
+def _dictionary(ranked: list[bytes], size: int | None = None) -> bytes:
+    """The best windows (all, or those that fit) last, where zstandard finds them at the least cost, then the carrier."""
     out, n = [], 0
     for w in ranked:
-        if n + len(w) > size:
+        if size is not None and n + len(w) > size:
             break
         out.append(w)
         n += len(w)
     return b"".join(reversed(out)) + CARRIER
 
 
+def g_statistic(toxic: Column, ordinary: Column, n_toxic: int, n_ordinary: int) -> Column:
+    """Twice the log-likelihood ratio of a window's counts against the texts' share of toxic ones."""
+    n, p = toxic + ordinary, n_toxic / (n_toxic + n_ordinary)
+    part = lambda k, share: F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
+    return 2 * (part(toxic, p) + part(ordinary, 1 - p))
+
+
+def rank_marks(marks: list[tuple[bytes, bool, int, int]]) -> list[bytes]:
+    """Marks (window, whether a pair, toxic and ordinary texts) by falling ratio; pairs only if neither word is a mark itself."""
+    words = {w for w, pair, *_ in marks if not pair}
+    kept = [m for m in marks if not m[1] or not any(b" " + w + b" " in words for w in m[0].split())]
+    return [m[0] for m in sorted(kept, key=lambda m: (-m[2] / (m[3] + 0.2), -m[2], m[0]))]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (intercept first) of a ridge-penalised logistic regression on x as it stands."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -127,29 +158,37 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[b
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def count(batches):
+        columns = {"w": pa.binary(), "pair": pa.bool_(), "toxic": pa.int64(), "n": pa.int64()}
+        rows: list[tuple] = []
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), columns.values(), strict=True)], names=list(columns))
+            rows.clear()
+            return out
+
         for batch in batches:
-            words, toxic = [], []
             for text, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = windows(text)
-                words += own
-                toxic += [t] * len(own)
-            words.append(b"")  # stands for the texts: their number
-            toxic.append(sum(batch.column(1).to_pylist()))
-            n = [1] * (len(words) - 1) + [batch.num_rows]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic, pa.int64()), pa.array(n, pa.int64())], names=["w", "toxic", "n"])
-
-    counts = sample.select("text", "toxic").mapInArrow(count, "w binary, toxic long, n long").groupBy("w").agg(F.sum("toxic").alias("toxic"), (F.sum("n") - F.sum("toxic")).alias("ordinary")).cache()
+                rows.append((b"", False, t, 1))  # stands for the text
+                rows += [(w, False, t, 1) for w in windows(text)]
+                rows += [(w, True, t, 1) for w in pairs(text)]
+                if len(rows) >= COUNT_ROWS:
+                    yield flush()
+        if rows:
+            yield flush()
+
+    counts = sample.select("text", "toxic").mapInArrow(count, "w binary, pair boolean, toxic long, n long").groupBy("w", "pair").agg(F.sum("toxic").alias("toxic"), (F.sum("n") - F.sum("toxic")).alias("ordinary"))
+    counts = counts.where(~F.col("pair") | (F.col("toxic") >= LEAST_TEXTS)).cache()
     try:
         texts = counts.where(F.length("w") == 0).first()
         n_toxic, n_ordinary = (texts["toxic"], texts["ordinary"]) if texts else (0, 0)
         rate = math.log((n_toxic + 0.5) / (n_ordinary + 1.5))
         if not n_toxic or not n_ordinary:
             return CARRIER, CARRIER, np.array([rate] + [0.0] * FEATURES)
-        least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * n_toxic))
-        marks = counts.where((F.length("w") > 4) & (F.col("toxic") >= least) & (F.col("toxic") / n_toxic > RATIO * (F.col("ordinary") + 0.2) / n_ordinary))
-        ranked = lambda df, n, most: [bytes(r["w"]) for r in sorted(most_counted(df, n, most).select("w", n).collect(), key=lambda r: (-r[n], bytes(r["w"])))]
-        toxic = _dictionary(ranked(marks, "toxic", TOXIC_BYTES), TOXIC_BYTES)
-        ordinary = _dictionary(ranked(counts.where((F.length("w") > 0) & (F.col("ordinary") > 0)), "ordinary", ORDINARY_BYTES // 2), ORDINARY_BYTES)
+        few = counts.where((F.length("w") > 4) & (F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") / n_toxic > RATIO * (F.col("ordinary") + 0.2) / n_ordinary))
+        marks = few.where(g_statistic(F.col("toxic"), F.col("ordinary"), n_toxic, n_ordinary) >= F.when(F.col("pair"), LEAST_G_PAIR).otherwise(LEAST_G)).collect()
+        toxic = _dictionary(rank_marks([(bytes(r["w"]), r["pair"], r["toxic"], r["ordinary"]) for r in marks]))
+        frequent = most_counted(counts.where((F.length("w") > 0) & ~F.col("pair") & (F.col("ordinary") > 0)), "ordinary", ORDINARY_BYTES // 2).select("w", "ordinary").collect()
+        ordinary = _dictionary([bytes(r["w"]) for r in sorted(frequent, key=lambda r: (-r["ordinary"], bytes(r["w"])))], ORDINARY_BYTES)
     finally:
         counts.unpersist()
 

@@ -63,6 +63,34 @@ def test_planted_words_are_caught(spark):
     assert {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, flipped, keep=["doc_id"]).collect()} == {k: r["score"] for k, r in got.items()}
 
 
+def test_every_significant_mark_counts(spark):
+    """Many rare marks, together over a kilobyte, each in under 1 % of the toxic texts; and a pair of words that are ordinary apart."""
+    rng = random.Random(11)
+    calm = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    marks = ["".join(rng.choice("bcdfghjkmpqvwxyz") for _ in range(12)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(8000):
+        w = [rng.choice(calm) for _ in range(40)]
+        bad = i % 8 == 0
+        at = rng.randrange(39)
+        if bad and i % 16 == 0:
+            w[at] = marks[i // 16 % len(marks)] if i % 5 else rng.choice(marks)
+        elif bad:
+            w[at : at + 2] = ["mellow", "stoat"]
+        else:
+            w[at : at + 1] = ["mellow"] if i % 2 else ["stoat"]
+        rows.append((i, " ".join(w), "en", "a", 0))
+        labels.append((i, 1, int(bad)))
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    toxic, _, _ = toxicity.train(docs, lab)
+    held = {i for i, *_ in labels if zlib.crc32(str(i).encode()) % 5 == 0}
+    met = {m: sum(m in t.split() for i, t, *_ in rows if i not in held) for m in marks}
+    assert all((f" {m} ".encode() in toxic) == (n >= 4) for m, n in met.items() if n != 3) and sum(n >= 4 for n in met.values()) > 10 and b" mellow stoat " in toxic and b" mellow  " not in toxic
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, lab, keep=["doc_id"]).collect()}
+    pair = [got[i] for i in held if i % 16 == 8]
+    assert np.mean(pair) > 0.9 and np.mean([got[i] for i in held if i % 8]) < 0.02
+
+
 def test_odd_toxicity(odd, none, spark):
     rows, labels = planted(200, 7)
     lab = spark.createDataFrame([(1000 + i, q, t) for i, q, t in labels] + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
