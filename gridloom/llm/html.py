@@ -1,9 +1,9 @@
 """Operator 2: main text of web pages by consensus host paths.
 
 Each page's containers are scored (their paragraphs' text, less what stands in links); every page casts
-votes for the generalised tag-class paths of its best ones; Spark adds the votes up by host and picks
-each host's path; then every page is extracted again, at its host's path. A page without that path keeps
-its own best container.
+votes for the generalised tag-class paths of the articles around its best ones; Spark adds the votes up by host and picks
+each host's path; then every page is extracted again, at its host's path. A page without that
+path, or with much less of its prose there than at its own best one, keeps its own.
 
 Text rules: blocks end at block-level tags; character references are decoded, white space in a block
 becomes one space, empty blocks go, blocks are joined in page order by a line feed. Left out: scripts,
@@ -30,6 +30,10 @@ from .urls import host_of
 
 #: Containers that a page votes for, at most; a host's votes are sums of their shares of the page's score.
 VOTES = 3
+#: A page keeps its host's path only if that holds this share of the prose at the page's own best path, at least.
+COVER = 0.5
+#: Other parts of a container count as the article's if they hold this share of its best part's prose.
+NOTABLE = 0.25
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title|select|button|object|canvas|audio|video)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: Tags that hold blocks and stay on the path; those that end a block, besides; those without content.
@@ -130,11 +134,18 @@ def _node(tag: str, attributes: str, parent: Node) -> Node:
 
 def container_scores(page: str) -> dict[str, float]:
     """Score of each generalised path: a container's own text less its links' counts whole, and half for the container around it."""
-    found, nodes = blocks(page)
+    return _scores(blocks(page)[0])
+
+
+def _gain(text: str, linked: int, node: Node) -> float:
+    return 0.0 if node.skip else max(0.0, len(text) - 2.0 * linked)
+
+
+def _scores(found) -> dict[str, float]:
     score: dict[Node, float] = defaultdict(float)
     for text, linked, node in found:
         if not node.skip:
-            gain = max(0.0, len(text) - 2.0 * linked)
+            gain = _gain(text, linked, node)
             score[node] += gain
             if node.parent is not None:
                 score[node.parent] += gain / 2
@@ -145,18 +156,66 @@ def container_scores(page: str) -> dict[str, float]:
     return paths
 
 
+def _prose(found, nodes) -> tuple[dict[Node, float], dict[Node, float]]:
+    """Unskipped prose of each container: its own, and with all that stands below it."""
+    own = dict.fromkeys(nodes, 0.0)
+    for text, linked, node in found:
+        own[node] += _gain(text, linked, node)
+    whole = dict(own)
+    for n in reversed(nodes):  # a parent stands before its children
+        if n.parent is not None:
+            whole[n.parent] += whole[n]
+    return own, whole
+
+
+def article_paths(found, nodes, most: int) -> dict[str, float]:
+    """The page's best paths, at most so many, each climbed to the article around it, with their shares of the page's score.
+
+    That is the enclosing article or main; without one, the outermost container below the body that adds prose
+    as a good container, by blocks of its own (a heading, a lead), or by other parts of a notable size.
+    """
+    scores = _scores(found)
+    own, whole = _prose(found, nodes)
+    total = sum(scores.values())
+    largest: dict[str, Node] = {}
+    for n in nodes:
+        if not n.skip and (n.path not in largest or whole[n] > whole[largest[n.path]]):
+            largest[n.path] = n
+    out: dict[str, float] = defaultdict(float)
+    for path, s in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:most]:
+        top = at = largest[path]
+        while at is not None and at.tag not in ("article", "main"):
+            at = at.parent
+        if at is not None:
+            top = at
+        else:
+            at = top.parent
+            while at is not None and at.tag not in ("", "html", "body"):
+                more = whole[at] - whole[top]
+                if more > 0 and (at.good or own[at] > 0 or more >= NOTABLE * whole[top]):
+                    top = at
+                at = at.parent
+        out[top.path] += s / total
+    return out
+
+
 def extract(page: str, path: str | None) -> str:
-    """The text at the path, or at the page's own best one if it has none there."""
+    """The text at the path, or at the page's own best one if the path is absent or holds much less of the page's prose."""
     found, nodes = blocks(page)
-    if path is None or not any(n.path == path and not n.skip for n in nodes):
-        own = container_scores(page)
-        path = max(own, key=lambda p: (own[p], p)) if own else None
-    if path is None:
-        return ""
-    inside: dict[int, bool] = {}
-    for n in nodes:  # a parent stands before its children
-        inside[id(n)] = n.path == path or (n.parent is not None and inside[id(n.parent)])
-    return "\n".join(t for t, _, n in found if inside[id(n)] and not n.skip)
+
+    def inside(p: str) -> set[Node]:
+        out: set[Node] = set()
+        for n in nodes:
+            if n.path == p or n.parent in out:
+                out.add(n)
+        return out
+
+    prose = lambda held: sum(_gain(*f) for f in found if f[2] in held)
+    mine = article_paths(found, nodes, 1)
+    own = inside(next(iter(mine))) if mine else set()
+    given = inside(path) if path is not None and any(n.path == path and not n.skip for n in nodes) else set()
+    held = given if given and prose(given) >= COVER * prose(own) else own
+    return "\n".join(t for t, _, n in found if n in held and not n.skip)
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -167,9 +226,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = container_scores(page or "")
-                total = sum(own.values())
-                rows += [(host, p, s / total) for p, s in sorted(own.items(), key=lambda x: (-x[1], x[0]))[:VOTES]]
+                rows += [(host, p, s) for p, s in article_paths(*blocks(page or ""), VOTES).items()]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["host", "path", "share"])
 

@@ -78,6 +78,29 @@ def test_hosts_agree_and_odd_pages(spark):
     assert html.main_text(pages).count() == len(rows) and html.main_text(pages.limit(0)).collect() == []
 
 
+BODY = "A long body of an article, with many words in it. " * 6
+
+
+def page_of(inner):
+    return f"<html><body><nav>Menu</nav>{inner}<footer>End</footer></body></html>"
+
+
+def test_whole_articles(spark):
+    said = BODY.strip()
+    pages = [
+        page_of(f"<article><h1>Title</h1><p>Lead</p><div class='body'><p>{BODY}</p></div></article>"),
+        page_of(f"<div class='post'><h1>Title</h1><div class='inner'><div class='body'><p>{BODY}</p></div></div></div>"),
+        page_of(f"<div id='x'><div class='one'><p>{BODY}</p></div><div class='two'><p>{BODY}</p></div></div>"),
+    ]
+    want = [f"Title\nLead\n{said}", f"Title\n{said}", f"{said}\n{said}"]
+    assert [html.extract(p, None) for p in pages] == want
+    # a host with three templates, whose winning path stands on all pages of the last one with little text
+    other = page_of(f"<div class='post'><p>Teaser</p></div><div class='story'><p>{BODY}</p></div>")
+    rows = [(k, "http://h.example/p", p) for k, p in enumerate([*pages, *[pages[1]] * 4, other])]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(3)] == want and got[7] == said
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
