@@ -34,12 +34,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def with_added(df: DataFrame, keep: list[str], added: list[str]) -> DataFrame:
+    """df's columns in_0, in_1 ... under the names in keep, then the added ones, which replace given columns of their names."""
+    return df.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep) if c not in added], *added)
+
+
 def partitions(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def first_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most `rows` rows of df, the first in the order of the key's hash: alike in reruns.
+    """The first `rows` rows of df in the order of the key's hash: alike in reruns. Keys are distinct.
 
     On large tables a bound on the hash, set for twice as many rows, goes before the sort, so that no task
     gathers the first rows of all others.
@@ -52,18 +57,21 @@ def first_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def most_counted(df: DataFrame, count: str, rows: int) -> DataFrame:
-    """At most `rows` rows of df, those of the largest counts (to a sixteenth of a power of two), ties in or out together.
+    """`rows` rows of df (or all), those of the largest counts to a sixteenth of a power of two; of the last such class, the first in hash order.
 
-    A histogram of at most a thousand bins gives the bound; nothing is sorted or gathered.
+    df's first column is its key. A histogram of at most a thousand classes gives the bound, and only the
+    last class is sorted, behind a bound on its hash.
     """
     bin_ = F.floor(F.log2(F.greatest(F.col(count), F.lit(1)).cast("double")) * 16)
     left, bound = rows, None
     for r in sorted(df.groupBy(bin_.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
         if r["count"] > left:
-            break
+            last = df.where(bin_ == r["bin"])
+            part = first_by_hash(last, df.columns[0], left) if left else last.where(F.lit(False))
+            return part if bound is None else df.where(bin_ >= bound).unionByName(part)
         left -= r["count"]
         bound = r["bin"]
-    return df.where(bin_ >= bound if bound is not None else F.lit(False))
+    return df
 
 
 # ---------------------------------------------------------------- words of a whole Arrow batch

@@ -14,7 +14,7 @@ candidates of all documents, each as often as it stands there.
 
 Defined cases: a null text counts as empty; a text without matches has counts 0 and the hash of the
 empty string; texts that repeat have equal spans; an empty table gives no rows (the automata then come
-from FORMATS and generated numbers alone); other columns pass through `scan`.
+from FORMATS and generated numbers alone); other columns pass through `scan` (those of the added names are replaced).
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, first_by_hash, tune
+from .common import cut, first_by_hash, tune, with_added
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -312,4 +312,4 @@ def scan(docs: DataFrame, keep: list[str] | None = None, scorer: Scorer | None =
     given = docs.select(*[docs[c].alias(f"in_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "_text"] + ["n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string"])
     out = given.mapInArrow(run, schema)
-    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)], *out.columns[len(keep) :])
+    return with_added(out, keep, out.columns[len(keep) :])

@@ -55,7 +55,9 @@ def shard_of(slot: Column, table: list[int]) -> Column:
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """docs with the added columns slot and shard (they replace columns of these names)."""
     name = F.coalesce(F.col(key).cast("string"), F.md5(F.col(text).cast("binary")) if text in docs.columns else F.lit(""), F.lit(""))
-    return docs.withColumn("slot", slot_of(name, size)).withColumn("shard", shard_of(F.col("slot"), lookup_table(shards, size)))
+    given = [c for c in docs.columns if c not in ("slot", "shard")]
+    placed = docs.select(*given, slot_of(name, size).alias("slot"))
+    return placed.select(*given, "slot", shard_of(F.col("slot"), lookup_table(shards, size)).alias("shard"))
 
 
 def oracle_sql() -> str:

@@ -3,8 +3,13 @@
 Two zstandard dictionaries hold the windows (words, and pairs of neighbours) that mark toxic and ordinary
 training texts: all toxic marks that pass a test of significance, and the most frequent ordinary words.
 Every word of a text, and every pair that is a mark, is compressed with each; what the toxic dictionary
-saves over the ordinary one is the window's distance. A text's largest distances, and how many pass thresholds, go through a logistic
-calibration fitted on the training rows.
+saves over the ordinary one is the window's distance. A text's largest distances, and how many pass
+thresholds, go through a logistic calibration. It is fitted out of fold: the training rows are dealt to
+FOLDS parts, and each part is measured with dictionaries made from the others. The cut between toxic and
+ordinary is the one of the best F score (BETA) on these out-of-fold scores, and stands at a score of 0.5.
+
+The dictionaries' entries are chosen by counting, not by zstandard's own trainer: that one ranks what is
+frequent, not what tells the kinds apart (the README states what it reached).
 
 A window is compressed with a fixed carrier behind it that both dictionaries hold: zstandard stores
 inputs of a few bytes raw and looks for no match in the last eight, so a bare word has no measurable
@@ -17,7 +22,7 @@ Defined cases: a null or empty text has no windows and gets the calibration's sc
 that repeat in a text count once; a word over WINDOW_BYTES bytes is several windows; labels that repeat
 a doc_id count as toxic if one of them does, null labels not at all; without labelled rows of both kinds
 every score is the smoothed rate of toxic rows, (toxic + 0.5) / (all + 2); an empty table gives no rows; other columns pass through
-`score_documents` and are no input of a score.
+`score_documents` and are no input of a score (given columns score and predicted are replaced; `drop_toxic` returns them as given).
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, most_counted, tune
+from .common import first_by_hash, most_counted, tune, with_added
 
 TRAIN_ROWS = 12_000
 ORDINARY_BYTES = 65_536
@@ -47,7 +52,11 @@ CARRIER = b" compression carrier of a window"
 THRESHOLDS = (2, 3, 4)
 TOP = (1, 3, 8)
 CACHE = 250_000
-FEATURES = len(TOP) + 2 + len(THRESHOLDS)
+#: Parts of the training rows for the calibration.
+FOLDS = 5
+FEATURES = len(TOP) + 2 + 3 * len(THRESHOLDS)
+#: Weight of recall against precision in the choice of the cut: that of the best F score of this beta.
+BETA = 1.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -105,7 +114,8 @@ class Distances:
             own += [w for w in pairs(text) if w in self.pairs]
         d = sorted(map(self, own), reverse=True)
         over = [float(sum(x >= t for x in d)) for t in THRESHOLDS]
-        return [float(sum(d[:k])) for k in TOP] + [math.log1p(n), over[1] / n if n else 0.0] + [math.log1p(x) for x in over]
+        counts = [y for x in over for y in (math.log1p(x), x / math.sqrt(n) if n else 0.0, x / n if n else 0.0)]
+        return [float(sum(d[:k])) for k in TOP] + [math.log1p(n), sum(x for x in d if x >= THRESHOLDS[0]) / math.sqrt(n + 1)] + counts
 
 
 def _dictionary(ranked: list[bytes], size: int | None = None) -> bytes:
@@ -150,15 +160,43 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(([b[0] - w @ mean], w))
 
 
+def best_cut(score: np.ndarray, y: np.ndarray) -> float:
+    """The log-odds at which predicting toxic from there on has the best F score; the middle of the gap to the next lower one."""
+    order = np.argsort(-score, kind="stable")
+    s, hits = score[order], np.cumsum(y[order])
+    b = BETA * BETA
+    f = np.where(np.append(s[:-1] != s[1:], True), (1 + b) * hits / (np.arange(1, len(s) + 1) + b * y.sum()), -1.0)
+    k = int(np.argmax(f))
+    return float(s[k] if k + 1 == len(s) else (s[k] + s[k + 1]) / 2)
+
+
+def _dictionaries(counts: DataFrame, left_out: int | None) -> tuple[bytes, bytes]:
+    """The two dictionaries from the window counts of all parts but one."""
+    parts = [k for k in range(FOLDS) if k != left_out]
+    toxic, texts = (sum((F.col(f"{name}{k}") for k in parts), F.lit(0)) for name in ("toxic", "texts"))
+    own = counts.select("w", "pair", toxic.alias("toxic"), (texts - toxic).alias("ordinary"))
+    whole = own.where(F.length("w") == 0).first()
+    n_toxic, n_ordinary = (whole["toxic"], whole["ordinary"]) if whole else (0, 0)
+    if not n_toxic or not n_ordinary:
+        return CARRIER, CARRIER
+    few = own.where((F.length("w") > 4) & (F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") / n_toxic > RATIO * (F.col("ordinary") + 0.2) / n_ordinary))
+    marks = few.where(g_statistic(F.col("toxic"), F.col("ordinary"), n_toxic, n_ordinary) >= F.when(F.col("pair"), LEAST_G_PAIR).otherwise(LEAST_G)).collect()
+    frequent = most_counted(own.where((F.length("w") > 0) & ~F.col("pair") & (F.col("ordinary") > 0)).select("w", "ordinary"), "ordinary", ORDINARY_BYTES // 2).collect()
+    return (
+        _dictionary(rank_marks([(bytes(r["w"]), r["pair"], r["toxic"], r["ordinary"]) for r in marks])),
+        _dictionary([bytes(r["w"]) for r in sorted(frequent, key=lambda r: (-r["ordinary"], bytes(r["w"])))], ORDINARY_BYTES),
+    )
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[bytes, bytes, np.ndarray]:
     """(toxic dictionary, ordinary dictionary, weights)."""
     tune(docs.sparkSession)
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = first_by_hash(told, "doc_id", rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    ids = first_by_hash(told, "doc_id", rows).withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", "fold")
 
     def count(batches):
-        columns = {"w": pa.binary(), "pair": pa.bool_(), "toxic": pa.int64(), "n": pa.int64()}
+        columns = {"w": pa.binary(), "pair": pa.bool_(), "toxic": pa.int64(), "fold": pa.int32()}
         rows: list[tuple] = []
 
         def flush():
@@ -167,44 +205,46 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[b
             return out
 
         for batch in batches:
-            for text, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.append((b"", False, t, 1))  # stands for the text
-                rows += [(w, False, t, 1) for w in windows(text)]
-                rows += [(w, True, t, 1) for w in pairs(text)]
+            for text, t, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows.append((b"", False, t, fold))  # stands for the text
+                rows += [(w, False, t, fold) for w in windows(text)]
+                rows += [(w, True, t, fold) for w in pairs(text)]
                 if len(rows) >= COUNT_ROWS:
                     yield flush()
         if rows:
             yield flush()
 
-    counts = sample.select("text", "toxic").mapInArrow(count, "w binary, pair boolean, toxic long, n long").groupBy("w", "pair").agg(F.sum("toxic").alias("toxic"), (F.sum("n") - F.sum("toxic")).alias("ordinary"))
-    counts = counts.where(~F.col("pair") | (F.col("toxic") >= LEAST_TEXTS)).cache()
+    at = lambda k, x: F.sum(F.when(F.col("fold") == k, x).otherwise(0))
+    found = sample.mapInArrow(count, "w binary, pair boolean, toxic long, fold int")
+    counts = found.groupBy("w", "pair").agg(*[c for k in range(FOLDS) for c in (at(k, F.col("toxic")).alias(f"toxic{k}"), at(k, 1).alias(f"texts{k}"))])
+    counts = counts.where(~F.col("pair") | (sum((F.col(f"toxic{k}") for k in range(FOLDS)), F.lit(0)) >= LEAST_TEXTS)).cache()
     try:
-        texts = counts.where(F.length("w") == 0).first()
-        n_toxic, n_ordinary = (texts["toxic"], texts["ordinary"]) if texts else (0, 0)
-        rate = math.log((n_toxic + 0.5) / (n_ordinary + 1.5))
+        whole = counts.where(F.length("w") == 0).first()
+        n_toxic = sum(whole[f"toxic{k}"] for k in range(FOLDS)) if whole else 0
+        n_ordinary = sum(whole[f"texts{k}"] for k in range(FOLDS)) - n_toxic if whole else 0
         if not n_toxic or not n_ordinary:
-            return CARRIER, CARRIER, np.array([rate] + [0.0] * FEATURES)
-        few = counts.where((F.length("w") > 4) & (F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") / n_toxic > RATIO * (F.col("ordinary") + 0.2) / n_ordinary))
-        marks = few.where(g_statistic(F.col("toxic"), F.col("ordinary"), n_toxic, n_ordinary) >= F.when(F.col("pair"), LEAST_G_PAIR).otherwise(LEAST_G)).collect()
-        toxic = _dictionary(rank_marks([(bytes(r["w"]), r["pair"], r["toxic"], r["ordinary"]) for r in marks]))
-        frequent = most_counted(counts.where((F.length("w") > 0) & ~F.col("pair") & (F.col("ordinary") > 0)), "ordinary", ORDINARY_BYTES // 2).select("w", "ordinary").collect()
-        ordinary = _dictionary([bytes(r["w"]) for r in sorted(frequent, key=lambda r: (-r["ordinary"], bytes(r["w"])))], ORDINARY_BYTES)
+            return CARRIER, CARRIER, np.array([math.log((n_toxic + 0.5) / (n_ordinary + 1.5))] + [0.0] * FEATURES)
+        toxic, ordinary = _dictionaries(counts, None)
+        others = [_dictionaries(counts, k) for k in range(FOLDS)]
     finally:
         counts.unpersist()
 
     def describe(batches):
-        measure = Distances(toxic, ordinary)
+        measures = [Distances(*d) for d in others]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([measure.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
+            texts, folds = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([measures[k].features(t) for t, k in zip(texts, folds, strict=True)], pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    measured = sample.select("text", "toxic").mapInArrow(describe, "x array<double>, toxic int").collect()
-    return toxic, ordinary, fit_logistic(np.array([r["x"] for r in measured]), np.array([r["toxic"] for r in measured], float))
+    measured = sample.mapInArrow(describe, "x array<double>, toxic int").collect()
+    x, y = np.array([r["x"] for r in measured]), np.array([r["toxic"] for r in measured], float)
+    weights = fit_logistic(x, y)
+    weights[0] -= best_cut(weights[0] + x @ weights[1:], y)
+    return toxic, ordinary, weights
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs' columns (or those in keep) with score and predicted; docs has doc_id and text."""
+def _scored(docs: DataFrame, labels: DataFrame, keep: list[str], rows: int) -> DataFrame:
+    """The columns in keep as in_0, in_1 ..., with score and predicted, so that no given name clashes."""
     toxic, ordinary, weights = train(docs, labels, rows)
-    keep = docs.columns if keep is None else keep
 
     def run(batches):
         measure = Distances(toxic, ordinary)
@@ -217,9 +257,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
 
     given = docs.select(*[docs[c].alias(f"in_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "_text"] + ["score double, predicted int"])
-    return given.mapInArrow(run, schema).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
+    return given.mapInArrow(run, schema)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs' columns (or those in keep) with score and predicted behind them; docs has doc_id and text."""
+    keep = docs.columns if keep is None else keep
+    return with_added(_scored(docs, labels, keep, rows), keep, ["score", "predicted"])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic."""
-    return score_documents(docs, labels).where("predicted = 0").select(*docs.columns)
+    kept = _scored(docs, labels, docs.columns, TRAIN_ROWS).where("predicted = 0")
+    return kept.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -19,7 +19,7 @@ def odd_rows():
 def odd(spark):
     """The odd documents with extra columns whose names operators might use."""
     df = spark.createDataFrame(odd_rows(), DOCS)
-    return df.selectExpr("*", "1 AS size", "'x' AS id", "2 AS copies", "3 AS taken", "'y' AS _text", "4 AS count", "array(1) AS path", "5 AS in_0", "6 AS n", "7 AS bucket", "8 AS _id")
+    return df.selectExpr("*", "1 AS size", "'x' AS id", "2 AS copies", "3 AS taken", "'y' AS _text", "4 AS count", "array(1) AS path", "5 AS in_0", "6 AS n", "7 AS bucket", "8 AS _id", "0.5D AS score", "1 AS predicted", "true AS contaminated", "9 AS n_hit", "10 AS n_words", "11 AS longest_hit", "'s' AS slot", "'t' AS shard", "12 AS fold", "13 AS toxic", "'v' AS spans", "14 AS n_tokens", "15 AS component_id", "true AS kept")
 
 
 @pytest.fixture(scope="session")
