@@ -162,23 +162,29 @@ def test_repeated_rows_leave_one(spark):
 
 
 def hits_by_force(rows, items, window=10):
+    """The added columns of each row; the longest match by comparing word by word from every pair of places."""
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     grams = {}
     for i, t in items:
         w = words(t)
         m = min(window, len(w))
         for k in range(len(w) - m + 1 if m else 0):
-            grams.setdefault(tuple(w[k : k + m]), set()).add(str(i))
+            grams.setdefault(tuple(w[k : k + m]), set()).add((str(i), k, tuple(w)))
     out = {}
     for i, t in rows:
         w = words(t)
-        flags, found = [0] * len(w), set()
+        flags, found, best = [0] * len(w), set(), (0, None, None, None)
         for m in {len(g) for g in grams}:
             for k in range(len(w) - m + 1):
-                if (g := tuple(w[k : k + m])) in grams:
-                    found |= grams[g]
+                for item, at, own in grams.get(tuple(w[k : k + m]), ()):
+                    found.add(item)
                     flags[k : k + m] = [1] * m
-        out[i] = (len(w), sum(flags), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(flags))
+                    size = m
+                    while k + size < len(w) and at + size < len(own) and w[k + size] == own[at + size]:
+                        size += 1
+                    if best[1] is None or (-size, item, at, k) < (-best[0], *best[1:]):
+                        best = (size, item, at, k)
+        out[i] = (len(w), sum(flags), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(flags), *best)
     return out
 
 
@@ -187,7 +193,7 @@ def test_documents_against_every_window(spark, block):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     want = hits_by_force([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in bench.select("item_id", "text").collect()])
-    got = {r["doc_id"]: tuple(r)[1:6] for r in decontaminate.mark(docs, bench, keep=["doc_id"], block_bytes=block).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.mark(docs, bench, keep=["doc_id"], block_bytes=block).collect()}
     assert got == want and sum(w[4] for w in want.values())
 
 
@@ -198,23 +204,41 @@ def test_short_items_overlaps_and_ties(spark):
     rows = [(k, rng.choice([" ", "--", "\n"]).join(rng.choice(vocab + ["Q"]) for _ in range(rng.randint(0, 60)))) for k in range(80)] + [(500, None), (501, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:6] for r in decontaminate.mark(docs, bench, keep=["doc_id"]).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.mark(docs, bench, keep=["doc_id"]).collect()}
     assert got == hits_by_force(rows, items)
 
 
 def test_search_finds_all_places():
-    w = decontaminate.Windows([("i", "a b c")], 10)
-    off, flags, found = decontaminate.hits(w, pa.array(["x a b c a B c", "b c", None, "c a b", "a b c"]))
-    assert flags.tolist() == [False] + [True] * 6 + [False] * 5 + [True] * 3 and found == [{"i"}, set(), set(), set(), {"i"}]
+    w = decontaminate.Suffixes([("i", "a b c")], 10)
+    sizes, found = decontaminate.find(w, pa.array(["x a b c a B c", "b c", None, "c a b", "a b c"]))
+    assert sizes.tolist() == [7, 2, 0, 3, 3] and {k: (f.spans, f.items, f.longest) for k, f in found.items()} == {0: ([(1, 7)], {"i"}, (-3, "i", 0, 1)), 4: ([(0, 3)], {"i"}, (-3, "i", 0, 0))}
+
+
+@pytest.mark.parametrize("places", [1, 7, 64])
+def test_a_split_search_finds_the_same(places, monkeypatch):
+    rng = random.Random(places)
+    word = lambda: rng.choice("abcd")
+    items = [(str(k), " ".join(word() for _ in range(rng.randint(2, 30)))) for k in range(12)]
+    texts = pa.array([" ".join(word() for _ in range(rng.randint(0, 80))) for _ in range(20)])
+    read = lambda: {k: (f.spans, f.items, f.longest) for k, f in decontaminate.find(decontaminate.Suffixes(items, 3), texts)[1].items()}
+    whole = read()
+    monkeypatch.setattr(decontaminate, "PLACES", places)
+    assert read() == whole and len(whole) > 10
 
 
 def test_odd_decontamination(odd, none, spark):
     bench = spark.createDataFrame([(1, "lazy dog and runs"), (2, None), (3, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem ipsum")], "item_id long, text string").withColumn("doc_id", decontaminate.F.lit(1))
     out = decontaminate.mark(odd, bench)
-    assert out.columns == [*odd.columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_hit", "first_hit"]
+    added = decontaminate.ADDED
+    assert out.columns == [*(c for c in odd.columns if c not in added), *added]
+    split = decontaminate.mark(odd, bench, block_bytes=40)
+    same = ["doc_id", *added]
+    key = lambda r: str(tuple(r))
+    assert sorted(split.select(*same).collect(), key=key) == sorted(out.select(*same).collect(), key=key)
     hit = {r["doc_id"] for r in out.where("contaminated").collect()}
     assert hit == {6, 7, 8} and {r["n_hit"] for r in out.where("doc_id = 8").collect()} == {200_000}
     assert sorted((r["doc_id"] or 0) for r in decontaminate.clean(odd, bench).collect()) == [0, 1, 2, 3, 4, 5, 9, 10]
+    assert decontaminate.clean(odd, bench).columns == odd.columns
     assert decontaminate.clean(odd, bench.limit(0)).count() == len(odd_rows()) and decontaminate.clean(none, bench).collect() == []
 
 
