@@ -138,7 +138,7 @@ def slow_winnow(text):
     k = min(FP.K, len(text))
     h = [int(FP.gram_hashes(text[j : j + k], k)[0]) for j in range(len(text) - k + 1)] if text else []
     out = []
-    w = min(len(h), max(FP.LEAST_W, min(FP.W, len(h) // FP.PER_TEXT)))
+    w = min(len(h), FP.W)
     for j in range(len(h) - w + 1 if h else 0):
         least = min(h[j : j + w])
         p = max(q for q in range(j, j + w) if h[q] == least)
@@ -173,7 +173,8 @@ def test_shared_passages_share_entries():
 
 
 def check_edits(rows, got):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    digest = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    order = sorted(rows, key=lambda r: (r[0] is not None, *([] if r[0] is None else [r[0]]), digest(r[1])))
     want = []
     for k, (i, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
@@ -198,6 +199,27 @@ def test_odd_fingerprints(odd, none, spark, monkeypatch, ranges):
     check_edits([(4, "alone in the table")], FP.fingerprints(spark.createDataFrame([(4, "alone in the table")], "doc_id long, text string")).collect())
 
 
+def test_repeated_rows_and_other_ids(spark, monkeypatch):
+    """A third of the rows are one row, others have no doc_id; ids may be negative, or texts."""
+    monkeypatch.setattr(FP, "RANGE_ROWS", 5)
+    monkeypatch.setattr(FP, "COPIES", 4)
+    rng = random.Random(3)
+    words = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(0, 90)))
+    rows = [(7, "the same row in a third of the table, again and again")] * 30 + [(None, words()) for _ in range(20)] + [(None, None)] * 3 + [(rng.randint(-50, 50), words()) for _ in range(40)]
+    check_edits(rows, FP.fingerprints(spark.createDataFrame(rows, "doc_id int, text string").repartition(4)).collect())
+    named = [(None if i is None else f"d{i}é", t) for i, t in rows]
+    out = FP.fingerprints(spark.createDataFrame(named, "doc_id string, text string"))
+    assert out.schema["doc_id"].dataType.simpleString() == "string"
+    check_edits(named, out.collect())
+
+
+def test_a_prefix_keeps_its_share():
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400))
+    whole, part = FP.winnow(text), FP.winnow(text[:600])
+    assert abs(FP.likeness(whole, part) - 600 / len(text)) < 0.08
+
+
 # ------------------------------------------------------------- pipeline
 
 
