@@ -14,8 +14,8 @@ from ..cluster import written as cut  # noqa: F401
 ARROW_ROWS = 1000
 #: Bytes of such a batch, about, where Spark has the setting.
 ARROW_BYTES = 16 << 20
-#: A side is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it was counted and has at most so many rows, and bytes as text.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,9 @@ def tune(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if df (already cut) counts at most `rows` rows; else leave the join to the planner and AQE."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Hint a broadcast if df (already cut) counts at most `rows` rows of BROADCAST_BYTES in all; else leave the join to the planner and AQE."""
+    size = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= rows and size["bytes"] <= BROADCAST_BYTES else df
 
 
 def with_added(df: DataFrame, keep: list[str], added: list[str]) -> DataFrame:

@@ -101,6 +101,68 @@ def test_whole_articles(spark):
     assert [got[k] for k in range(3)] == want and got[7] == said
 
 
+def test_blocks_and_words_inside_an_article():
+    """Adverts and notices go wherever they stand; classes that only sound alike stay."""
+    said = BODY.strip()
+    cases = {
+        f'<p>{BODY}</p><p class="advert">Buy now</p><p class="cookie-notice">We use cookies</p><p>End.</p>': f"{said}\nEnd.",
+        f'<div class="form-factor"><p>{BODY}</p></div><p class="share-price">Shares fell.</p><p id="notice-period">A month.</p>': f"{said}\nShares fell.\nA month.",
+        f'<p>{BODY}</p><ul><li>one<li class="ad-slot"><p>Ad</p><li>two</ul><p>three <span class="share-buttons">Share <span>it</span></span> four</p>': f"{said}\none\ntwo\nthree four",
+        f'<h2>Head</h2><button>Share<p>{BODY}</p><select><option>x<option>y<h3>Next</h3><svg><title>t</title><p>And more</p>': f"Head\n{said}\nNext\nAnd more",
+        f"<title>unclosed<p>{BODY}</p><iframe src=x><p>More</p><textarea><p>Last</p>": f"{said}\nMore\nLast",
+        f"<p>{BODY} 1 < 2 & 3 &gt; 2 <b>it's</b> <i x='a>b' y=\"c>d\" it's>so</i></p>": f"{said} 1 < 2 & 3 > 2 it's so",
+        f"<p>{BODY}</p><div role=dialog><p>no</p></div><p hidden>no</p><p style='display: none'>no</p><noscript><p>yes</p></noscript>": f"{said}\nyes",
+        f"<header><h1>Title</h1></header><p>{BODY}</p><aside><p>no</p></aside><section class='article-comments'><p>no</p></section><div id=sideBar><p>no</p></div>": f"Title\n{said}",
+    }
+    for inner, want in cases.items():
+        assert html.extract(page_of(f"<article>{inner}</article>"), None) == want, inner
+
+
+def test_five_templates(spark):
+    """The text of pages of five templates, each on its host, from its parts."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    menu = "".join(f'<li><a href="/{k}">Section number {k}</a></li>' for k in range(8))
+    templates = [
+        lambda t, ps: f"<body><nav><ul>{menu}</ul></nav><main><h1>{t}</h1>{''.join(f'<p>{p}</p>' for p in ps)}</main><footer><p>All rights reserved by us</p></footer>",
+        lambda t, ps: f"<body><div class=top-menu><ul>{menu}</ul></div><div class='page'><div class='post-body'><h1>{t}</h1>{''.join(f'<p>{p}' for p in ps)}</div><div class='related-posts'><p>{prose(30)}</p></div></div>",
+        lambda t, ps: f"<body><table><tr><td class=nav>{menu}<td><h2>{t}</h2>{'<br><br>'.join(ps)}</td></tr></table>",
+        lambda t, ps: f"<body><div id=app><section class='hero'><h1>{t}</h1></section>{''.join(f'<section class=part><div><p>{p}</p></div></section>' for p in ps)}</div><div class='cookie-consent'><p>{prose(40)}</p></div>",
+        lambda t, ps: f"<body><article><h1>{t}</h1><p>Written by the staff of this paper for its readers</p>{''.join(f'<p>{p}</p>' for p in ps)}<p>Read more of this every day in our paper and on our site</p></article>",
+    ]
+    rows, want = [], {}
+    for k, make in enumerate(templates):
+        for j in range(8):
+            title, parts = prose(5), [prose(rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]
+            rows.append((100 * k + j, f"http://h{k}.example/{j}", f"<html>{make(title, parts)}</html>"))
+            want[100 * k + j] = "\n".join([title, " ".join(parts)] if k == 2 else [title, *parts])
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_copies_of_one_article_are_no_template(spark):
+    rows = [(k, f"http://h.example/{k}", page_of(f"<article><h1>One</h1><p>{BODY}</p></article>")) for k in range(20)]
+    got = {r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {f"One\n{BODY.strip()}"}
+
+
+@pytest.mark.parametrize("piece", ['<p class="x>text ', "<p class='a>b ", "<div a='", "<!-- x ", "<script>x ", "<a <b ", "<title>t ", "<button>b ", "< ", "<p x = \"y' >", "<div><span class=ad>", "<div>some text ", "<td><div>some text</td>"])
+def test_time_in_proportion_to_the_page(piece):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html.extract(piece * n, None)
+        return time.process_time() - start
+
+    seconds(10)
+    least, most = seconds(4000), seconds(32_000)
+    assert most < 24 * max(least, 0.01)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
