@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from ..cluster import ship
 from ..cluster import written as cut  # noqa: F401
@@ -40,6 +41,20 @@ def with_added(df: DataFrame, keep: list[str], added: list[str]) -> DataFrame:
     return df.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep) if c not in added], *added)
 
 
+def order_key(column: str, type_: DataType) -> Column:
+    """A column's values as texts of the same order by code points: integers as hexadecimal digits, others by their text; null stays null."""
+    if not isinstance(type_, IntegralType):
+        return F.col(column).cast("string")
+    return F.lpad(F.hex(F.col(column).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def from_order_key(key: Column, type_: DataType) -> Column:
+    """The values back from their keys."""
+    if not isinstance(type_, IntegralType):
+        return key.cast(type_)
+    return F.conv(key, 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63))).cast(type_)
+
+
 def partitions(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -26,11 +26,10 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
-from .common import cut, first_by_hash, mix64, partitions, small, tune
+from .common import cut, first_by_hash, mix64, order_key, partitions, small, tune
 
 K, W = 20, 32
 #: Documents of a range of doc_id, about; ranges, at most; and sampled keys for each bound between ranges.
@@ -108,22 +107,14 @@ def edited_text(text: str, nxt: str) -> str:
     return text[: len(text) - half] + nxt[:half]
 
 
-def _order_key(docs: DataFrame) -> Column:
-    """The doc_id as a text of the same order; null before all."""
-    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
-        text = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    else:
-        text = F.col("doc_id").cast("string")
-    return F.coalesce(F.concat(F.lit("1"), text), F.lit("0"))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     spark = docs.sparkSession
     tune(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", _order_key(docs).alias("k"), F.md5(text.cast("binary")).alias("h"), text.alias("text"))
+    key = F.coalesce(F.concat(F.lit("1"), order_key("doc_id", docs.schema["doc_id"].dataType)), F.lit("0"))
+    rows = docs.select("doc_id", key.alias("k"), F.md5(text.cast("binary")).alias("h"), text.alias("text"))
     schema = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     keys = cut(rows.groupBy("k", "h").agg(F.count(F.lit(1)).alias("copies")))
     n = keys.count()

@@ -6,20 +6,24 @@ texts are candidates if any group of the second agrees as well and their minhash
 
 1. Each text becomes its distinct 5-word shingles' 64-bit hashes; texts with equal sets form a class,
    of which one member (the smallest doc_id) goes on.
-2. Buckets give candidate links; only a spanning forest of a bucket's links leaves its task.
+2. Buckets give candidate links; only a spanning forest of a bucket's links leaves its task. In a bucket
+   of more than BUCKET members the table keys themselves are formed, and the members of each hang on its
+   smallest: rows times groups, whatever the bucket's size.
 3. Families (components of candidate links) gather their members' full sets. An exact prefix-filter
    join in each family gives the true links' spanning forest, and components of those are the result.
+4. A family of more than STAR members (or of very long texts) is dealt to blocks, and its hub, the member
+   whose minhashes agree most with the family's, goes to each. Members that end in the hub's component are
+   done; the others, few in a family of copies, then meet every block. So no task holds an unbounded
+   group, copies of one text cost a row each, and no link between components is lost.
 
-Buckets and families of more than BLOCK members (or of very long texts) are split in blocks, and every pair of blocks is a task
-of its own, so no task holds an unbounded group and no pair is lost. Links of a pair at the threshold
-itself are missed by the tables with a probability of about 0.001 at 85 percent and 0.0004 at 80 (which has
-more groups), closer pairs with less; a
-component is lost only if all its paths are.
+Links of a pair at the threshold itself are missed by the tables with a probability of about 0.001 at 85
+percent and 0.0004 at 80 (which has more groups), closer pairs with less; a component is lost only if all
+its paths are.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; a text of
 one to four words is one shingle of the whole sequence; rows that repeat a doc_id are one node that has
-the links of each; a null doc_id counts as the smallest; an empty table gives no rows; other columns are
-ignored.
+the links of each; a row without a doc_id is the node of its text, comes after all that have one and has
+no component_id of its own; doc_ids of another than an integer type are ordered as texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +34,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import BROADCAST_ROWS, cut, mix64, partitions, scan_words, space_lut, tune
+from ..operators.graph import components as least_reachable
+from .common import cut, from_order_key, mix64, order_key, partitions, scan_words, small, space_lut, tune
 
 SHINGLE = 5
 
@@ -54,11 +60,10 @@ class Setting(NamedTuple):
 
 AT_85 = Setting(85, 8, 3, 30)
 AT_80 = Setting(80, 12, 3, 42)
-BLOCK = 2048
-#: Shingles of a family's block, about, so that families of very long texts get more and smaller blocks.
-BLOCK_SHINGLES = 4_000_000
-#: doc_id of a row that has none, inside.
-NO_ID = -(1 << 63)
+#: Members of a bucket that are compared in one task, at most.
+BUCKET = 1024
+#: Members of a family's block, about; shingles of one; and members without the hub that meet a block in one task.
+STAR, STAR_SHINGLES, APART = 256, 2_000_000, 1024
 
 _rng = np.random.Generator(np.random.PCG64(8_675_309))
 _MOST = 128
@@ -149,8 +154,8 @@ def _groups_of_runs(batches, key_names: list[str], other: list[str]):
         yield [sum((h[k] for h in held), []) for k in range(len(other))]
 
 
-def _edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b for _, b in edges], pa.int64()), pa.array([a for a, _ in edges], pa.int64())], names=["node", "root"])
+def _edges_batch(edges: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for _, b in edges], kind), pa.array([a for a, _ in edges], kind)], names=["node", "root"])
 
 
 def bucket_edges(ids: list[int], sizes: list[int], sigs: list[bytes], how: Setting = AT_85) -> list[tuple[int, int]]:
@@ -169,15 +174,15 @@ def bucket_edges(ids: list[int], sizes: list[int], sigs: list[bytes], how: Setti
     return [(ids[r], ids[i]) for i in range(len(ids)) if (r := forest.root(i)) != i]
 
 
-def _bucket_pass(how: Setting) -> Callable:
+def _bucket_pass(how: Setting, kind: pa.DataType) -> Callable:
     def run(batches):
         out: list[tuple[int, int]] = []
-        for ids, sizes, sigs in _groups_of_runs(batches, ["part", "band", "x", "y"], ["id", "n", "sig"]):
+        for ids, sizes, sigs in _groups_of_runs(batches, ["part", "band"], ["id", "n", "sig"]):
             out += bucket_edges(ids, sizes, sigs, how)
             if len(out) > 50_000:
-                yield _edges_batch(out)
+                yield _edges_batch(out, kind)
                 out = []
-        yield _edges_batch(out)
+        yield _edges_batch(out, kind)
 
     return run
 
@@ -216,7 +221,7 @@ def family_edges(ids: list[int], sets: list[np.ndarray], percent: int = AT_85.pe
     return [(ids[r], ids[i]) for i, r in links.items() if ids[r] != ids[i]]
 
 
-def _family_pass(how: Setting) -> Callable:
+def _family_pass(how: Setting, kind: pa.DataType) -> Callable:
     def with_sets(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")))
@@ -228,84 +233,129 @@ def _family_pass(how: Setting) -> Callable:
         for ids, sets in _groups_of_runs(with_sets(batches), ["family", "x", "y"], ["id", "set"]):
             out += family_edges(ids, [np.frombuffer(s, np.uint64) for s in sets], how.percent)
             if len(out) > 50_000:
-                yield _edges_batch(out)
+                yield _edges_batch(out, kind)
                 out = []
-        yield _edges_batch(out)
+        yield _edges_batch(out, kind)
 
     return run
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
-    """rows with block numbers x <= y: a group of one block is (0, 0); the rows of a larger one, dealt to blocks by
-    id, stand in each pair of blocks that has theirs. counts: keys and the number of blocks, joined by the keys."""
-    joined = rows.join(counts, keys).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    return joined.withColumn("other", other).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "own", "other")
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) links to (node, comp), comp the smallest node reachable; only nodes with links. Rounds of
-    large-star and small-star, each cut into the shared folder."""
-    edges = cut(edges.select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")).where("a < b").distinct())
-    while True:
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: every larger neighbour of a node is hung on the node's smallest neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        # small star: every smaller neighbour of a node, and the node, are hung on its smallest neighbour
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small_star = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
-        nxt = cut(small_star)
-        # a star forest is done: no root is also a leaf, and every leaf has one root
-        sums = nxt.agg(F.count(F.lit(1)), F.count_distinct("b")).first()
-        if sums[0] == sums[1] and nxt.join(nxt.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-            return nxt.select(F.col("b").alias("node"), F.col("a").alias("comp"))
-        edges = nxt
+    """(node, root) links to (node, comp), comp the smallest node reachable; only nodes that aren't it."""
+    return least_reachable(edges.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "comp")
 
 
-def near_duplicates(docs: DataFrame, how: Setting = AT_85) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, n_shingles, component_id, kept)."""
+def _bucket_links(classes: DataFrame, how: Setting, kind: pa.DataType, edge: str) -> DataFrame:
+    """Candidate links (node, root) of classes (id, n, sig)."""
+    group = lambda i: F.substring("sig", 2 * how.taken * i + 1, 2 * how.taken)
+    groups = lambda first: F.posexplode(F.array(*[group(first + i) for i in range(how.groups)]))
+    dealt = classes.select("id", "n", "sig", groups(0).alias("part", "band"))
+    counts = cut(dealt.groupBy("part", "band").count().where("count > 1"))
+    some = dealt.join(counts.where(F.col("count") <= BUCKET).select("part", "band"), ["part", "band"])
+    parts = partitions(classes.sparkSession)
+    links = some.repartition(parts, "part", "band").sortWithinPartitions("part", "band").mapInArrow(_bucket_pass(how, kind), edge)
+    hot = counts.where(F.col("count") > BUCKET).select("part", "band")
+    if hot.isEmpty():
+        return links
+    key = ["part", "band", "part2", "band2"]
+    tables = dealt.join(small(cut(hot)), ["part", "band"]).select("part", "band", "id", groups(how.groups).alias("part2", "band2"))
+    least = tables.groupBy(*key).agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return links.unionAll(tables.join(least, key).where("id <> root").select(F.col("id").alias("node"), "root").distinct())
+
+
+def _hubs(members: DataFrame, classes: DataFrame, how: Setting) -> DataFrame:
+    """(family, hub) of members (id, family): the member with most minhashes that are its family's most frequent, then the smallest."""
+    hashes = F.posexplode(F.array(*[F.substring("sig", 2 * i + 1, 2) for i in range(how.hashes)]))
+    each = members.select("id", "family").join(classes.groupBy("id").agg(F.min("sig").alias("sig")), "id").select("id", "family", hashes.alias("at", "value"))
+    counted = each.groupBy("family", "at", "value").count()
+    mode = counted.groupBy("family", "at").agg(F.max(F.struct("count", "value")).alias("m")).select("family", "at", F.col("m.value").alias("value"))
+    agree = each.join(mode, ["family", "at", "value"]).groupBy("family", "id").count()
+    return agree.groupBy("family").agg(F.min_by("id", F.struct(-F.col("count"), "id")).alias("hub"))
+
+
+def _verified(texts: DataFrame, placed: DataFrame, how: Setting, kind: pa.DataType, edge: str) -> DataFrame:
+    """The true links' forest of each (family, x, y) of placed (id, family, x, y)."""
+    rows = texts.join(small(placed), "id").repartition(partitions(texts.sparkSession), "family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
+    return rows.select("family", "x", "y", "id", "text").mapInArrow(_family_pass(how, kind), edge)
+
+
+def _large_links(texts: DataFrame, members: DataFrame, classes: DataFrame, how: Setting, kind: pa.DataType, edge: str) -> DataFrame:
+    """The true links of large families; members (id, family, blocks)."""
+    hubs = cut(_hubs(members, classes, how))
+    own = cut(members.withColumn("y", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(small(hubs), "family"))
+    at_hub = own.where("id <> hub").select("id", "family", F.lit(0).alias("x"), "y")
+    hub_rows = own.where("id = hub").select("id", "family", F.lit(0).alias("x"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("y"))
+    first = cut(_verified(texts, cut(at_hub.unionByName(hub_rows)), how, kind, edge))
+    comp = cut(components(first))
+    rooted = own.join(comp, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "id"))
+    of_hub = rooted.where("id = hub").select("family", F.col("comp").alias("with_hub"))
+    apart = cut(rooted.join(small(cut(of_hub)), "family").where("comp <> with_hub").select("id", "family", "blocks"))
+    if apart.isEmpty():
+        return first
+    rests = cut(apart.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / APART).cast("int").alias("rests")))
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    rest = apart.join(small(rests), "family").withColumn("x", F.pmod(F.xxhash64("id", F.lit("rest")), F.col("rests")).cast("int")).select("id", "family", "x", to_all("blocks").alias("y"))
+    others = own.join(small(rests), "family").select("id", "family", to_all("rests").alias("x"), "y")
+    return first.unionAll(_verified(texts, cut(rest.unionByName(others).distinct()), how, kind, edge))
+
+
+def _node(docs: DataFrame, as_long: bool) -> Column:
+    """The node that a row is: its doc_id (as a text in the same order, unless all are integers), or without one its text, behind all that have one."""
+    if as_long:
+        return F.col("doc_id").cast("long")
+    named = F.concat(F.lit("1"), order_key("doc_id", docs.schema["doc_id"].dataType))
+    return F.coalesce(named, F.concat(F.lit("2"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+
+
+def _labelled(docs: DataFrame, how: Setting) -> tuple[DataFrame, bool]:
+    """(id, n, comp) of every row, by nodes, and whether these are numbers."""
     spark = docs.sparkSession
     tune(spark)
-    parts = partitions(spark)
-    ided = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    base = cut(ided.mapInArrow(_describe(how.hashes), "id long, n long, digest binary, sig binary"))
+    as_long = isinstance(docs.schema["doc_id"].dataType, IntegralType) and docs.where("doc_id IS NULL").isEmpty()
+    kind, id_type = (pa.int64(), "long") if as_long else (pa.string(), "string")
+    edge = f"node {id_type}, root {id_type}"
+    ided = docs.select(_node(docs, as_long).alias("id"), "text")
+    base = cut(ided.mapInArrow(_describe(how.hashes), f"id {id_type}, n long, digest binary, sig binary"))
     classes = cut(base.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    families = components(_bucket_links(classes, how, kind, edge))
 
-    # buckets by the groups of the first collection
-    group = lambda i: F.substring("sig", 2 * how.taken * i + 1, 2 * how.taken)
-    dealt = classes.select("id", "n", "sig", F.posexplode(F.array(*[group(i) for i in range(how.groups)])).alias("part", "band"))
-    full = dealt.groupBy("part", "band").count().where("count > 1").select("part", "band", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    candidates = _in_blocks(dealt, ["part", "band"], full).repartition(parts, "part", "band", "x", "y").sortWithinPartitions("part", "band", "x", "y")
-    families = components(candidates.mapInArrow(_bucket_pass(how), "node long, root long"))
-
-    # the members' whole texts, by family
     members = families.select(F.col("node").alias("id"), F.col("comp").alias("family")).unionAll(families.select(F.col("comp").alias("id"), F.col("comp").alias("family")).distinct())
     members = cut(members.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id"))
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = cut(_in_blocks(members, ["family"], sizes).select("id", "family", "x", "y"))
-    side = F.broadcast(placed) if placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else placed
-    texts = ided.join(side, "id").repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
-    own_links = classes.join(base.where("n > 0").select("digest", F.col("id").alias("other")), "digest").where("id <> other").select(F.col("other").alias("node"), F.col("id").alias("root")).distinct()
-    links = texts.mapInArrow(_family_pass(how), "node long, root long").unionAll(own_links)
-    comps = cut(components(links))
-    comp = F.broadcast(comps) if comps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else comps
-    found = base.select("id", "n").join(comp, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / STAR), F.least(F.count(F.lit(1)), F.ceil(F.sum("n") / STAR_SHINGLES))).alias("blocks"))
+    large = small(cut(sizes.where("blocks > 1")))
+    usual = members.join(large, "family", "left_anti").select("id", "family", F.lit(0).alias("x"), F.lit(0).alias("y"))
+    links = _verified(ided, cut(usual), how, kind, edge)
+    split = cut(members.join(large, "family").select("id", "family", "blocks"))
+    if not split.isEmpty():
+        links = links.unionAll(_large_links(ided, split, classes, how, kind, edge))
+    copies = classes.join(base.where("n > 0").select("digest", F.col("id").alias("other")), "digest").where("id <> other").select(F.col("other").alias("node"), F.col("id").alias("root")).distinct()
+    comps = cut(components(links.unionAll(copies)))
+    found = base.select("id", "n").join(small(comps), F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("comp", "id").alias("comp"))
+    return found, as_long
+
+
+def near_duplicates(docs: DataFrame, how: Setting = AT_85) -> DataFrame:
+    """docs (doc_id, text) to (doc_id, n_shingles, component_id, kept)."""
+    found, as_long = _labelled(docs, how)
+    given = docs.schema["doc_id"].dataType
+    real = lambda c: F.col(c).cast(given) if as_long else F.when(F.col(c).startswith("1"), from_order_key(F.expr(f"substring({c}, 2)"), given))
     return found.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, how: Setting = AT_80) -> DataFrame:
-    """docs with one row of each component: the first row of its smallest doc_id. Rows without a doc_id are kept, as nothing tells them apart."""
-    gone = cut(near_duplicates(docs, how).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    side = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
-    left = docs.join(side, "doc_id", "left_anti")
-    repeated = cut(left.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    several = left.join(repeated, "doc_id", "left_semi")
-    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("row")).select("row.*")
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    """docs with one row of each component: the first row of its smallest node."""
+    found, as_long = _labelled(docs, how)
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    given = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], _node(docs, as_long).alias("node"))
+    gone = cut(found.where("id <> comp").select(F.col("id").alias("node")).distinct())
+    left = given.join(small(gone), "node", "left_anti")
+    repeated = cut(left.groupBy("node").count().where("count > 1").select("node"))
+    if not repeated.isEmpty():
+        text = F.coalesce(F.col(names[docs.columns.index("text")]), F.lit(""))
+        several = left.join(small(repeated), "node", "left_semi")
+        one = several.groupBy("node").agg(F.min_by(F.struct(*names), F.struct(text, F.xxhash64(*names))).alias("row")).select("node", "row.*")
+        left = left.join(small(repeated), "node", "left_anti").unionByName(one)
+    return left.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def oracle_sql() -> str:

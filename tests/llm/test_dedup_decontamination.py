@@ -90,10 +90,31 @@ def test_looser_setting_keeps_one_of_each_group(spark):
     assert {r["doc_id"] for r in neardup.drop_near_duplicates(docs, neardup.AT_85).collect()} == set(components(rows).values())
 
 
-def test_large_groups_in_blocks(spark, monkeypatch):
-    """With blocks of a few members every group is split, and nothing is lost."""
-    monkeypatch.setattr(neardup, "BLOCK", 4)
-    check(spark, planted(6, groups=5, size=30))
+@pytest.mark.parametrize("bucket, star, apart", [(1, 1 << 20, 9), (1 << 20, 4, 2), (3, 7, 1000)])
+def test_large_groups_are_split(spark, monkeypatch, bucket, star, apart):
+    """With limits of a few members every group is split, and nothing is lost."""
+    monkeypatch.setattr(neardup, "BUCKET", bucket)
+    monkeypatch.setattr(neardup, "STAR", star)
+    monkeypatch.setattr(neardup, "APART", apart)
+    rows = planted(6, groups=5, size=30)
+    # a chain whose ends share little: no hub links with all
+    words = [f"c{i}" for i in range(400)]
+    rows += [(10_000 + k, " ".join(words[3 * k : 3 * k + 60])) for k in range(40)]
+    check(spark, rows)
+
+
+def test_ids_as_text_and_rows_without(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(12)]
+    rows = [(f"d{k:02}é", t) for k, t in enumerate(texts)] + [("a0", texts[3]), (None, texts[3]), (None, texts[5] + " more"), (None, "no other text is like this one, of a row without an id"), (None, None)]
+    docs = spark.createDataFrame(rows * 2, "doc_id string, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()}
+    want = {(f"d{k:02}é", "a0" if k == 3 else f"d{k:02}é", k != 3) for k in range(12)}
+    assert got == want | {("a0", "a0", True), (None, "a0", False), (None, "d05é", False), (None, None, True)}
+    kept = sorted(((r["doc_id"] or "", r["text"] or "") for r in neardup.drop_near_duplicates(docs).collect()))
+    assert kept == sorted([("a0", texts[3]), ("", rows[-2][1]), ("", "")] + [(f"d{k:02}é", t) for k, t in enumerate(texts) if k != 3])
+    numbers = spark.createDataFrame([(-5, texts[0]), (3, texts[0]), (-(1 << 63), texts[1]), ((1 << 63) - 1, texts[1]), (None, texts[0])], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(numbers).collect()} == {(-5, -5), (3, -5), (-(1 << 63), -(1 << 63)), ((1 << 63) - 1, -(1 << 63)), (None, -5)}
 
 
 def test_boundary_is_inclusive(spark):
