@@ -74,11 +74,16 @@ def windows(text: str | None) -> list[bytes]:
     return list(out)
 
 
-def pairs(text: str | None) -> list[bytes]:
-    """The text's distinct pairs of neighbouring words; of long words, what stands next to the other."""
+def pair(a: str, b: str) -> bytes:
+    """The window of two neighbouring words; of long words, what stands next to the other."""
     half = WINDOW_BYTES // 2
-    words = [w.encode() for w in _WORD.findall((text or "").lower())]
-    return list(dict.fromkeys(b" " + a[-half:] + b" " + b[:half] + b" " for a, b in zip(words, words[1:])))
+    return b" " + a.encode()[-half:] + b" " + b.encode()[:half] + b" "
+
+
+def pairs(text: str | None) -> list[bytes]:
+    """The text's distinct pairs of neighbouring words."""
+    words = _WORD.findall((text or "").lower())
+    return list(dict.fromkeys(pair(a, b) for a, b in dict.fromkeys(zip(words, words[1:]))))
 
 
 @lru_cache(maxsize=4)
@@ -90,29 +95,43 @@ def compressors(toxic: bytes, ordinary: bytes):
 
 
 class Distances:
-    """Distances of windows, kept in a bounded cache."""
+    """Distances of windows, kept in a bounded cache by word."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.by_toxic, self.by_ordinary = compressors(toxic, ordinary)
-        self.seen: dict[bytes, int] = {}
+        self.seen: dict[str, int] = {}
         # two spaces stand between windows, one within a pair
-        self.pairs = {b" " + w + b" " for w in toxic[: -len(CARRIER)].strip(b" ").split(b"  ") if b" " in w}
+        marks = [w for w in toxic[: -len(CARRIER)].strip(b" ").split(b"  ") if b" " in w]
+        self.pairs = {b" " + w + b" " for w in marks}
+        #: first words of pairs; a longer word may begin one with its end
+        self.firsts = {w.split(b" ")[0].decode("utf-8", "replace") for w in marks}
 
-    def __call__(self, w: bytes) -> int:
-        d = self.seen.get(w)
-        if d is None:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            x = w + CARRIER
-            d = self.seen[w] = len(self.by_ordinary(x)) - len(self.by_toxic(x))
-        return d
+    def distance(self, window: bytes) -> int:
+        x = window + CARRIER
+        return len(self.by_ordinary(x)) - len(self.by_toxic(x))
 
     def features(self, text: str | None) -> list[float]:
-        own = windows(text)
-        n = len(own)
+        words = _WORD.findall((text or "").lower())
+        seen, d, long = self.seen, [], {}
+        for w in dict.fromkeys(words):
+            x = seen.get(w)
+            if x is None:
+                b = w.encode()
+                if len(b) > WINDOW_BYTES:
+                    long.update(dict.fromkeys(windows(w)))
+                    continue
+                if len(seen) >= CACHE:
+                    seen.clear()
+                x = seen[w] = self.distance(b" " + b + b" ")
+            d.append(x)
+        known = {b" " + w.encode() + b" " for w in words} if long else ()
+        d += [self.distance(w) for w in long if w not in known]
+        n = len(d)
         if self.pairs:
-            own += [w for w in pairs(text) if w in self.pairs]
-        d = sorted(map(self, own), reverse=True)
+            firsts, half = self.firsts, WINDOW_BYTES // 2
+            near = dict.fromkeys((a, b) for a, b in zip(words, words[1:]) if a in firsts or (len(a) > half // 4 and (len(a) > half or not a.isascii())))
+            d += [self.distance(w) for w in dict.fromkeys(pair(*x) for x in near) if w in self.pairs]
+        d.sort(reverse=True)
         over = [float(sum(x >= t for x in d)) for t in THRESHOLDS]
         counts = [y for x in over for y in (math.log1p(x), x / math.sqrt(n) if n else 0.0, x / n if n else 0.0)]
         return [float(sum(d[:k])) for k in TOP] + [math.log1p(n), sum(x for x in d if x >= THRESHOLDS[0]) / math.sqrt(n + 1)] + counts

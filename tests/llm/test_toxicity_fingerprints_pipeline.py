@@ -124,6 +124,21 @@ def test_best_cut_is_that_of_the_best_f_score():
     assert toxicity.best_cut(np.zeros(4), np.array([0, 1, 0, 1.0])) == 0.0
 
 
+def test_features_by_definition():
+    """The distances of all windows and marked pairs, measured one by one without a cache."""
+    toxic = toxicity._dictionary([b" wretch ", b" mellow stoat ", b" vile "])
+    ordinary = toxicity._dictionary([b" calm ", b" mellow "])
+    m = toxicity.Distances(toxic, ordinary)
+    assert m.pairs == {b" mellow stoat "}
+    for text in (None, "", "Calm mellow stoat, a WRETCH and a wretched mellow stoat", "vile " + "x" * 48 + " " + "x" * 100 + "y é" * 40):
+        own = toxicity.windows(text)
+        d = sorted((m.distance(w) for w in own + [w for w in toxicity.pairs(text) if w in m.pairs]), reverse=True)
+        got = m.features(text)
+        assert got[:3] == [sum(d[:k]) for k in toxicity.TOP] and got[3] == np.log1p(len(own)) and len(got) == toxicity.FEATURES
+        assert [got[5 + 3 * k] for k in range(3)] == pytest.approx([np.log1p(sum(x >= t for x in d)) for t in toxicity.THRESHOLDS])
+        assert m.features(text) == got
+
+
 def test_logistic_finds_a_threshold():
     x = np.random.default_rng(0).normal(size=(500, 2))
     y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(float)
