@@ -250,15 +250,14 @@ def _bucket_links(classes: DataFrame, how: Setting, kind: pa.DataType, edge: str
     group = lambda i: F.substring("sig", 2 * how.taken * i + 1, 2 * how.taken)
     groups = lambda first: F.posexplode(F.array(*[group(first + i) for i in range(how.groups)]))
     dealt = classes.select("id", "n", "sig", groups(0).alias("part", "band"))
-    counts = cut(dealt.groupBy("part", "band").count().where("count > 1"))
-    some = dealt.join(counts.where(F.col("count") <= BUCKET).select("part", "band"), ["part", "band"])
-    parts = partitions(classes.sparkSession)
-    links = some.repartition(parts, "part", "band").sortWithinPartitions("part", "band").mapInArrow(_bucket_pass(how, kind), edge)
-    hot = counts.where(F.col("count") > BUCKET).select("part", "band")
-    if hot.isEmpty():
+    hot = cut(dealt.groupBy("part", "band").count().where(F.col("count") > BUCKET).select("part", "band"))
+    parts, crowded = partitions(classes.sparkSession), not hot.isEmpty()
+    usual = dealt.join(small(hot), ["part", "band"], "left_anti") if crowded else dealt
+    links = usual.repartition(parts, "part", "band").sortWithinPartitions("part", "band").mapInArrow(_bucket_pass(how, kind), edge)
+    if not crowded:
         return links
     key = ["part", "band", "part2", "band2"]
-    tables = dealt.join(small(cut(hot)), ["part", "band"]).select("part", "band", "id", groups(how.groups).alias("part2", "band2"))
+    tables = dealt.join(small(hot), ["part", "band"]).select("part", "band", "id", groups(how.groups).alias("part2", "band2"))
     least = tables.groupBy(*key).agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     return links.unionAll(tables.join(least, key).where("id <> root").select(F.col("id").alias("node"), "root").distinct())
 
