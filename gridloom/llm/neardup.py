@@ -64,6 +64,8 @@ AT_80 = Setting(80, 12, 3, 42)
 BUCKET = 1024
 #: Members of a family's block, about; shingles of one; and members without the hub that meet a block in one task.
 STAR, STAR_SHINGLES, APART = 256, 2_000_000, 1024
+#: Minhashes by which a hub is chosen.
+HUB_HASHES = 16
 
 _rng = np.random.Generator(np.random.PCG64(8_675_309))
 _MOST = 128
@@ -225,13 +227,17 @@ def _family_pass(how: Setting, kind: pa.DataType) -> Callable:
     def with_sets(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(batch.schema.get_field_index("text")))
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in ("family", "x", "y", "id")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in sets], pa.binary())], names=["family", "x", "y", "id", "set"])
+            arrays = [batch.column(batch.schema.get_field_index(n)) for n in ("family", "x", "y", "id", "hub")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in sets], pa.binary())], names=["family", "x", "y", "id", "hub", "set"])
 
     def run(batches):
-        out: list[tuple[int, int]] = []
-        for ids, sets in _groups_of_runs(with_sets(batches), ["family", "x", "y"], ["id", "set"]):
-            out += family_edges(ids, [np.frombuffer(s, np.uint64) for s in sets], how.percent)
+        out: list[tuple] = []
+        for ids, hubs, sets in _groups_of_runs(with_sets(batches), ["family", "x", "y"], ["id", "hub", "set"]):
+            links = family_edges(ids, [np.frombuffer(s, np.uint64) for s in sets], how.percent)
+            out += links
+            if hubs[0] is not None:
+                root = {n: r for r, n in links}
+                out += [(None, i) for i in dict.fromkeys(ids) if root.get(i, i) != root.get(hubs[0], hubs[0])]
             if len(out) > 50_000:
                 yield _edges_batch(out, kind)
                 out = []
@@ -258,44 +264,44 @@ def _bucket_links(classes: DataFrame, how: Setting, kind: pa.DataType, edge: str
         return links
     key = ["part", "band", "part2", "band2"]
     tables = dealt.join(small(hot), ["part", "band"]).select("part", "band", "id", groups(how.groups).alias("part2", "band2"))
-    least = tables.groupBy(*key).agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return links.unionAll(tables.join(least, key).where("id <> root").select(F.col("id").alias("node"), "root").distinct())
+    least = cut(tables.groupBy(*key).agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    return links.unionAll(tables.join(small(least), key).where("id <> root").select(F.col("id").alias("node"), "root"))
 
 
 def _hubs(members: DataFrame, classes: DataFrame, how: Setting) -> DataFrame:
-    """(family, hub) of members (id, family): the member with most minhashes that are its family's most frequent, then the smallest."""
-    hashes = F.posexplode(F.array(*[F.substring("sig", 2 * i + 1, 2) for i in range(how.hashes)]))
-    each = members.select("id", "family").join(classes.groupBy("id").agg(F.min("sig").alias("sig")), "id").select("id", "family", hashes.alias("at", "value"))
-    counted = each.groupBy("family", "at", "value").count()
-    mode = counted.groupBy("family", "at").agg(F.max(F.struct("count", "value")).alias("m")).select("family", "at", F.col("m.value").alias("value"))
-    agree = each.join(mode, ["family", "at", "value"]).groupBy("family", "id").count()
-    return agree.groupBy("family").agg(F.min_by("id", F.struct(-F.col("count"), "id")).alias("hub"))
+    """(family, hub) of members (id, family): the member with most of its family's most frequent minhashes (of the first HUB_HASHES), then the smallest."""
+    hashes = [F.substring("sig", 2 * i + 1, 2).alias(f"v{i}") for i in range(HUB_HASHES)]
+    each = members.select("id", "family").join(classes.groupBy("id").agg(F.min("sig").alias("sig")), "id").select("id", "family", *hashes)
+    # a minhash has 16 bits, so the counts of a group are bounded whatever its size
+    modes = cut(each.groupBy("family").agg(*[F.mode(f"v{i}", True).alias(f"m{i}") for i in range(HUB_HASHES)]))
+    agree = sum((F.col(f"v{i}") == F.col(f"m{i}")).cast("int") for i in range(HUB_HASHES))
+    return each.join(small(modes), "family").groupBy("family").agg(F.min_by("id", F.struct(-agree, "id")).alias("hub"))
 
 
 def _verified(texts: DataFrame, placed: DataFrame, how: Setting, kind: pa.DataType, edge: str) -> DataFrame:
-    """The true links' forest of each (family, x, y) of placed (id, family, x, y)."""
+    """The true links' forest (node, root) of each (family, x, y) of placed (id, family, x, y, hub); where there is a hub, also
+    a row without a root for each member that isn't in its component there."""
     rows = texts.join(small(placed), "id").repartition(partitions(texts.sparkSession), "family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
-    return rows.select("family", "x", "y", "id", "text").mapInArrow(_family_pass(how, kind), edge)
+    return rows.select("family", "x", "y", "id", "hub", "text").mapInArrow(_family_pass(how, kind), edge)
 
 
 def _large_links(texts: DataFrame, members: DataFrame, classes: DataFrame, how: Setting, kind: pa.DataType, edge: str) -> DataFrame:
     """The true links of large families; members (id, family, blocks)."""
     hubs = cut(_hubs(members, classes, how))
     own = cut(members.withColumn("y", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(small(hubs), "family"))
-    at_hub = own.where("id <> hub").select("id", "family", F.lit(0).alias("x"), "y")
-    hub_rows = own.where("id = hub").select("id", "family", F.lit(0).alias("x"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("y"))
-    first = cut(_verified(texts, cut(at_hub.unionByName(hub_rows)), how, kind, edge))
-    comp = cut(components(first))
-    rooted = own.join(comp, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "id"))
-    of_hub = rooted.where("id = hub").select("family", F.col("comp").alias("with_hub"))
-    apart = cut(rooted.join(small(cut(of_hub)), "family").where("comp <> with_hub").select("id", "family", "blocks"))
+    in_own = own.where("id <> hub").select("id", "family", F.lit(0).alias("x"), "y", "hub")
+    in_all = own.where("id = hub").select("id", "family", F.lit(0).alias("x"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("y"), "hub")
+    first = cut(_verified(texts, cut(in_own.unionByName(in_all)), how, kind, edge))
+    apart = cut(own.join(small(cut(first.where("root IS NULL").select(F.col("node").alias("id")))), "id", "left_semi").select("id", "family", "blocks"))
+    links = first.where("root IS NOT NULL")
     if apart.isEmpty():
-        return first
-    rests = cut(apart.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / APART).cast("int").alias("rests")))
+        return links
+    rests = small(cut(apart.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / APART).cast("int").alias("rests"))))
     to_all = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    rest = apart.join(small(rests), "family").withColumn("x", F.pmod(F.xxhash64("id", F.lit("rest")), F.col("rests")).cast("int")).select("id", "family", "x", to_all("blocks").alias("y"))
-    others = own.join(small(rests), "family").select("id", "family", to_all("rests").alias("x"), "y")
-    return first.unionAll(_verified(texts, cut(rest.unionByName(others).distinct()), how, kind, edge))
+    rest = apart.join(rests, "family").withColumn("x", F.pmod(F.xxhash64("id", F.lit("rest")), F.col("rests")).cast("int")).select("id", "family", "x", to_all("blocks").alias("y"))
+    others = own.join(rests, "family").select("id", "family", to_all("rests").alias("x"), "y")
+    both = cut(rest.unionByName(others).distinct().withColumn("hub", F.lit(None).cast(members.schema["id"].dataType)))
+    return links.unionAll(_verified(texts, both, how, kind, edge))
 
 
 def _node(docs: DataFrame, as_long: bool) -> Column:
@@ -322,7 +328,7 @@ def _labelled(docs: DataFrame, how: Setting) -> tuple[DataFrame, bool]:
     members = cut(members.join(classes.groupBy("id").agg(F.sum("n").alias("n")), "id"))
     sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / STAR), F.least(F.count(F.lit(1)), F.ceil(F.sum("n") / STAR_SHINGLES))).alias("blocks"))
     large = small(cut(sizes.where("blocks > 1")))
-    usual = members.join(large, "family", "left_anti").select("id", "family", F.lit(0).alias("x"), F.lit(0).alias("y"))
+    usual = members.join(large, "family", "left_anti").select("id", "family", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(None).cast(id_type).alias("hub"))
     links = _verified(ided, cut(usual), how, kind, edge)
     split = cut(members.join(large, "family").select("id", "family", "blocks"))
     if not split.isEmpty():
