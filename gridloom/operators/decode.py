@@ -7,7 +7,6 @@ axes at the distances 1, 3 and 9.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -178,261 +177,37 @@ def multirange(probs, affinities, limit: float = 0.75, least: int = 250, seed_co
 
 
 def fuse(base: np.ndarray, probs, affinities, limit: float = 0.45, least: int = 250, seed_core: float = 0.5, seed_ridge: float = 0.2, ridge_at: float = 0.5, least_ridge: int = 1500) -> np.ndarray:
-    """Splits a base instance only if a coherent ridge of the least size stands in it; never crosses base borders."""
+    """Splits a base instance only if a coherent ridge of the least size stands in it; never crosses base borders.
+
+    Ridges and seeds of all instances are labelled at once, by instance; what they are too few or too small
+    for is settled by counting, and the rest floods one instance at a time.
+    """
     ridge = 1.0 - affinities[:3].min(0)
-    out, nxt = np.zeros_like(base, dtype=np.int32), 0
-    for lab in np.unique(base[base > 0]):
+    room = np.bincount(base.ravel())
+
+    def parts_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Labelled parts of the mask by instance; each part's instance and size."""
+        parts, n = K.components_by_value(np.where(mask, base, 0), 1)
+        owner = np.zeros(n + 1, base.dtype)
+        owner[parts[mask]] = base[mask]
+        return parts, owner, np.bincount(parts.ravel(), minlength=n + 1)
+
+    _, owner, size = parts_of((base > 0) & (ridge >= ridge_at))
+    torn = np.unique(owner[1:][size[1:] >= least_ridge])
+    seeds, owner, _ = parts_of((base > 0) & (probs[3] > seed_core) & (ridge < seed_ridge))
+    many = np.bincount(owner[1:], minlength=len(room)) > 1
+    pieces = np.zeros(base.shape, np.int64)
+    for lab in torn[(room[torn] >= 2 * least) & many[torn]].tolist():
         own = base == lab
-        pieces = own.astype(np.int32)
-        high = (ridge >= ridge_at) & own
-        if own.sum() >= 2 * least and high.sum() >= least_ridge and np.bincount(K.components(high, 1)[0].ravel())[1:].max() >= least_ridge:
-            markers, n = K.components((probs[3] > seed_core) & (ridge < seed_ridge) & own, 1)
-            if n > 1:
-                pieces = drop_small(_agglomerate(ridge, markers, own, limit), least)
-                pieces = pieces if len(np.unique(pieces[own])) > 1 and (pieces[own] > 0).all() else own.astype(np.int32)
-        for p in np.unique(pieces[own]):
-            nxt += 1
-            out[own & (pieces == p)] = nxt
+        found = drop_small(_agglomerate(ridge, K.relabel(np.where(own, seeds, 0))[0], own, limit), least)
+        if (found[own] > 0).all():
+            pieces[own] = found[own]
+    out = np.zeros(base.shape, np.int32)
+    inside = base > 0
+    out[inside] = np.unique(np.stack([base[inside], pieces[inside]]), axis=1, return_inverse=True)[1].ravel() + 1
     return out
 
 
-# ------------------------------------------------------------- healing
-
-
-def _box(mask: np.ndarray, pad: int):
-    at = np.argwhere(mask)
-    return tuple(slice(max(0, a - pad), min(n, b + 1 + pad)) for a, b, n in zip(at.min(0), at.max(0), mask.shape))
-
-
-def split_heal(labels: np.ndarray, hard: np.ndarray, boundary: np.ndarray, relative: float = 0.1, absolute: int = 100, least_piece: int = 400, cut_radius: int = 3, most_cuts: int = 10, interface: int = 3) -> tuple[np.ndarray, list[dict]]:
-    """Cuts an instance along predicted boundary that isn't its interface, if there is much of it and two large pieces come of it."""
-    out, events = labels.copy(), []
-    for lab in np.unique(labels[labels > 0]):
-        crop = _box(out == lab, max(10, interface + 2))
-        local = out[crop]
-        own, others = local == lab, (local > 0) & (local != lab)
-        predicted = (hard[crop] == 2) & own
-        ball = K.ball(interface)
-        known = K.dilate(others, ball) & K.dilate(own, ball) & own if others.any() else np.zeros_like(own)
-        missing = int(K.erode(predicted & ~known, K.ball(1)).sum())
-        error = missing / predicted.sum() if predicted.any() else 0.0
-        if error <= relative and missing <= absolute:
-            continue
-        cut = predicted
-        for step in range(1, most_cuts + 1):
-            cut = K.dilate(cut, K.ball(cut_radius), own)
-            parts, n = K.components(own & ~cut, 3)
-            sizes = np.sort(np.bincount(parts.ravel())[1:])[::-1] if n else []
-            if n >= 2 and sizes[1] > least_piece:
-                grown = K.flood(boundary[crop], np.where(parts > 0, parts + out.max(), 0), own, 3)
-                local[own] = grown[own]
-                events.append({"label": int(lab), "pieces": n, "missing": missing, "error": float(error), "dilations": step, "second": int(sizes[1])})
-                break
-    return K.relabel(out)[0], events
-
-
-def _touching(labels: np.ndarray, radius: int) -> set[tuple[int, int]]:
-    pairs: set[tuple[int, int]] = set()
-    for o in K.ball(radius):
-        if o > (0, 0, 0) and (v := K.views(labels.shape, o)):
-            a, b = labels[v[0]], labels[v[1]]
-            hit = (a > 0) & (b > 0) & (a != b)
-            if hit.any():
-                pairs |= {(int(p), int(q)) for p, q in np.unique(np.stack([np.minimum(a, b)[hit], np.maximum(a, b)[hit]], 1), axis=0)}
-    return pairs
-
-
-class _Interface:
-    """The meeting of two labels' dilations, in a crop padded by 20."""
-
-    def __init__(self, labels, a, b, radius):
-        self.crop = _box((labels == a) | (labels == b), max(20, radius + 2))
-        self.labels = labels[self.crop]
-        ball = K.ball(radius)
-        self.mask = K.dilate(self.labels == a, ball) & K.dilate(self.labels == b, ball)
-
-    def improvement(self, hard) -> float:
-        """How much nearer the predicted boundary is to no interface (Dice distance 1) than to this one; negative if it supports a border."""
-        predicted = hard[self.crop] == 2
-        total = int(self.mask.sum()) + int(predicted.sum())
-        apart = 1 - 2 * int((self.mask & predicted).sum()) / total if total else 0.0
-        return apart - (1.0 if predicted.any() else 0.0)
-
-
-def _greedy(labels: np.ndarray, judge: Callable, radius: int, most: int) -> tuple[np.ndarray, list[dict]]:
-    """Merges the pair of the best score, the lowest of equal ones, until none is left. Unchanged pairs keep their verdicts."""
-    out, events = labels.copy(), []
-    pairs, verdicts = _touching(out, radius), {}
-    for _ in range(most):
-        best = None
-        for p in sorted(pairs):
-            if p not in verdicts:
-                verdicts[p] = judge(out, *p)
-            e = verdicts[p]
-            if e and (best is None or e["score"] > best["score"]):
-                best = e
-        if not best:
-            break
-        a, b = best["left"], best["right"]
-        out[out == b] = a
-        pairs = {tuple(sorted((a if p == b else p, a if q == b else q))) for p, q in pairs} - {(a, a)}
-        verdicts = {}
-        events.append(best)
-    return K.relabel(out)[0], events
-
-
-def merge_heal(labels, hard, adjacency: int = 2, interface: int = 3, margin: float = 0.05 / 3, most: int = 100):
-    def judge(out, a, b):
-        gain = _Interface(out, a, b, interface).improvement(hard)
-        return {"left": a, "right": b, "score": gain} if gain > margin else None
-
-    return _greedy(labels, judge, adjacency, most)
-
-
-def refine(labels, probs, passes: int = 3, **split) -> tuple[np.ndarray, dict]:
-    """Clears background, split passes, merge healing."""
-    hard = np.argmax(probs, 0)
-    out = K.relabel(np.where(hard > 0, labels, 0))[0]
-    report = {"initial": int(out.max()), "splits": [], "hard": np.bincount(hard.ravel(), minlength=4).tolist()}
-    for k in range(passes):
-        out, events = split_heal(out, hard, probs[2], **split)
-        report["splits"] += [e | {"pass": k + 1} for e in events]
-    report["after_split"] = int(out.max())
-    out, report["merges"] = merge_heal(out, hard)
-    out = K.relabel(np.where(hard > 0, out, 0))[0]
-    return out, report | {"fragments": int(out.max())}
-
-
-def _support(labels, affinities, a, b, at: float, least: int) -> list[float]:
-    found = []
-    for channels in RANGES.values():
-        mean, n = pair_means(np.where((labels == a) | (labels == b), labels, 0), affinities, channels, separation=False).get((a, b), (0.0, 0))
-        if n >= least and mean >= at:
-            found.append(mean)
-    return found
-
-
-def soft_merge(labels, probs, affinities, most_boundary: float = 0.30, at: float = 0.55, ranges: int = 2, least: int = 8, adjacency: int = 2, interface: int = 3, most: int = 100):
-    """Merges pairs on whose interface the border outweighs a weak boundary and enough affinity ranges agree."""
-    seen = {"examined": 0, "boundary": 0, "affinity": 0}
-
-    def judge(out, a, b):
-        seen["examined"] += 1
-        i = _Interface(out, a, b, interface)
-        boundary, border = (float(probs[c][i.crop][i.mask].mean()) for c in (2, 1))
-        if boundary > most_boundary or border <= boundary:
-            seen["boundary"] += 1
-            return None
-        means = _support(i.labels, affinities[(slice(None), *i.crop)], a, b, at, least)
-        if len(means) < ranges:
-            seen["affinity"] += 1
-            return None
-        return {"left": a, "right": b, "score": border - boundary + float(np.mean(means))}
-
-    out, events = _greedy(labels, judge, adjacency, most)
-    return out, seen | {"accepted": len(events), "fragments": int(out.max()), "events": events}
-
-
-REASONS = ("interface", "boundary", "candidate_size", "core_veto", "border_veto", "affinity")
-
-
-def progressive_merge(labels, probs, affinities, spacing=(1.0, 1.0, 1.0), small_strict: bool = True, small_veto: bool = False, mutual: bool = False, least_mm3: float = 1000.0, small_mm3: float = 5000.0, least_gain: float = -0.25, at: float = 0.55, large_ranges: int = 2, small_ranges: int = 3, least: int = 8, core_veto: float = 0.25, border_veto: float = 0.40, adjacency: int = 2, interface: int = 3, most: int = 100):
-    """Merges pairs by boundary and affinity evidence, the best first, or all mutual best ones in one round; counts why pairs are rejected."""
-    hard, voxel = np.argmax(probs, 0), float(np.prod(spacing))
-    rejected = dict.fromkeys(REASONS, 0)
-
-    def judge(out, a, b):
-        def no(why):
-            rejected[why] += 1
-
-        i = _Interface(out, a, b, interface)
-        if not i.mask.any():
-            return no("interface")
-        gain = i.improvement(hard)
-        if gain <= least_gain:
-            return no("boundary")
-        na, nb = int((out == a).sum()), int((out == b).sum())
-        n = min(na, nb)
-        if n * voxel < least_mm3:
-            return no("candidate_size")
-        is_small = n * voxel < small_mm3
-        if small_veto and is_small:
-            core = int(((i.labels == (a if na <= nb else b)) & (hard[i.crop] == 3)).sum())
-            if core / max(1, n) >= core_veto:
-                return no("core_veto")
-            if float(probs[1][i.crop][i.mask].mean()) >= border_veto:
-                return no("border_veto")
-        means = _support(i.labels, affinities[(slice(None), *i.crop)], a, b, at, least)
-        if len(means) < (small_ranges if is_small and small_strict else large_ranges):
-            return no("affinity")
-        return {"left": a, "right": b, "score": float(np.mean(means)) + gain, "gain": gain}
-
-    if mutual:
-        found = [e for p in sorted(_touching(labels, adjacency)) if (e := judge(labels, *p))]
-        order = lambda e: (-e["score"], e["left"], e["right"])
-        best = {x: min((e for e in found if x in (e["left"], e["right"])), key=order) for e in found for x in (e["left"], e["right"])}
-        events = sorted((e for e in found if best[e["left"]] is e and best[e["right"]] is e), key=order)
-        out = labels.copy()
-        for e in events:
-            out[out == e["right"]] = e["left"]
-        out = K.relabel(out)[0]
-    else:
-        out, events = _greedy(labels, judge, adjacency, most)
-    return out, {"accepted": len(events), "fragments": int(out.max()), "rejected": rejected, "events": events}
-
-
-def fill_mask(labels: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Instances grown at equal cost over the mask and themselves; (labels, voxels filled). Voxels of instances never change."""
-    out = K.flood(np.zeros(labels.shape), labels, mask | (labels > 0))
-    return out, int(((out > 0) & (labels == 0)).sum())
-
-
-def conservative_split(labels, probs, affinities, voxel_mm3: float = 1.0, relative: float = 0.1, absolute: int = 100, least_mm3: float = 1000.0, least_core: int = 50, separation: float = 0.5, ranges: int = 2, cut_radius: int = 3, most_cuts: int = 10, interface: int = 3, most_passes: int = 3) -> tuple[np.ndarray, dict]:
-    """Splits in two only: each piece has a least volume and core, and enough affinity ranges separate along the cut. Passes end when one changes nothing."""
-    hard, out = np.argmax(probs, 0), K.relabel(labels)[0]
-    why = dict.fromkeys(("boundary", "pieces", "core", "affinity"), 0)
-    accepted = 0
-    for _ in range(most_passes):
-        changed = False
-        for lab in np.unique(out[out > 0]):
-            crop = _box(out == lab, max(10, interface + 2))
-            own = out[crop] == lab
-            others = (out[crop] > 0) & ~own
-            predicted = (hard[crop] == 2) & own
-            known = K.dilate(others, K.ball(interface)) & K.dilate(own, K.ball(interface)) & own if others.any() else own & False
-            missing = int(K.erode(predicted & ~known, K.ball(1)).sum())
-            if missing <= absolute and missing / max(1, int(predicted.sum())) <= relative:
-                why["boundary"] += 1
-                continue
-            cut, two = predicted, None
-            for _step in range(most_cuts):
-                cut = K.dilate(cut, K.ball(cut_radius), own)
-                parts, n = K.components(own & ~cut, 3)
-                sizes = np.bincount(parts.ravel(), minlength=1)[1:]
-                big = np.flatnonzero(sizes * voxel_mm3 >= least_mm3) + 1
-                if len(big) == 2:
-                    two = np.where(np.isin(parts, big), parts, 0)
-                    break
-            if two is None:
-                why["pieces"] += 1
-                continue
-            if min(int(((two == i) & (hard[crop] == 3)).sum()) for i in big) < least_core:
-                why["core"] += 1
-                continue
-            means = [float((1.0 - affinities[list(c)][(slice(None), *crop)]).max(0)[predicted].mean()) if predicted.any() else 0.0 for c in RANGES.values()]
-            if sum(m >= separation for m in means) < ranges:
-                why["affinity"] += 1
-                continue
-            grown = K.flood(probs[2][crop], np.where(two > 0, two + out.max(), 0), own, 3)
-            local = out[crop]
-            local[own] = grown[own]
-            accepted, changed = accepted + 1, True
-        out = K.relabel(out)[0]
-        if not changed:
-            break
-    return out, {"accepted": accepted, "rejected": why, "fragments": int(out.max())}
-
-
 # ------------------------------------------------------------- in Spark
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import anatomy_of
 from ..operators import decode as D
+from ..operators import heal as H
 from ..operators import decode_targets as DT
 from ..operators import surfaces as SU
 from ..operators import targets as T
@@ -106,11 +107,11 @@ _DECODERS = {
     "decode_affinity": lambda c: D.affinity_agglomerate(_classes(c), _affinities(c), least=20),
     "decode_multirange": lambda c: D.multirange(_classes(c), _affinities(c), least=20)[0],
     "decode_fusion": lambda c: D.fuse(D.core_seed(_classes(c), least=20), _classes(c), _affinities(c), least=10, least_ridge=15),
-    "heal_split": lambda c: D.split_heal(D.core_seed(_classes(c), least=20), np.argmax(_classes(c), 0), _classes(c)[2], least_piece=20, cut_radius=1)[0],
-    "heal_merge": lambda c: D.merge_heal(D.core_seed(_classes(c), least=20), np.argmax(_classes(c), 0))[0],
-    "heal_full": lambda c: D.refine(D.core_seed(_classes(c), least=20), _classes(c), least_piece=20, cut_radius=1)[0],
-    "soft_merge": lambda c: D.soft_merge(D.core_seed(_classes(c), least=20), _classes(c), _affinities(c))[0],
-    "progressive_merge": lambda c: D.progressive_merge(D.core_seed(_classes(c), least=20), _classes(c), _affinities(c), least_mm3=10.0, small_mm3=200.0)[0],
+    "heal_split": lambda c: H.split_heal(D.core_seed(_classes(c), least=20), np.argmax(_classes(c), 0), _classes(c)[2], least_piece=20, cut_radius=1)[0],
+    "heal_merge": lambda c: H.merge_heal(D.core_seed(_classes(c), least=20), np.argmax(_classes(c), 0))[0],
+    "heal_full": lambda c: H.refine(D.core_seed(_classes(c), least=20), _classes(c), least_piece=20, cut_radius=1)[0],
+    "soft_merge": lambda c: H.soft_merge(D.core_seed(_classes(c), least=20), _classes(c), _affinities(c))[0],
+    "progressive_merge": lambda c: H.progressive_merge(D.core_seed(_classes(c), least=20), _classes(c), _affinities(c), least_mm3=10.0, small_mm3=200.0)[0],
     "merge_small_components": lambda c: D.merge_small_by_component(D.core_seed(_classes(c), least=1), 40),
 }
 for _name, _f in _DECODERS.items():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.registry import anatomy_of
 from ..operators import decode as D
+from ..operators import heal as H
 from ..operators import gate as G
 from ..operators import scans as P
 from ..sources import fixtures as X
@@ -68,9 +69,9 @@ def family_by_model(spark, sf):
 
 @query("conservative_split", "slab:l instance:l n:l")
 def conservative_split(spark, sf):
-    return _sizes(D.per_block(X.vox(spark, sf), "slab", ["v"], lambda c: D.conservative_split(D.core_seed(_classes(c), least=20), _classes(c), _affinities(c), least_mm3=10.0, least_core=2, cut_radius=1)[0]))
+    return _sizes(D.per_block(X.vox(spark, sf), "slab", ["v"], lambda c: H.conservative_split(D.core_seed(_classes(c), least=20), _classes(c), _affinities(c), least_mm3=10.0, least_core=2, cut_radius=1)[0]))
 
 
 @query("fill_mask", "slab:l instance:l n:l")
 def fill_mask(spark, sf):
-    return _sizes(D.per_block(X.vox(spark, sf), "slab", ["v"], lambda c: D.fill_mask(np.where(c[0] > 0.25, 1 + (np.arange(c[0].size).reshape(c[0].shape) > c[0].size // 2), 0), c[0] > 0.05)[0]))
+    return _sizes(D.per_block(X.vox(spark, sf), "slab", ["v"], lambda c: H.fill_mask(np.where(c[0] > 0.25, 1 + (np.arange(c[0].size).reshape(c[0].shape) > c[0].size // 2), 0), c[0] > 0.05)[0]))
