@@ -6,15 +6,18 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (unset, as in tests) a temporary folder."""
+    """spark.checkpoint.dir, or (unset, in a local session as in tests) a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(spark, "_gridloom_shared"):
         spark._gridloom_shared = tempfile.mkdtemp(prefix="gridloom-")
     return spark._gridloom_shared
@@ -37,6 +40,12 @@ def ship(spark: SparkSession) -> None:
     sc._gridloom_shipped = True
 
 
+def shipped(df: DataFrame, run: Callable) -> Callable:
+    """run, a function for tasks over df's rows, once this package is on its way to the executors."""
+    ship(df.sparkSession)
+    return run
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read back."""
     spark = df.sparkSession

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..cluster import shipped
 from . import kernels as K
 
 RANGES = {"short": (0, 1, 2), "mid": (3, 4, 5), "long": (6, 7, 8)}
@@ -228,4 +229,4 @@ def per_block(grid: DataFrame, by: str, columns: list[str], decode: Callable[[np
         channels, at = dense(pdf, columns)
         return pdf[[by, "z", "y", "x"]].assign(**{out: decode(channels)[at].astype(np.int64)})
 
-    return grid.select(by, "z", "y", "x", *columns).groupBy(by).applyInPandas(run, f"{by} long, z long, y long, x long, {out} long")
+    return grid.select(by, "z", "y", "x", *columns).groupBy(by).applyInPandas(shipped(grid, run), f"{by} long, z long, y long, x long, {out} long")

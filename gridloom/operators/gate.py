@@ -13,12 +13,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import shipped
 from ..functions.registry import ANATOMIES, anatomy_of
 from .decode import dense
 from .ranking import select_splits
 from .surfaces import candidate_features
 
 TARGETS = ("merge", "split", "dice", "f1", "precision")
+#: The names by which stored models ask for features of the decoders' reports.
+CONTEXT_FEATURES = (
+    "context_initial_supervoxels", "context_initial_rag_edges", "context_mid_coverage", "context_long_coverage", "context_veto_fraction", "context_abbc_border_fraction", "context_abbc_boundary_fraction",
+    "context_abbc_core_fraction", "context_accepted_splits", "context_max_relative_error", "context_mean_relative_error",
+)
 KEYS = ("models", "feature_names", "policy", "quality_guards")
 
 
@@ -36,7 +42,7 @@ def load_payload(path: str, keys=KEYS) -> dict:
 
 
 def candidates(grid: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(candidates, rejected): (vol, anatomy, source_id, proposal_id, invert, piece, rest), and counts of sources or pieces by reason.
+    """(candidates, rejected): (vol, anatomy, source_id, proposal_id, invert, piece, rest, proposals, fragments, coverage, leakage), and counts of sources or pieces by reason.
 
     A source needs two proposals inside its block; of exactly two the smaller (then lower) stands for both. The
     piece is the smaller side; both sides need `least` voxels; of equal pieces (count and coordinate sums) the
@@ -48,7 +54,10 @@ def candidates(grid: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     per = v.where(inside).groupBy("vol", "anatomy", F.col("base").alias("source_id"), F.col("proposal").alias("proposal_id")).agg(*sums)
     whole = v.groupBy("vol", "anatomy", F.col("base").alias("source_id")).agg(*[c.alias(f"t_{k}") for c, k in zip((F.count(F.lit(1)), *[F.sum(a) for a in "zyx"]), ("n", "z", "y", "x"))])
     source = Window.partitionBy("vol", "source_id")
-    ranked = whole.join(per, ["vol", "anatomy", "source_id"], "left").withColumn("k", F.count("proposal_id").over(source)).withColumn("nth", F.row_number().over(source.orderBy("n", "proposal_id")))
+    totals = grid.where("proposal > 0").groupBy("vol", F.col("proposal").alias("proposal_id")).agg(F.count(F.lit(1)).alias("everywhere"))
+    fragments = whole.groupBy("vol", "anatomy").agg(F.count(F.lit(1)).alias("fragments"))
+    joined = whole.join(fragments, ["vol", "anatomy"]).join(per, ["vol", "anatomy", "source_id"], "left").join(totals, ["vol", "proposal_id"], "left")
+    ranked = joined.withColumn("k", F.count("proposal_id").over(source)).withColumn("covered", F.sum("n").over(source)).withColumn("nth", F.row_number().over(source.orderBy("n", "proposal_id")))
     few = ranked.where("k < 2").select("vol", "source_id").distinct().select(F.lit("fewer_than_two").alias("reason"))
     kept = ranked.where("k > 2 OR (k = 2 AND nth = 1)").withColumn("invert", F.col("n") > F.col("t_n") - F.col("n"))
     side = lambda part, all_: F.when(F.col("invert"), F.col(all_) - F.col(part)).otherwise(F.col(part))
@@ -57,25 +66,45 @@ def candidates(grid: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     same = Window.partitionBy("vol", "source_id", "piece", "pz", "py", "px").orderBy(F.desc("n"), "proposal_id")
     marked = kept.where(~small).withColumn("copy", F.row_number().over(same))
     rejected = few.unionAll(kept.where(small).select(F.lit("small_piece"))).unionAll(marked.where("copy > 1").select(F.lit("duplicate_piece"))).groupBy("reason").count()
-    return marked.where("copy = 1").select("vol", "anatomy", "source_id", "proposal_id", "invert", "piece", "rest", F.col("k").alias("proposals")), rejected
+    return marked.where("copy = 1").select("vol", "anatomy", "source_id", "proposal_id", "invert", "piece", "rest", F.col("k").alias("proposals"), "fragments", (F.col("covered") / F.col("t_n")).alias("coverage"), ((F.col("everywhere") - F.col("n")) / F.col("everywhere")).alias("leakage")), rejected
 
 
-def with_features(grid: DataFrame, found: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
-    """The candidates with their features in a map column."""
+def decoder_context(reports: DataFrame) -> DataFrame:
+    """(vol, anatomy, CONTEXT_FEATURES) of decoder reports, one row a volume and anatomy.
+
+    reports: vol, anatomy, supervoxels, rag_edges, mid_covered, long_covered, vetoed, border, boundary, core,
+    hard_total, and errors, the array of the accepted splits' relative errors.
+    """
+    edges, total = F.greatest(F.col("rag_edges"), F.lit(1)), F.greatest(F.col("hard_total"), F.lit(1))
+    mean = F.aggregate("errors", F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size("errors"), F.lit(1))
+    values = (F.col("supervoxels"), F.col("rag_edges"), F.col("mid_covered") / edges, F.col("long_covered") / edges, F.col("vetoed") / edges, F.col("border") / total, F.col("boundary") / total, F.col("core") / total, F.size("errors"), F.coalesce(F.array_max("errors"), F.lit(0.0)), mean)
+    return reports.select("vol", "anatomy", *[v.cast("double").alias(n) for n, v in zip(CONTEXT_FEATURES, values, strict=True)])
+
+
+def with_features(grid: DataFrame, found: DataFrame, spacing=(1.0, 1.0, 1.0), context: DataFrame | None = None) -> DataFrame:
+    """The candidates with their features in a map column: those of counts by relations, those of shape from the source's voxels.
+
+    context: (vol, anatomy, CONTEXT_FEATURES); 0 for volumes and anatomies that it lacks.
+    """
     rows = grid.join(found.select("vol", F.col("source_id").alias("base"), "proposal_id", "invert"), ["vol", "base"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c, _ = dense(pdf.assign(one=1), ["one", "proposal", "ct"])
         source = c[0] > 0
-        piece = source & (c[1] == pdf["proposal_id"].iloc[0])
-        piece = source & ~piece if pdf["invert"].iloc[0] else piece
+        piece = source & ((c[1] == pdf["proposal_id"].iloc[0]) != pdf["invert"].iloc[0])
         f = candidate_features(source, piece, c[2], spacing)
-        return pd.DataFrame([(pdf["vol"].iloc[0], pdf["base"].iloc[0], pdf["proposal_id"].iloc[0], {k: float(v) for k, v in f.items()})], columns=["vol", "source_id", "proposal_id", "features"])
+        return pd.DataFrame([(pdf["vol"].iloc[0], pdf["base"].iloc[0], pdf["proposal_id"].iloc[0], f)], columns=["vol", "source_id", "proposal_id", "features"])
 
-    made = rows.groupBy("vol", "base", "proposal_id").applyInPandas(run, "vol long, source_id long, proposal_id long, features map<string,double>")
-    one_hot = {f"is_{n.lower()}": (F.col("anatomy") == i).cast("double") for n, i, _, _ in ANATOMIES}
-    more = F.create_map(*[x for k, v in (one_hot | {"proposals": F.col("proposals").cast("double"), "inverted": F.col("invert").cast("double")}).items() for x in (F.lit(k), v)])
-    return found.join(made, ["vol", "source_id", "proposal_id"]).withColumn("features", F.map_concat("features", more))
+    made = rows.groupBy("vol", "base", "proposal_id").applyInPandas(shipped(rows, run), "vol long, source_id long, proposal_id long, features map<string,double>")
+    by_name = {n: i for n, i, _, _ in ANATOMIES}
+    counted = {k: (F.col("anatomy") == by_name[n]) for k, n in (("is_sacrum", "Sacrum"), ("is_left_hip", "LeftHip"), ("is_right_hip", "RightHip"), ("is_femur", "Femur"))}
+    counted |= {"anatomy_v35_fragment_count": F.col("fragments"), "isolated_is_complement": F.col("invert"), "proposal_ids_in_source": F.col("proposals"), "proposal_foreground_coverage": F.col("coverage"), "proposal_label_leakage_fraction": F.col("leakage")}
+    joined = found.join(made, ["vol", "source_id", "proposal_id"])
+    if context is not None:
+        joined = joined.join(context.select("vol", "anatomy", *CONTEXT_FEATURES), ["vol", "anatomy"], "left")
+    counted |= {n: F.coalesce(F.col(n), F.lit(0.0)) if context is not None else F.lit(0.0) for n in CONTEXT_FEATURES}
+    more = F.create_map(*[x for k, v in counted.items() for x in (F.lit(k), v.cast("double"))])
+    return joined.withColumn("features", F.map_concat("features", more)).drop(*CONTEXT_FEATURES)
 
 
 def predict(rows: DataFrame, payload: dict) -> DataFrame:
@@ -96,13 +125,13 @@ def predict(rows: DataFrame, payload: dict) -> DataFrame:
                 pdf = pdf.assign(**{f"d_{t}": 0.0 for t in TARGETS})
             yield pdf
 
-    return rows.mapInPandas(run, out)
+    return rows.mapInPandas(shipped(rows, run), out)
 
 
 def select(rows: DataFrame, payload: dict) -> DataFrame:
     """(vol, anatomy, source_id, proposal_id, invert): the best eligible candidate of each source."""
-    best = select_splits(rows, payload["policy"], payload["quality_guards"])
-    return rows.join(best.select("anatomy", "source_id", "proposal_id"), ["anatomy", "source_id", "proposal_id"], "left_semi").select("vol", "anatomy", "source_id", "proposal_id", "invert")
+    best = select_splits(rows, payload["policy"], payload["quality_guards"], ["vol", "anatomy", "source_id"])
+    return rows.join(best.select("vol", "anatomy", "source_id", "proposal_id"), ["vol", "anatomy", "source_id", "proposal_id"], "left_semi").select("vol", "anatomy", "source_id", "proposal_id", "invert")
 
 
 def apply(grid: DataFrame, selected: DataFrame) -> DataFrame:
@@ -117,9 +146,9 @@ def apply(grid: DataFrame, selected: DataFrame) -> DataFrame:
     return grid.join(want, ["vol", "base"], "left").withColumn("base", F.when(F.col("new_id").isNotNull() & hit, F.col("new_id")).otherwise(F.col("base"))).drop("proposal_id", "invert", "new_id")
 
 
-def run_gate(grid: DataFrame, payload: dict, least: int, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+def run_gate(grid: DataFrame, payload: dict, least: int, spacing=(1.0, 1.0, 1.0), context: DataFrame | None = None) -> DataFrame:
     found, _ = candidates(grid, least)
-    return apply(grid, select(predict(with_features(grid, found, spacing), payload), payload))
+    return apply(grid, select(predict(with_features(grid, found, spacing, context), payload), payload))
 
 
 def predict_family(features: DataFrame, payload: dict) -> DataFrame:
@@ -136,4 +165,4 @@ def predict_family(features: DataFrame, payload: dict) -> DataFrame:
             p = np.asarray(payload["model"].predict_proba(pdf[names].to_numpy(float)), float).reshape(len(pdf), len(labels))
             yield pdf.assign(family=[labels[k] for k in p.argmax(1)] if len(pdf) else [], p_femur=p[:, labels.index("femur")])
 
-    return features.mapInPandas(run, out)
+    return features.mapInPandas(shipped(features, run), out)

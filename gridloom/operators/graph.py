@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import written
+from ..cluster import shipped, written
 from . import kernels as K
 from .decode import dense
 from .neighbors import Offsets, shifted
@@ -49,7 +49,7 @@ def tiled_components(grid: DataFrame, by: str, mask: str, planes: int, extent: t
 
     inside = grid.where(mask).select(by, "z", "y", "x", F.expr(f"z div {planes}").alias("tile"))
     # a tile may lie in several pieces: its dense block spans them all, and they are labelled apart
-    local = written(inside.groupBy(by, "tile").applyInPandas(label, f"{by} long, z long, y long, x long, root long"))
+    local = written(inside.groupBy(by, "tile").applyInPandas(shipped(grid, label), f"{by} long, z long, y long, x long, root long"))
     across: Offsets = [(1, b, c) for b in (-1, 0, 1) for c in (-1, 0, 1) if 1 + abs(b) + abs(c) <= connectivity]
     top = local.where(F.col("z") % planes == planes - 1)
     low = local.where(F.col("z") % planes == 0).select(by, F.col("z").alias("tz"), F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("root").alias("other"))

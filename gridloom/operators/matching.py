@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import shipped
 from ..functions.registry import anatomy_of
 
 
@@ -108,4 +109,4 @@ def assignment(over: DataFrame, by: str) -> DataFrame:
 
         return pd.DataFrame(rows, columns=[by, "gt", "pred", "iou"])
 
-    return iou_pairs(over, [by]).select(by, "gt", "pred", "iou").groupBy(by).applyInPandas(solve, f"{by} long, gt long, pred long, iou double")
+    return iou_pairs(over, [by]).select(by, "gt", "pred", "iou").groupBy(by).applyInPandas(shipped(over, solve), f"{by} long, gt long, pred long, iou double")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import shipped
+
 
 def slot_cap(sizes: DataFrame, by: str, ident: str, n: str, cap: int = 50) -> DataFrame:
     """The cap largest ids of each group. On overflow ids are numbered by size (then id), otherwise by id."""
@@ -27,14 +29,15 @@ def mutual_best(pairs: DataFrame, left: str, right: str, score: str) -> DataFram
     return pairs.join(votes, [left, right], "left_semi")
 
 
-def select_splits(rows: DataFrame, policy: dict | None = None, guards: dict | None = None) -> DataFrame:
-    """Of candidates with predicted deltas, the eligible ones' best of each (anatomy, source_id): least merges, least splits, then the highest quality, then the lowest proposal."""
+def select_splits(rows: DataFrame, policy: dict | None = None, guards: dict | None = None, by: list[str] | None = None) -> DataFrame:
+    """Of candidates with predicted deltas, the eligible ones' best of each group, (anatomy, source_id) by default: least merges, least splits, then the highest quality, then the lowest proposal."""
     p = {"action": "select", "merge_max": 0.0, "split_max": 1.0} | (policy or {})
     g = {"delta_dice_min": 0.0, "delta_f1_min": 0.0, "delta_precision_min": 0.0} | (guards or {})
     fits = (F.col("d_merge") <= p["merge_max"]) & (F.col("d_split") <= p["split_max"]) & (F.col("d_dice") >= g["delta_dice_min"]) & (F.col("d_f1") >= g["delta_f1_min"]) & (F.col("d_precision") >= g["delta_precision_min"])
     eligible = rows.where(fits if p["action"] == "select" else F.lit(False))
     order = F.struct("d_merge", "d_split", -F.col("d_f1"), -F.col("d_dice"), -F.col("d_precision"), "proposal_id")
-    return eligible.groupBy("anatomy", "source_id").agg(F.min_by(F.struct("proposal_id", "d_merge"), order).alias("s")).select("anatomy", "source_id", "s.proposal_id", "s.d_merge")
+    by = by or ["anatomy", "source_id"]
+    return eligible.groupBy(*by).agg(F.min_by(F.struct("proposal_id", "d_merge"), order).alias("s")).select(*by, "s.proposal_id", "s.d_merge")
 
 
 def assign_free_ids(spark, used: DataFrame, selected: DataFrame, block: int = 50) -> DataFrame:
@@ -76,14 +79,30 @@ def leaks(split: DataFrame, key: str) -> DataFrame:
 
 
 def since_best(series: DataFrame, by: str, order: str, value: str, delta: float) -> DataFrame:
-    """Adds `stale`: steps since the value last rose by more than delta over the best that counted; one fold over each group's ordered values."""
-    seq = series.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("stale"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, x):
-        better = acc["best"].isNull() | (x[value] > acc["best"] + delta)
-        stale = F.when(better, 0).otherwise(acc["stale"] + 1)
-        return F.struct(F.when(better, x[value].cast("double")).otherwise(acc["best"]).alias("best"), stale.alias("stale"), F.concat(acc["out"], F.array(stale)).alias("out"))
+    """Adds `stale`: steps since the value last rose by more than delta over the best that counted.
 
-    folded = seq.withColumn("f", F.aggregate("s", start, step)["out"])
-    return folded.select(by, F.explode(F.arrays_zip("s", "f")).alias("r")).select(by, F.col(f"r.s.{order}").alias(order), F.col(f"r.s.{value}").alias(value), F.col("r.f").alias("stale"))
+    With delta 0 a rise is a new running maximum, told by windows alone. With another delta whether a step counts
+    depends on those before it, so sorted rows go through a task once, in a stream, keeping two numbers a group.
+    """
+    rows = series.select(by, order, value)
+    if delta == 0:
+        group = Window.partitionBy(by).orderBy(order)
+        before = F.max(value).over(group.rowsBetween(Window.unboundedPreceding, -1))
+        marked = rows.withColumn("_n", F.row_number().over(group)).withColumn("_up", F.when(before.isNull() | (F.col(value) > before), F.col("_n")))
+        last = F.max("_up").over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return marked.withColumn("stale", (F.col("_n") - F.coalesce(last, F.lit(0))).cast("int")).drop("_n", "_up")
+
+    def run(batches):
+        key, best, stale = object(), None, 0
+        for pdf in batches:
+            out = []
+            for k, v in zip(pdf[by].tolist(), pdf[value].tolist(), strict=True):
+                if k != key:
+                    key, best, stale = k, None, 0
+                better = best is None or v > best + delta
+                best, stale = (v, 0) if better else (best, stale + 1)
+                out.append(stale)
+            yield pdf.assign(stale=out)
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInPandas(shipped(rows, run), f"{types}, stale int")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..cluster import shipped
 from . import kernels as K
 from .decode import dense
 
@@ -39,7 +40,7 @@ def surface_table(grid: DataFrame, by: str, a: str, b: str, spacing=(1.0, 1.0, 1
         v, _ = dense(pdf.astype({a: int, b: int}), [a, b])
         return pd.DataFrame([{by: pdf[by].iloc[0]} | surface_scores(v[0] > 0, v[1] > 0, spacing, tolerance)])
 
-    return grid.select(by, "z", "y", "x", a, b).groupBy(by).applyInPandas(run, f"{by} long, dice double, hd95 double, assd double, nsd double")
+    return grid.select(by, "z", "y", "x", a, b).groupBy(by).applyInPandas(shipped(grid, run), f"{by} long, dice double, hd95 double, assd double, nsd double")
 
 
 def component_table(grid: DataFrame, by: str, mask: str, connectivity: int = 1) -> DataFrame:
@@ -55,7 +56,7 @@ def component_table(grid: DataFrame, by: str, mask: str, connectivity: int = 1)
         out = pdf[[by, "z", "y", "x"]].assign(root=first[parts[at]])
         return out[out["root"] >= 0]
 
-    return grid.select(by, "z", "y", "x", mask).groupBy(by).applyInPandas(run, f"{by} long, z long, y long, x long, root long")
+    return grid.select(by, "z", "y", "x", mask).groupBy(by).applyInPandas(shipped(grid, run), f"{by} long, z long, y long, x long, root long")
 
 
 def nearest_table(grid: DataFrame, by: str, label: str, where: str, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -68,7 +69,7 @@ def nearest_table(grid: DataFrame, by: str, label: str, where: str, spacing=(1.0
         out = pdf[[by, "z", "y", "x"]].assign(distance=d[at], filled=np.where(nearest[at] >= 0, labels.ravel()[nearest[at]], 0))
         return out[(v[1][at] > 0) & (labels[at] == 0) & np.isfinite(out["distance"])]
 
-    return grid.select(by, "z", "y", "x", label, where).groupBy(by).applyInPandas(run, f"{by} long, z long, y long, x long, distance double, filled long")
+    return grid.select(by, "z", "y", "x", label, where).groupBy(by).applyInPandas(shipped(grid, run), f"{by} long, z long, y long, x long, distance double, filled long")
 
 
 def prune_components(inst: np.ndarray, least: int, connectivity: int = 1) -> np.ndarray:
@@ -106,22 +107,37 @@ def skeleton_parts(volume: np.ndarray, threshold: float = 200.0, least: int = 10
     return {name: parts == i + 1 for name, i in out.items()}
 
 
+#: The names by which stored models ask for features of a candidate's shape and intensities.
+SHAPE_FEATURES = (
+    "source_log_volume_cm3", "source_component_count", "source_bbox_short_mm", "source_bbox_mid_mm", "source_bbox_long_mm", "source_bbox_elongation", "piece_small_volume_cm3", "piece_large_volume_cm3", "piece_small_large_ratio",
+    "isolated_piece_fraction", "piece_component_count", "remainder_component_count", "piece_surface_fraction", "remainder_surface_fraction", "interface_voxels", "interface_source_fraction", "centroid_distance_mm",
+    "centroid_distance_radius_ratio", "ct_piece_mean", "ct_remainder_mean", "ct_absolute_mean_difference", "ct_standardized_mean_difference", "ct_piece_std", "ct_remainder_std",
+)
+
+
 def candidate_features(source: np.ndarray, piece: np.ndarray, ct: np.ndarray, spacing=(1.0, 1.0, 1.0)) -> dict[str, float]:
-    """Shape, interface and intensity features of splitting a piece off a source."""
-    rest = source & ~piece
-    voxel, n = float(np.prod(spacing)), int(source.sum())
-    small, large = sorted((int(piece.sum()), int(rest.sum())))
-    at = np.argwhere(source)
-    box = sorted((at.max(0) - at.min(0) + 1) * np.array(spacing))
-    gap = float(np.linalg.norm((np.argwhere(piece).mean(0) - np.argwhere(rest).mean(0)) * spacing))
-    meet = int((K.dilate(piece, [(0, 0, 0), *K.structure(3)]) & rest).sum())
-    a, b = ct[piece], ct[rest]
-    pooled = float(np.sqrt(0.5 * (a.var() + b.var())))
+    """SHAPE_FEATURES of splitting a piece off a source: one table of moments of the two sides, then their combinations."""
+    side = np.where(piece, 1, 0)[source]
+    place, value = np.argwhere(source) * np.asarray(spacing, float), ct[source].astype(float)
+    n = np.bincount(side, minlength=2)
+    mean_of = lambda x: np.bincount(side, weights=x, minlength=2) / np.maximum(n, 1)
+    mean = mean_of(value)
+    std = np.sqrt(mean_of((value - mean[side]) ** 2))
+    center = np.stack([mean_of(place[:, k]) for k in range(3)], 1)
+    sides = np.sort(np.ptp(place, axis=0) + np.asarray(spacing, float))
     full = [(0, 0, 0), *K.structure(3)]
-    edge = lambda m: 1 - K.erode(m, full).sum() / m.sum()
-    return {
-        "log_volume_cm3": float(np.log1p(n * voxel / 1000)), "parts": K.components(source, 3)[1], "short_mm": box[0], "mid_mm": box[1], "long_mm": box[2], "elongation": box[2] / max(box[0], 1e-6),
-        "small_cm3": small * voxel / 1000, "large_cm3": large * voxel / 1000, "small_large": small / max(large, 1), "piece_fraction": int(piece.sum()) / max(n, 1),
-        "piece_parts": K.components(piece, 3)[1], "rest_parts": K.components(rest, 3)[1], "piece_surface": float(edge(piece)), "rest_surface": float(edge(rest)), "interface": meet, "interface_fraction": meet / max(n, 1),
-        "gap_mm": gap, "gap_radius": gap / max((3 * n * voxel / (4 * np.pi)) ** (1 / 3), 1e-6), "piece_mean": float(a.mean()), "rest_mean": float(b.mean()), "mean_gap": abs(float(a.mean()) - float(b.mean())), "mean_gap_std": abs(float(a.mean()) - float(b.mean())) / max(pooled, 1e-6), "piece_std": float(a.std()), "rest_std": float(b.std()),
+    masks = {"source": source, "piece": piece, "remainder": source & ~piece}
+    voxel, total = float(np.prod(spacing)), int(n.sum())
+    meet = int((K.dilate(piece, full) & masks["remainder"]).sum())
+    apart, gap = float(np.linalg.norm(center[1] - center[0])), float(abs(mean[1] - mean[0]))
+    found = {f"{k}_component_count": K.components(m, 3)[1] for k, m in masks.items()}
+    found |= {f"{k}_surface_fraction": 1.0 - K.erode(m, full).sum() / max(m.sum(), 1) for k, m in masks.items() if k != "source"}
+    found |= {f"source_bbox_{k}_mm": x for k, x in zip(("short", "mid", "long"), sides, strict=True)}
+    found |= {f"piece_{k}_volume_cm3": x * voxel / 1000 for k, x in zip(("small", "large"), np.sort(n), strict=True)}
+    found |= {f"ct_{k}_mean": mean[i] for k, i in (("piece", 1), ("remainder", 0))} | {f"ct_{k}_std": std[i] for k, i in (("piece", 1), ("remainder", 0))}
+    found |= {
+        "source_log_volume_cm3": np.log1p(total * voxel / 1000), "source_bbox_elongation": sides[2] / max(sides[0], 1e-6), "piece_small_large_ratio": n.min() / max(n.max(), 1), "isolated_piece_fraction": n[1] / max(total, 1),
+        "interface_voxels": meet, "interface_source_fraction": meet / max(total, 1), "centroid_distance_mm": apart, "centroid_distance_radius_ratio": apart / max((3 * total * voxel / (4 * np.pi)) ** (1 / 3), 1e-6),
+        "ct_absolute_mean_difference": gap, "ct_standardized_mean_difference": gap / max(float(np.sqrt(np.mean(std**2))), 1e-6),
     }
+    return {k: float(found[k]) for k in SHAPE_FEATURES}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import anatomy_of
 from ..operators import decode as D
+from ..operators import gate as G
 from ..operators import heal as H
 from ..operators import decode_targets as DT
 from ..operators import surfaces as SU
@@ -140,19 +141,12 @@ def decode_contact_heads(spark, sf):
     return _sizes(D.per_block(X.vox(spark, sf).withColumn("s", F.col("label") % 4), "slab", ["v", "s"], lambda c: DT.contact_heads(c[1].astype(int), s(8 * c[0] + 1), s(20 * c[0] - 1), s(-15 * c[0] - 2), s(-15 * c[0] - 2))))
 
 
-@query("candidate_features", "slab:l feature:s value:d")
+@query("candidate_features", "vol:l source_id:l proposal_id:l feature:s value:d")
 def candidate_features(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, _ = D.dense(pdf, ["gt", "pred", "v"])
-        ids, n = np.unique(c[0][c[0] > 0], return_counts=True)
-        source = c[0] == ids[np.argmax(n)] if len(ids) else c[0] > 0
-        inside = c[1][source & (c[1] > 0)]
-        piece = source & (c[1] == inside.min()) if len(inside) else source & False
-        if not piece.any() or (piece == source).all():
-            return pd.DataFrame([], columns=["slab", "feature", "value"])
-        return pd.DataFrame([(pdf["slab"].iloc[0], k, float(v)) for k, v in SU.candidate_features(source, piece, c[2]).items()], columns=["slab", "feature", "value"])
-
-    return X.instances_b(spark, sf).groupBy("slab").applyInPandas(run, "slab long, feature string, value double")
+    """Every candidate of every slab."""
+    g = X.instances_b(spark, sf).where("gt > 0").selectExpr("slab vol", "z", "y", "x", "gt base", "pred proposal", "v ct")
+    found, _ = G.candidates(g, 20)
+    return G.with_features(g, found).select("vol", "source_id", "proposal_id", F.explode("features").alias("feature", "value"))
 
 
 @query("official_aligned_metrics", "anatomy:l n_gt:l iou:d dice:d hd95:d assd:d recall:d precision:d f1:d")

@@ -12,7 +12,7 @@ from ..operators import heal as H
 from ..operators import gate as G
 from ..operators import scans as P
 from ..sources import fixtures as X
-from .base import query
+from .base import INST_B, VOX, query
 from .block_queries import _affinities, _classes, _sizes
 
 
@@ -44,13 +44,28 @@ class _Line:
         return self.at + self.slope * np.asarray(x)[:, 0]
 
 
-_PAYLOAD = {"models": {"delta_merge": _Line(-0.8, 0.1), "delta_split": _Line(1.0), "delta_dice": _Line(0.01), "delta_f1": _Line(0.0), "delta_precision": _Line(0.0)}, "feature_names": ["piece_fraction", "gap_mm"], "policy": {"action": "select", "merge_max": -0.55, "split_max": 2.25}, "quality_guards": {"delta_dice_min": -0.01, "delta_f1_min": -0.05, "delta_precision_min": -0.10}}
+_PAYLOAD = {"models": {"delta_merge": _Line(-0.8, 0.1), "delta_split": _Line(1.0), "delta_dice": _Line(0.01), "delta_f1": _Line(0.0), "delta_precision": _Line(0.0)}, "feature_names": ["isolated_piece_fraction", "centroid_distance_mm"], "policy": {"action": "select", "merge_max": -0.55, "split_max": 2.25}, "quality_guards": {"delta_dice_min": -0.01, "delta_f1_min": -0.05, "delta_precision_min": -0.10}}
 
 
-@query("split_gate", "base:l n:l")
+#: The rule's best candidate is the smallest share that a piece has of its source.
+_SPLIT_GATE = f"""
+    WITH {VOX}, {INST_B},
+    g AS (SELECT slab AS vol, z, y, x, gt AS base, pred AS proposal, (gt - 1) // 50 AS a FROM inst WHERE gt > 0),
+    p AS (SELECT vol, a, base, proposal, count(*) AS n, sum(z) AS sz, sum(y) AS sy, sum(x) AS sx FROM g WHERE proposal > 0 AND (proposal - 1) // 50 = a GROUP BY ALL),
+    t AS (SELECT vol, base, count(*) AS t_n, sum(z) AS tz, sum(y) AS ty, sum(x) AS tx FROM g GROUP BY ALL),
+    r AS (SELECT *, count(*) OVER (PARTITION BY vol, base) AS k, row_number() OVER (PARTITION BY vol, base ORDER BY n, proposal) AS nth FROM p JOIN t USING (vol, base)),
+    c AS (SELECT *, n > t_n - n AS inv, least(n, t_n - n) AS piece FROM r WHERE k > 2 OR (k = 2 AND nth = 1)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY vol, base, piece, CASE WHEN inv THEN tz - sz ELSE sz END, CASE WHEN inv THEN ty - sy ELSE sy END, CASE WHEN inv THEN tx - sx ELSE sx END ORDER BY n DESC, proposal) AS copy FROM c WHERE piece >= 20 AND t_n - piece >= 20),
+    s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vol, base ORDER BY -0.8 + 0.1 * (piece / t_n), proposal) AS best FROM d WHERE copy = 1) WHERE best = 1),
+    f AS (SELECT v.vol, (i - 1) // 50 AS a, i AS id, row_number() OVER (PARTITION BY v.vol, (i - 1) // 50 ORDER BY i) AS k FROM (SELECT DISTINCT vol FROM s) AS v, (SELECT unnest(range(1, 201)) AS i) WHERE (v.vol, i) NOT IN (SELECT vol, base FROM g)),
+    w AS (SELECT s.vol, s.base, s.proposal, s.inv, f.id FROM (SELECT *, row_number() OVER (PARTITION BY vol, a ORDER BY base) AS k2 FROM s) AS s JOIN f ON f.vol = s.vol AND f.a = s.a AND f.k = s.k2)
+    SELECT vol, base, count(*) AS n FROM (SELECT g.vol, CASE WHEN w.id IS NOT NULL AND (g.proposal = w.proposal) <> w.inv THEN w.id ELSE g.base END AS base FROM g LEFT JOIN w ON w.vol = g.vol AND w.base = g.base) GROUP BY ALL"""
+
+
+@query("split_gate", "vol:l base:l n:l", _SPLIT_GATE)
 def split_gate(spark, sf):
-    g = X.instances_b(spark, sf).where("gt > 0").selectExpr("0L vol", "z", "y", "x", "gt base", "pred proposal", "v ct")
-    return G.run_gate(g, _PAYLOAD, 20).groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    g = X.instances_b(spark, sf).where("gt > 0").selectExpr("slab vol", "z", "y", "x", "gt base", "pred proposal", "v ct")
+    return G.run_gate(g, _PAYLOAD, 20).groupBy("vol", "base").agg(F.count(F.lit(1)).alias("n"))
 
 
 class _Family:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shipped
+
 #: MetaImage element types.
 MET = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_USHORT": "u2", "MET_SHORT": "i2", "MET_UINT": "u4", "MET_INT": "i4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
 GEOMETRY = "path string, nx long, ny long, nz long, sx double, sy double, sz double, origin array<double>, direction array<double>"
@@ -88,7 +90,7 @@ def read_mha(spark: SparkSession, folder: str, pattern: str = "*.mha") -> tuple[
         for pdf in batches:
             yield pd.DataFrame([_geometry(p, parse_mha(c)[0]) for p, c in zip(pdf["path"], pdf["content"])])
 
-    return files.mapInPandas(voxels, "path string, z long, y long, x long, value double"), files.mapInPandas(geometry, GEOMETRY)
+    return files.mapInPandas(shipped(files, voxels), "path string, z long, y long, x long, value double"), files.mapInPandas(shipped(files, geometry), GEOMETRY)
 
 
 def mha_bytes(a: np.ndarray, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0), direction=(1, 0, 0, 0, 1, 0, 0, 0, 1), compressed: bool = False) -> bytes:
@@ -134,7 +136,7 @@ def read_npz(spark: SparkSession, folder: str, keys=("probabilities", "softmax")
                 c, zz, y, x = np.indices(a.shape)
                 yield pd.DataFrame({"path": path, "c": c.ravel(), "z": zz.ravel(), "y": y.ravel(), "x": x.ravel(), "value": a.ravel().astype(float)})
 
-    return files.mapInPandas(rows, "path string, c long, z long, y long, x long, value double")
+    return files.mapInPandas(shipped(files, rows), "path string, c long, z long, y long, x long, value double")
 
 
 def read_evals(spark: SparkSession, folder: str, required=("dataset", "iou_f", "samples")) -> DataFrame:
