@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import shipped
+from ..cluster import shipped, written
 
 
 def slot_cap(sizes: DataFrame, by: str, ident: str, n: str, cap: int = 50) -> DataFrame:
@@ -15,6 +15,22 @@ def slot_cap(sizes: DataFrame, by: str, ident: str, n: str, cap: int = 50) -> Da
     return r.where(F.col("by_size") <= cap).select(by, ident, n, F.when(F.col("many"), F.col("by_size")).otherwise(F.col("by_id")).alias("slot"))
 
 
+def ranked(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """df with its rows' numbers from 1 in a total order over the whole table.
+
+    Rows are dealt to ranges, numbered in each, and lifted by the number of rows in the ranges before: no task
+    holds the table. The dealt rows are written first, so that all passes see the same ranges.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before, total = [], 0
+    for r in sorted(dealt.groupBy("_range").count().collect(), key=lambda r: r["_range"]):  # one row a range
+        before.append((r["_range"], total))
+        total += r["count"]
+    lift = df.sparkSession.createDataFrame(before, "_range int, _before long")
+    here = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long"))
+    return here.join(F.broadcast(lift), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def volume_gate(sizes: DataFrame, by: list[str], n: str, share: float = 0.20) -> DataFrame:
     """Rows of at least a share of their group's largest."""
     return sizes.withColumn("_top", F.max(n).over(Window.partitionBy(*by))).where((F.col(n) >= share * F.col("_top")) & (F.col("_top") > 0)).drop("_top")

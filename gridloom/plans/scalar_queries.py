@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import registry as R
 from ..functions import scalar as S
 from ..operators import neighbors as N
+from ..operators import ranking as RK
 from ..session import load
 from ..sources import fixtures as X
 from .base import INST_B, VOX, query
@@ -156,9 +157,9 @@ def bbox_by_label(spark, sf):
 
 @query("relabel_dense", "part:l compact:l n:l", "SELECT part, dense_rank() OVER (ORDER BY part) AS compact, n FROM (SELECT l_partkey * 3 + l_linenumber % 2 AS part, count(*) AS n FROM lineitem GROUP BY 1)")
 def relabel_dense(spark, sf):
-    # distinct ids first: the ranking window sees one row an id
+    # distinct ids first, ranked by ranges
     ids = load(spark, sf, "lineitem").groupBy((F.col("l_partkey") * 3 + F.col("l_linenumber") % 2).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    return ids.withColumn("compact", F.dense_rank().over(Window.orderBy("part")))
+    return RK.ranked(ids, "compact", F.col("part"))
 
 
 @query("poly_rate", "epoch:l rate:d", "SELECT epoch, 0.01 * pow(greatest(0, 1 - epoch / 900.0), 0.9) AS rate FROM (SELECT DISTINCT o_orderkey % 1000 AS epoch FROM orders)")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.registry import anatomies, anatomy_of
+from ..operators import ranking as R
 from ..session import load
 from ..sources import fixtures as X
 from ..sources import volumes as V
@@ -78,7 +78,7 @@ def report_json(spark, sf):
 @query("evals_ranked", "event_id:l k:l rank:l", "SELECT event_id, k, row_number() OVER (ORDER BY COALESCE(k, -1) DESC, event_id) AS rank FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k IS NOT NULL")
 def evals_ranked(spark, sf):
     e = load(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k IS NOT NULL")
-    return e.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("k"), "event_id")))
+    return R.ranked(e, "rank", F.desc("k"), F.col("event_id"))
 
 
 @query("resample_nearest", "slab:l z:l y:l x:l gt:l", f"WITH {VOX}, {INST_B} SELECT t.slab, t.z, t.y, t.x, i.gt FROM (SELECT s AS slab, z, y, x FROM (SELECT DISTINCT slab AS s FROM inst), (SELECT unnest(range(0, 25)) AS z), (SELECT unnest(range(0, 4)) AS y), (SELECT unnest(range(0, 4)) AS x)) t JOIN inst i ON i.slab = t.slab AND i.z = t.slab * 50 + t.z * 2 + 1 AND i.y = t.y * 2 + 1 AND i.x = t.x * 2 + 1")

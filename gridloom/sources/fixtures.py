@@ -15,8 +15,8 @@ def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.selectExpr("z", "cast(pos div 8 as bigint) y", "cast(pos % 8 as bigint) x", "cast(v as double) v", "label", "z div 50 slab")
 
 
-def _instances(v: DataFrame, gt: str, pred: str) -> DataFrame:
-    return v.selectExpr("z", "y", "x", "v", "slab", f"CASE WHEN v > 0 THEN 1 + 50 * (label % 4) + {gt} ELSE 0 END AS gt", f"CASE WHEN v > -0.02 THEN 1 + 50 * (label % 4) + {pred} ELSE 0 END AS pred")
+def _instances(v: DataFrame, gt: str, pred: str, more: tuple[str, ...] = ()) -> DataFrame:
+    return v.selectExpr("z", "y", "x", "v", "slab", *more, f"CASE WHEN v > 0 THEN 1 + 50 * (label % 4) + {gt} ELSE 0 END AS gt", f"CASE WHEN v > -0.02 THEN 1 + 50 * (label % 4) + {pred} ELSE 0 END AS pred")
 
 
 def instances_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +24,9 @@ def instances_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _instances(vox(spark, sf_dir), "(z div 100) % 5", "((z + 6 * y) div 110) % 5")
 
 
-def instances_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with merges and splits."""
-    return _instances(vox(spark, sf_dir), "(z div 50) % 10", "((z + 6 * y) div 125) % 5")
+def instances_b(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The same with merges and splits, and more columns of the voxels."""
+    return _instances(vox(spark, sf_dir), "(z div 50) % 10", "((z + 6 * y) div 125) % 5", more)
 
 
 def affinity_columns(v: DataFrame) -> DataFrame:

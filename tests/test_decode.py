@@ -3,143 +3,191 @@ import pytest
 
 from gridloom.operators import decode as D
 from gridloom.operators import decode_targets as DT
+from gridloom.operators import heal as H
 from gridloom.operators import surfaces as SU
 from gridloom.operators import targets as T
 
 
-def probs_for(labels, border=0.80):
-    p = np.full((4, *labels.shape), 0.01)
-    p[0] = 0.90
-    p[:, labels > 0] = 0.01
-    p[1, labels > 0] = border
-    return p
+def world(shape, **slabs):
+    """Labels 1, 2 ... of stretches along the second axis, inside a margin of one voxel; and class fields that say border there, background elsewhere."""
+    labels = np.zeros(shape, int)
+    for k, (lo, hi) in enumerate(slabs.values(), 1):
+        labels[1:-1, lo:hi, 1:-1] = k
+    p = np.zeros((4, *shape))
+    p[0], p[1] = labels == 0, 0.7 * (labels > 0)
+    return labels, p
 
 
-def bars(two=True):
-    labels = np.zeros((32, 32, 48), int)
-    labels[5:27, 5:27, 4:44] = 1
-    if two:
-        labels[5:27, 5:27, 24:44] = 2
-    return labels
-
-
-def test_missing_boundary_splits_one_bar():
-    labels = bars(False)
-    p = probs_for(labels)
-    p[3, 10:22, 10:22, 8:40] = 0.90
-    p[2, 5:27, 5:27, 22:27] = 0.99
-    out, report = D.refine(labels, p, passes=1)
-    assert out.max() == 2 and len(report["splits"]) == 1
-
-
-def test_unsupported_interface_merges():
-    labels = bars()
-    p = probs_for(labels)
-    p[3, 9:23, 9:23, 8:40] = 0.90
-    out, report = D.refine(labels, p, passes=0)
-    assert out.max() == 1 and len(report["merges"]) == 1
-
-
-def test_supported_interface_stays():
-    labels = bars()
-    p = probs_for(labels)
-    p[3, 9:23, 9:23, 8:40] = 0.90
-    p[2, 5:27, 5:27, 21:27] = 0.99
-    out, report = D.refine(labels, p, passes=0)
-    assert out.max() == 2 and not report["merges"]
+def count(labels):
+    return len(np.unique(labels[labels > 0]))
 
 
-def test_fill_keeps_instances():
-    labels = np.zeros((16, 16, 24), int)
-    labels[3:13, 3:13, 2:10] = 1
-    labels[3:13, 3:13, 14:22] = 2
+def test_beside_others_and_inner_by_definition():
+    r = np.random.default_rng(3)
+    labels = r.integers(0, 3, (5, 6, 7)) * (r.random((5, 6, 7)) > 0.6)
+    mask = r.random(labels.shape) > 0.2
+    near, inside = H.beside_others(labels, 2), H.inner(mask, labels)
+    for at in np.ndindex(labels.shape):
+        around = [tuple(np.add(at, o)) for o in np.ndindex(5, 5, 5) if sum((k - 2) ** 2 for k in o) <= 4]
+        around = [tuple(int(x) - 2 for x in q) for q in around]
+        others = {labels[q] for q in around if all(0 <= x < n for x, n in zip(q, labels.shape))} - {0, labels[at]}
+        assert near[at] == (labels[at] > 0 and bool(others))
+        steps = [tuple(np.add(at, d)) for d in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]
+        assert inside[at] == (mask[at] and all(all(0 <= x < n for x, n in zip(q, labels.shape)) and mask[q] and labels[q] == labels[at] for q in steps))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_queue_merges_as_asking_all_pairs_again_does(seed):
+    r = np.random.default_rng(seed)
+    labels = r.integers(0, 9, (4, 5, 6))
+    weight = r.random(labels.shape).round(1)
+
+    def judge(out, a, b):
+        gap = 1 - abs(weight[out == a].mean() - weight[out == b].mean())
+        return {"left": a, "right": b, "score": round(gap, 1)} if gap > 0.75 else None
+
+    want, steps = labels.copy(), []
+    while True:
+        found = [e for a, around in H.neighbours(want, 1).items() for b in around if b > a and (e := judge(want, a, b))]
+        if not found:
+            break
+        e = min(found, key=lambda e: (-e["score"], e["left"], e["right"]))
+        want[want == e["right"]] = e["left"]
+        steps.append((e["left"], e["right"]))
+    out, events = H.merge_best(labels, judge, 1, 99)
+    assert [(e["left"], e["right"]) for e in events] == steps and (out == np.unique(want, return_inverse=True)[1].reshape(out.shape)).all()
+
+
+def test_a_wall_that_no_neighbour_explains_cuts():
+    labels, p = world((16, 40, 14), whole=(2, 38))
+    p[2, :, 17:20] = 0.95 * (labels[:, 17:20] > 0)
+    out, report = H.refine(labels, p, passes=2)
+    assert count(out) == 2 and [e["pieces"] for e in report["splits"]] == [2] and (out > 0).sum() == (labels > 0).sum()
+    assert len(np.unique(out[:, 5][labels[:, 5] > 0])) == 1 and out[8, 5, 7] != out[8, 30, 7]
+    # too little of it; pieces too small; and a neighbour that explains it
+    few = p.copy()
+    few[2] = 0
+    few[2, 7:9, 17:20, 6:8] = 0.95
+    assert not H.refine(labels, few, passes=2)[1]["splits"]
+    assert not H.refine(labels, p, passes=2, least_piece=3000)[1]["splits"]
+    both, p = world((16, 40, 14), left=(2, 18), right=(18, 38))
+    p[2, :, 17:19] = 0.95 * (both[:, 17:19] > 0)
+    out, report = H.refine(both, p, passes=2)
+    assert count(out) == 2 and not report["splits"] and not report["merges"]
+
+
+def test_pairs_merge_where_no_boundary_stands():
+    labels, p = world((9, 30, 9), a=(1, 10), b=(10, 20), c=(20, 29))
+    out, report = H.refine(labels, p, passes=0)
+    assert count(out) == 1 and len(report["merges"]) == 2
+    p[2, :, 18:22] = 0.9 * (labels[:, 18:22] > 0)
+    out, report = H.refine(labels, p, passes=0)
+    assert count(out) == 3 and not report["merges"]  # a boundary in sight of a pair counts for it, wherever it stands
+
+
+def test_filling_changes_no_instance():
+    labels, _ = world((7, 20, 7), a=(2, 6), b=(12, 17))
     mask = np.zeros(labels.shape, bool)
-    mask[4:12, 4:12, 7:17] = True
-    out, filled = D.fill_mask(labels, mask)
-    assert (out[labels > 0] == labels[labels > 0]).all() and out.max() == 2 and filled > 0
-
-
-def three():
-    labels = np.zeros((20, 20, 48), int)
-    for k in range(3):
-        labels[4:16, 4:16, 16 * k : 16 * k + 16] = k + 1
-    p = np.full((4, *labels.shape), 0.05)
-    p[0] = 0.90
-    p[:, labels > 0] = 0.10
-    p[1, labels > 0], p[3, labels > 0] = 0.30, 0.20
-    return labels, p, np.zeros((9, *labels.shape))
-
-
-def test_small_fragments_need_three_ranges():
-    labels, p, a = three()
-    a[:6] = 0.9
-    out, report = D.progressive_merge(labels, p, a, most=1)
-    assert out.max() == 3 and report["accepted"] == 0 and report["rejected"]["affinity"] > 0
-    a[6:] = 0.9
-    out, report = D.progressive_merge(labels, p, a, most=1)
-    assert out.max() == 2 and report["accepted"] == 1
-
-
-@pytest.mark.parametrize("why", ["core_veto", "border_veto"])
-def test_vetoes(why):
-    labels, p, a = three()
-    labels[labels == 3] = 0
-    a[:] = 0.9
-    if why == "core_veto":
-        p[3, labels == 1] = 0.95
-    else:
-        p[1, labels > 0] = 0.60
-    out, report = D.progressive_merge(labels, p, a, small_veto=True, most=1)
-    assert out.max() == 2 and report["rejected"][why] > 0
-
-
-def test_mutual_best_stops_the_cascade():
-    labels, p, a = three()
-    a[:] = 0.9
-    greedy = D.progressive_merge(labels, p, a, small_veto=True)
-    mutual = D.progressive_merge(labels, p, a, small_veto=True, mutual=True)
-    assert (greedy[0].max(), greedy[1]["accepted"]) == (1, 2) and (mutual[0].max(), mutual[1]["accepted"]) == (2, 1)
-
-
-def fields(long=False, mid=False):
-    p = np.zeros((4, 12, 12, 30))
+    mask[2:5, 4:14, 2:5] = True
+    out, filled = H.fill_mask(labels, mask)
+    assert (out[labels > 0] == labels[labels > 0]).all() and filled == (mask & (labels == 0)).sum() == (out > 0).sum() - (labels > 0).sum()
+
+
+def agreeing(labels, ranges=3):
+    a = np.zeros((9, *labels.shape))
+    a[: 3 * ranges] = 0.8
+    return a
+
+
+@pytest.mark.parametrize(
+    "why, fields, options",
+    [
+        ("boundary", {2: 0.9}, {"least_gain": 0.5}),
+        ("candidate_size", {}, {"least_mm3": 10_000.0}),
+        ("core_veto", {3: 0.99}, {"small_veto": True}),
+        ("border_veto", {}, {"small_veto": True, "border_veto": 0.2}),
+        ("affinity", {}, {"ranges": 2}),
+        (None, {}, {}),
+        (None, {}, {"ranges": 2, "small_strict": False}),
+        (None, {}, {"ranges": 2, "small_mm3": 50.0}),
+    ],
+)
+def test_reasons_against_a_merge(why, fields, options):
+    """Of two instances of 441 and 539 voxels: what holds them apart, one reason at a time."""
+    options = dict(options)
+    labels, p = world((9, 22, 9), a=(1, 10), b=(10, 21))
+    for channel, value in fields.items():
+        p[channel] = value * (labels > 0)
+    a = agreeing(labels, options.pop("ranges", 3))
+    out, report = H.progressive_merge(labels, p, a, **{"least_mm3": 10.0, "small_mm3": 1000.0, **options})
+    assert (count(out), report["accepted"]) == ((2, 0) if why else (1, 1))
+    assert {k for k, n in report["rejected"].items() if n} == ({why} if why else set())
+
+
+def test_one_round_of_mutual_best_pairs():
+    labels, p = world((9, 41, 9), a=(1, 11), b=(11, 21), c=(21, 31), d=(31, 40))
+    a, options = agreeing(labels), {"least_mm3": 1.0}
+    one = H.progressive_merge(labels, p, a, mutual=True, **options)
+    many = H.progressive_merge(labels, p, a, **options)
+    assert (count(many[0]), many[1]["accepted"]) == (1, 3)
+    merged = {x for e in one[1]["events"] for x in (e["left"], e["right"])}
+    assert one[1]["accepted"] == len(merged) // 2 and count(one[0]) == 4 - one[1]["accepted"] > 1
+
+
+def test_soft_merges_need_border_and_agreement():
+    labels, p = world((9, 30, 9), a=(1, 10), b=(10, 20), c=(20, 29))
+    assert H.soft_merge(labels, p, agreeing(labels))[1]["accepted"] == 2
+    out, report = H.soft_merge(labels, p, agreeing(labels, 1))
+    assert count(out) == 3 and report["affinity"] == report["examined"] == 2
+    p[2] = 0.5 * (labels > 0)
+    assert H.soft_merge(labels, p, agreeing(labels))[1]["boundary"] == 2
+
+
+def test_conservative_splits_ask_for_volume_core_and_affinity():
+    labels, p = world((16, 40, 14), whole=(2, 38))
+    p[3, 4:12, 4:36, 4:10] = 0.9
+    p[2, :, 17:20] = 0.95 * (labels[:, 17:20] > 0)
+    apart = np.full((9, *labels.shape), 0.2)
+    split = lambda a=apart, **k: H.conservative_split(labels, p, a, **{"least_mm3": 500.0, **k})
+    out, report = split()
+    assert count(out) == 2 and report["accepted"] == 1
+    assert split(least_mm3=4000.0)[1]["rejected"]["pieces"] == 1 and split(least_core=10_000)[1]["rejected"]["core"] == 1
+    assert split(1 - apart)[1]["rejected"]["affinity"] == 1 and split(absolute=10_000, relative=2.0)[1]["rejected"]["boundary"] == 1
+
+
+def column(**broken):
+    """A column of border with a core at either end, all affinities high but for the named ranges'."""
+    p = np.zeros((4, 8, 34, 8))
     p[1] = 1
-    for x in (3, 24):
-        p[3, 3:9, 3:9, x : x + 3] = 1
-        p[1, 3:9, 3:9, x : x + 3] = 0
-    a = np.full((9, 12, 12, 30), 0.98)
-    if mid:
-        a[5] = 0
-    if long:
-        a[8] = 0
+    for y in (1, 29):
+        p[:, 2:6, y : y + 4, 2:6] = np.array([0, 0, 0, 1.0])[:, None, None, None]
+    a = np.full((9, 8, 34, 8), 0.97)
+    for name in broken:
+        a[list(D.RANGES[name])] = 0.02
     return p, a
 
 
-def count(labels):
-    return len(np.unique(labels[labels > 0]))
-
-
-def test_range_vetoes():
-    p, a = fields(long=True)
-    out, report = D.multirange(p, a, least=1, least_pairs=1)
-    assert count(D.affinity_agglomerate(p, a, 0.75, 1)) == 1 and count(out) >= 2 and report["long_veto"] >= 1
-    out, report = D.multirange(p, a, least=1, least_pairs=1, long=False)
-    assert count(out) == 1 and report["long_veto"] == 0
-    p, a = fields(mid=True)
-    out, report = D.multirange(p, a, least=1, least_pairs=1, long=False)
-    assert count(out) >= 2 and report["mid_veto"] >= 1
-    assert count(D.multirange(p, a, least=1, least_pairs=1, mid=False)[0]) == 1
-    p, a = fields()
-    assert (D.multirange(p, a, least=1, least_pairs=1)[0] == D.affinity_agglomerate(p, a, 0.75, 1)).all()
-
-
-def test_core_seeds_and_empty_blocks():
-    p = np.zeros((4, 8, 8, 20))
-    p[1] = 1
-    p[3, 2:6, 2:6, 2:5] = p[3, 2:6, 2:6, 15:18] = 1
-    assert count(D.core_seed(p, least=10)) == 2 and count(D.core_seed(p, least=10, ratio=1.01)) <= 1
+def test_far_ranges_veto_what_near_ones_join():
+    free = {"least": 1, "least_pairs": 1}
+    p, a = column()
+    whole = D.multirange(p, a, **free)
+    assert count(whole[0]) == 1 and (whole[0] == D.affinity_agglomerate(p, a, 0.75, 1)).all()
+    for name in ("mid", "long"):
+        p, a = column(**{name: True})
+        assert count(D.affinity_agglomerate(p, a, 0.75, 1)) == 1
+        out, report = D.multirange(p, a, **free)
+        assert count(out) > 1 and report[f"{name}_veto"] > 0
+        out, report = D.multirange(p, a, **free, **{name: False})
+        assert count(out) == 1 and report[f"{name}_veto"] == 0
+
+
+def test_cores_seed_instances_and_nothing_comes_of_background():
+    p, _ = column()
+    assert count(D.core_seed(p, least=50)) == 2 and count(D.core_seed(p, least=1100)) == 0 and count(D.core_seed(p, least=50, ratio=1.5)) <= 1
+    p[:] = 0
     p[0] = 1
-    assert D.core_seed(p).max() == 0 and D.agglomerate(p).max() == 0 and D.multirange(p, np.ones((9, 8, 8, 20)))[1]["fragments"] == 0
+    none = [D.core_seed(p), D.agglomerate(p), D.multirange(p, np.ones((9, *p.shape[1:])))[0]]
+    assert not any(x.any() for x in none)
 
 
 def test_two_small_merge_rules():
@@ -159,22 +207,6 @@ def test_fusion_never_crosses_base_borders():
     assert (out > 0).all() and not set(np.unique(out[base == 1])) & set(np.unique(out[base == 2]))
 
 
-def test_soft_merge_and_conservative_split():
-    labels, p, a = three()
-    a[:] = 0.9
-    out, report = D.soft_merge(labels, p, a)
-    assert out.max() == 1 and report["accepted"] == 2
-    bar = bars(False)
-    q = probs_for(bar)
-    q[3, 6:26, 6:26, 6:42] = 0.90
-    q[2, 5:27, 5:27, 22:27] = 0.99
-    apart = np.ones((9, *bar.shape))
-    assert D.conservative_split(bar, q, apart)[1]["rejected"]["affinity"] > 0
-    apart[:, :, :, 20:29] = 0.1
-    out, report = D.conservative_split(bar, q, apart)
-    assert out.max() == 2 and report["accepted"] == 1
-
-
 def test_targets_have_one_core_each_and_decode_back():
     inst = np.zeros((14, 14, 24), int)
     inst[2:12, 2:12, 2:12] = 1
@@ -230,8 +262,9 @@ def test_candidate_features():
     piece = source.copy()
     piece[:, :, 3:] = False
     f = SU.candidate_features(source, piece, np.indices(source.shape)[2].astype(float), (1, 1, 2))
-    assert f["piece_fraction"] == 3 / 8 and f["interface"] == 16 and f["gap_mm"] == 8 and f["long_mm"] == 16 and f["parts"] == f["piece_parts"] == 1
-    assert f["mean_gap"] == 4.0 and len(f) == 24
+    assert f["isolated_piece_fraction"] == 3 / 8 and f["interface_voxels"] == 16 and f["centroid_distance_mm"] == 8 and f["source_bbox_long_mm"] == 16 and f["source_component_count"] == f["piece_component_count"] == 1
+    assert f["ct_absolute_mean_difference"] == 4.0 and tuple(f) == SU.SHAPE_FEATURES and f["piece_small_volume_cm3"] == 48 * 2 / 1000
+    assert f["ct_piece_std"] == pytest.approx(np.std([0, 1, 2])) and f["ct_standardized_mean_difference"] == pytest.approx(4 / np.sqrt((np.var([0, 1, 2]) + np.var([3, 4, 5, 6, 7])) / 2))
 
 
 def test_femur_fragments_have_targets():
