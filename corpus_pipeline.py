@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm import decontaminate, mixing, neardup, sharding, toxicity
 from gridloom.llm.common import cut, table
 
-#: SQL can't express the learned and hashed stages; tests hold each against a brute-force version.
+#: SQL can't express the learned and hashed stages. Tests hold near-duplicates, decontamination, mixing and sharding against brute force or SQL, and toxicity against held-out labels.
 ORACLE_SQL = None
 
 
