@@ -141,3 +141,45 @@ def recode(v: Column, pairs: dict[int, int], other: int = 0) -> Column:
     for a, b in pairs.items():
         out = F.when(v == a, b) if out is None else out.when(v == a, b)
     return (out.otherwise(other) if out is not None else F.lit(other)).cast("long")
+
+
+def to_lps(code: Column, at: list[Column], extent: list[Column]) -> list[Column]:
+    """Coordinates x, y, z after the image axes are permuted and flipped to run toward L, P and S; null if the code lacks a direction."""
+    out = []
+    for letter, opposite in (("L", "R"), ("P", "A"), ("S", "I")):
+        found = [F.when(F.substring(code, k + 1, 1) == letter, at[k]).when(F.substring(code, k + 1, 1) == opposite, extent[k] - 1 - at[k]) for k in range(3)]
+        out.append(F.coalesce(*found))
+    return out
+
+
+def same_geometry(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Equal size, spacing and direction within 1e-5, origin within 1e-4; each an array of numbers by these names."""
+    close = lambda k, t: F.forall(F.zip_with(a[k], b[k], lambda x, y: F.coalesce(near(x, y, t), F.lit(False))), lambda v: v)
+    return (a["size"] == b["size"]) & close("spacing", 1e-5) & close("direction", 1e-5) & close("origin", 1e-4)
+
+
+def model_path(root: Column, default_root: str, dataset: Column, trainer: Column, own_trainer: Column, plans: str = "nnUNetResEncUNetLPlans", config: str = "3d_fullres") -> Column:
+    """root/dataset/trainer__plans__config; without a root the default one, without a trainer (null or empty) the dataset's own."""
+    run = F.concat_ws("__", F.coalesce(F.nullif(trainer, F.lit("")), own_trainer), F.lit(plans), F.lit(config))
+    return F.concat_ws("/", F.coalesce(root, F.lit(default_root)), dataset, run)
+
+
+def report_suffix(stem: Column) -> Column:
+    """The stem without its first `eval_`."""
+    return F.regexp_replace(stem, "(?s)^(.*?)eval_", "$1")
+
+
+def box_ranges(edges: list[Column]) -> Column:
+    """Edges z0, z1, y0, y1, x0, x1 as an array of (start, stop), z first."""
+    return F.array(*[F.struct(edges[2 * k].alias("start"), edges[2 * k + 1].alias("stop")) for k in range(3)])
+
+
+def range_edges(ranges: Column) -> list[Column]:
+    """The edges z0, z1, y0, y1, x0, x1 of an array of (start, stop)."""
+    return [ranges[k][e].alias(f"{a}{i}") for k, a in enumerate("zyx") for i, e in enumerate(("start", "stop"))]
+
+
+def by_key(record: Column, fields: list[str], key: Column) -> Column:
+    """The named field of a struct as text; fails by name on a key that is none of the fields."""
+    known = reduce(lambda w, f: w.when(key == f, record[f].cast("string")), fields[1:], F.when(key == fields[0], record[fields[0]].cast("string")))
+    return known.otherwise(F.raise_error(F.concat(F.lit("unknown key: "), F.coalesce(key, F.lit("null")))).cast("string"))

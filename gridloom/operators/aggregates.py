@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.registry import anatomy_name, anatomy_of
+
 PERCENTS = (0.5, 1, 5, 25, 50, 75, 95, 99, 99.5)
 
 
@@ -56,6 +58,13 @@ def centroids(grid: DataFrame, label: str, spacing=(1.0, 1.0, 1.0)) -> DataFrame
     return grid.where(F.col(label) > 0).groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[(F.avg(a) * s).alias(f"c{a}") for a, s in zip("zyx", spacing)])
 
 
+def fragments(grid: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """(by, label, name, n, z0 to x1): voxels and half-open box of each positive id, with its anatomy's name or Unknown."""
+    edges = [e for a in "zyx" for e in (F.min(a).alias(f"{a}0"), (F.max(a) + 1).alias(f"{a}1"))]
+    rows = grid.where(F.col(label) > 0).groupBy(*(by or []), label).agg(F.count(F.lit(1)).alias("n"), *edges)
+    return rows.withColumn("name", F.coalesce(anatomy_name(anatomy_of(F.col(label))), F.lit("Unknown")))
+
+
 def every_id(spark, stats: DataFrame, label: str, last: int = 200) -> DataFrame:
     """stats with a row for each id from 0 to last: absent ones have n = 0 and null places."""
     return spark.range(last + 1).select(F.col("id").alias(label)).join(stats, label, "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -20,8 +20,13 @@ def tversky(sums: DataFrame, alpha: float = 0.3, beta: float = 0.7, smooth: floa
 
 
 def boundary_overlap(sums: DataFrame, interior: DataFrame, smooth: float = 1e-5) -> DataFrame:
-    """(cls, alpha, loss): (z + y - 2i + s) / (z + y - (1 + a) i + s), a from the class's share of interior voxels; empty classes left out. interior: (cls, share)."""
-    j = sums.join(interior, "cls").where("p2 > 0 OR tt > 0").withColumn("alpha", F.greatest(F.lit(0.0), F.least(2 * F.col("share") - 1, F.lit(0.8))))
+    """(cls, alpha, loss): (z + y - 2i + s) / (z + y - (1 + a) i + s). interior: (cls, n, interior).
+
+    a is 2 * interior / (n + s) - 1, 0.8 at most, and 0 for a class without voxels; classes without
+    voxels and with a sum of probabilities below s are left out.
+    """
+    alpha = F.when(F.col("tt") == 0, F.lit(0.0)).otherwise(F.least(2 * F.coalesce("interior", F.lit(0)) / (F.col("n") + smooth) - 1, F.lit(0.8)))
+    j = sums.join(interior, "cls", "left").where((F.col("tt") > 0) | (F.col("pp") >= smooth)).withColumn("alpha", alpha)
     i, zy = F.col("inter"), F.col("p2") + F.col("tt")
     return j.withColumn("loss", (zy - 2 * i + smooth) / (zy - (1 + F.col("alpha")) * i + smooth))
 

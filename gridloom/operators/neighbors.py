@@ -77,12 +77,26 @@ def adjacent_pairs(grid: DataFrame, label: str, radius: float, by: list[str] | N
     return neighbor_pairs(kept, ball_offsets(radius, half=True), label, by).where(F.col(label) != F.col("other")).select(*by, F.least(label, "other").alias("lo"), F.greatest(label, "other").alias("hi")).distinct()
 
 
-def label_boxes(grid: DataFrame, label: str, by: list[str] | None = None, pad: int = 0) -> DataFrame:
-    """Half-open box of each label; a label without voxels has no row."""
-    edges = [e for a in "zyx" for e in ((F.min(a) - pad).alias(f"{a}0"), (F.max(a) + 1 + pad).alias(f"{a}1"))]
+def label_boxes(grid: DataFrame, label: str, by: list[str] | None = None, pad: int = 0, extent: tuple[int, int, int] | None = None) -> DataFrame:
+    """Half-open box of each label, padded, and clamped to the grid if its extent (z, y, x) is given; a label without voxels has no row."""
+    edges = []
+    for k, a in enumerate("zyx"):
+        low, high = F.min(a) - pad, F.max(a) + 1 + pad
+        if extent is not None:
+            low, high = F.greatest(low, F.lit(0)), F.least(high, F.lit(extent[k]))
+        edges += [low.alias(f"{a}0"), high.alias(f"{a}1")]
     return grid.where(F.col(label) > 0).groupBy(*(by or []), label).agg(*edges)
 
 
+def interior_counts(grid: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """(by, label, n, interior): voxels of each label, and those whose six face neighbours have it too; beyond the grid there are none."""
+    by = by or []
+    faces = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    cells = grid.select(*by, "z", "y", "x", label)
+    inner = erode(cells, faces, [*by, label]).groupBy(*by, label).agg(F.count(F.lit(1)).alias("interior"))
+    return cells.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n")).join(inner, [*by, label], "left").withColumn("interior", F.coalesce("interior", F.lit(0)))
+
+
 def dilate(cells: DataFrame, offsets: Offsets, keys: list[str]) -> DataFrame:
     """The cells and all their neighbours, distinct by (keys, z, y, x)."""
     grown = shifted(cells.select(*keys, "z", "y", "x"), [*offsets, (0, 0, 0)])

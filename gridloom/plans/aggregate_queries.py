@@ -74,6 +74,15 @@ def fragment_stats(spark, sf):
     return anatomies(spark).join(s, "anatomy", "left").select("name", F.coalesce("f", F.lit(0)).alias("fragments"), F.coalesce("v", F.lit(0)).alias("voxels"))
 
 
+@query("fragment_rows", "gt:l name:s n:l z0:l z1:l y0:l y1:l x0:l x1:l", f"""
+    WITH {VOX}, {INST_B} SELECT gt, CASE (gt - 1) // 50 WHEN 0 THEN 'Sacrum' WHEN 1 THEN 'LeftHip' WHEN 2 THEN 'RightHip' WHEN 3 THEN 'Femur' ELSE 'Unknown' END AS name, count(*) AS n,
+        min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT * REPLACE (CASE WHEN gt = 1 THEN 201 ELSE gt END AS gt) FROM inst) WHERE gt > 0 GROUP BY 1, 2""")
+def fragment_rows(spark, sf):
+    # an id beyond the blocks has no anatomy
+    g = X.instances_b(spark, sf).withColumn("gt", F.when(F.col("gt") == 1, 201).otherwise(F.col("gt")))
+    return A.fragments(g, "gt")
+
+
 @query("mean_skip", "seg:s m:d n:l", "SELECT c_mktsegment AS seg, avg(CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN c_acctbal ELSE NULL END) AS m, count(*) AS n FROM customer GROUP BY 1")
 def mean_skip(spark, sf):
     c = load(spark, sf, "customer").selectExpr("c_mktsegment seg", "CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN c_acctbal ELSE double('NaN') END v")
@@ -309,10 +318,22 @@ def tversky(spark, sf):
     return L.tversky(L.class_sums(_probs(spark, sf), ["p0", "p1", "p2", "p3"], "t"))
 
 
-@query("boundary_overlap", "cls:l alpha:d loss:d", f"WITH {_PROBS} SELECT cls, a AS alpha, (p2 + tt - 2 * inter + 1e-5) / (p2 + tt - (1 + a) * inter + 1e-5) AS loss FROM (SELECT *, greatest(0, least(2 * (0.4 + cls * 0.1) - 1, 0.8)) AS a FROM sums WHERE p2 > 0 OR tt > 0)")
+_CLASSES = f"""{VOX}, t AS (SELECT z, y, x, v, CASE WHEN v > 0.2 THEN 2 WHEN v > -0.2 THEN 1 ELSE 0 END AS t, 1 / (1 + exp(-20 * (v - 0.2))) AS p2, 1 / (1 + exp(20 * (v + 0.2))) AS p0 FROM vox),
+    nb AS (SELECT a.z, a.y, a.x, a.t FROM t a JOIN (VALUES (0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(dz, dy, dx) ON true
+        JOIN t b ON b.z = a.z + o.dz AND b.y = a.y + o.dy AND b.x = a.x + o.dx AND b.t = a.t GROUP BY ALL HAVING count(*) = 7),
+    inside AS (SELECT t AS cls, count(*) AS interior FROM nb GROUP BY 1),
+    s AS (SELECT cls, sum(p * y) AS inter, sum(p) AS pp, sum(y) AS tt, sum(p * p) AS p2 FROM (SELECT 1 AS cls, 1 - p0 - p2 AS p, CAST(t = 1 AS INT) AS y FROM t UNION ALL SELECT 2, p2, CAST(t = 2 AS INT) FROM t) GROUP BY 1)"""
+
+
+@query("boundary_overlap", "cls:l alpha:d loss:d", f"""
+    WITH {_CLASSES} SELECT cls, alpha, (p2 + tt - 2 * inter + 1e-5) / (p2 + tt - (1 + alpha) * inter + 1e-5) AS loss
+    FROM (SELECT s.*, CASE WHEN tt = 0 THEN 0 ELSE least(2 * COALESCE(interior, 0) / (tt + 1e-5) - 1, 0.8) END AS alpha FROM s LEFT JOIN inside ON inside.cls = s.cls) WHERE tt > 0 OR pp >= 1e-5""")
 def boundary_overlap(spark, sf):
-    share = spark.range(4).select(F.col("id").cast("int").alias("cls"), (0.4 + F.col("id") * 0.1).alias("share"))
-    return L.boundary_overlap(L.class_sums(_probs(spark, sf), ["p0", "p1", "p2", "p3"], "t"), share)
+    v = F.col("v")
+    g = X.vox(spark, sf).select("z", "y", "x", F.when(v > 0.2, 2).when(v > -0.2, 1).otherwise(0).alias("t"), (1 / (1 + F.exp(-20 * (v - 0.2)))).alias("p2"), (1 / (1 + F.exp(20 * (v + 0.2)))).alias("p0"))
+    g = g.withColumn("p1", 1 - F.col("p0") - F.col("p2"))
+    interior = N.interior_counts(g, "t").withColumnRenamed("t", "cls")
+    return L.boundary_overlap(L.class_sums(g, ["p0", "p1", "p2"], "t").where("cls > 0"), interior)
 
 
 @query("dice_ce", "dice_loss:d ce:d total:d", f"WITH {_PROBS} SELECT dice_loss, ce, dice_loss + ce AS total FROM (SELECT 1 - avg((2 * inter + 1e-5) / (pp + tt + 1e-5)) FILTER (cls > 0) AS dice_loss FROM sums), (SELECT sum(-ln(CASE t WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END) * w) / sum(w) AS ce FROM (SELECT *, CASE WHEN t = 2 THEN 5.0 ELSE 1.0 END AS w FROM pr))")

@@ -10,6 +10,7 @@ from ..functions.registry import anatomy_of
 from ..operators import decode as D
 from ..operators import gate as G
 from ..operators import heal as H
+from ..operators import masks as MK
 from ..operators import decode_targets as DT
 from ..operators import surfaces as SU
 from ..operators import targets as T
@@ -36,6 +37,26 @@ def prune_components(spark, sf):
     return n.groupBy("slab").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("voxels"))
 
 
+_OPEN = f"""WITH RECURSIVE {VOX}, won AS (SELECT slab, z - slab * 50 AS z, y, x, CASE WHEN x < 4 THEN 1 ELSE 2 END AS anatomy FROM vox WHERE v > -0.03),
+    o AS (SELECT a AS dz, b AS dy, c AS dx FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c)),
+    cube AS (SELECT slab, anatomy, z - dz AS z, y - dy AS y, x - dx AS x FROM won, o GROUP BY ALL HAVING count(*) = 8),
+    m AS (SELECT DISTINCT slab, anatomy, z + dz AS z, y + dy AS y, x + dx AS x, (z + dz) * 64 + (y + dy) * 8 + x + dx AS id FROM cube, o),
+    e AS (SELECT a.slab, a.anatomy, a.id AS a, b.id AS b FROM m a JOIN m b ON b.slab = a.slab AND b.anatomy = a.anatomy AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.id <> b.id),
+    r AS (SELECT slab, anatomy, id AS a, id AS root FROM m UNION SELECT e.slab, e.anatomy, e.b, r.root FROM r JOIN e ON e.slab = r.slab AND e.anatomy = r.anatomy AND e.a = r.a),
+    c AS (SELECT slab, anatomy, a AS id, min(root) AS root FROM r GROUP BY 1, 2, 3)"""
+
+
+@query("argmax_masks", "slab:l anatomy:l n:l sz:l sy:l sx:l", f"""
+    {_OPEN} SELECT slab, anatomy, count(*) AS n, sum(id // 64) AS sz, sum(id // 8 % 8) AS sy, sum(id % 8) AS sx
+    FROM (SELECT *, count(*) OVER (PARTITION BY slab, anatomy, root) AS size FROM c) WHERE size >= 12 GROUP BY 1, 2""")
+def argmax_masks(spark, sf):
+    # parts stay small on these grids, so fewer voxels make a part than on a scan
+    v = F.col("v") + 0.03
+    g = X.vox(spark, sf).select(F.col("slab").alias("vol"), (F.col("z") - F.col("slab") * 50).alias("z"), "y", "x", F.lit(0.0).alias("c0"), F.when(F.col("x") < 4, v).otherwise(-1.0).alias("c1"), F.when(F.col("x") >= 4, v).otherwise(-1.0).alias("c2"))
+    m = MK.argmax_masks(g, ["c0", "c1", "c2"], planes=16, extent=(8, 8), least=12)
+    return m.groupBy(F.col("vol").alias("slab"), "anatomy").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("sz"), F.sum("y").alias("sy"), F.sum("x").alias("sx"))
+
+
 _NEAR = f"""WITH {VOX}, l AS (SELECT slab, z, y, x, (z - slab * 50) * 64 + y * 8 + x AS id, label % 4 + 1 AS label FROM vox WHERE v > 0.25), w AS (SELECT slab, z, y, x FROM vox WHERE v BETWEEN 0.1 AND 0.25),
     d AS (SELECT w.*, l.id, l.label, (w.z - l.z) * (w.z - l.z) * 0.64 + (w.y - l.y) * (w.y - l.y) + (w.x - l.x) * (w.x - l.x) * 2.25 AS d2 FROM w JOIN l ON l.slab = w.slab), n AS (SELECT slab, z, y, x, min(d2) AS d2 FROM d GROUP BY ALL)"""
 

@@ -112,6 +112,44 @@ def orientation_flip(spark, sf):
     return v.groupBy("z", "code").agg(F.count(F.lit(1)).alias("n"), F.sum(nx * on).alias("sx"), F.sum(ny * on).alias("sy"))
 
 
+@query("canonical_clip", "slab:l code:s n:l x:d y:d z:d", f"""
+    WITH {VOX}, h AS (SELECT slab, x, y, z - slab * 50 AS z, z % 4 AS o, greatest(least(v * 8000, 2000), -1000) / 1000 AS h FROM vox)
+    SELECT slab, ['LPS', 'RAS', 'PSL', 'SRA'][o + 1] AS code, count(*) AS n, avg(h * CASE o WHEN 0 THEN x WHEN 1 THEN 7 - x WHEN 2 THEN z ELSE 7 - y END) AS x,
+        avg(h * CASE o WHEN 0 THEN y WHEN 1 THEN 7 - y WHEN 2 THEN x ELSE 49 - z END) AS y, avg(h * CASE o WHEN 0 THEN z WHEN 1 THEN z WHEN 2 THEN y ELSE x END) AS z FROM h GROUP BY 1, 2""")
+def canonical_clip(spark, sf):
+    v = X.vox(spark, sf).withColumn("code", F.element_at(F.array(*map(F.lit, ("LPS", "RAS", "PSL", "SRA"))), (F.col("z") % 4 + 1).cast("int"))).withColumn("z", F.col("z") - F.col("slab") * 50)
+    at = S.to_lps(F.col("code"), [F.col(a) for a in "xyz"], [F.lit(8), F.lit(8), F.lit(50)])
+    h = S.clip_hu(F.col("v") * 8000.0) / 1000.0
+    return v.groupBy("slab", "code").agg(F.count(F.lit(1)).alias("n"), *[F.avg(h * c).alias(a) for a, c in zip("xyz", at)])
+
+
+@query("geometry_match", "same:b n:l", """
+    SELECT p_partkey % 13 <> 0 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AS same, count(*) AS n FROM part GROUP BY 1""")
+def geometry_match(spark, sf):
+    # the size is off by one for every 13th row, spacing, origin and direction by too much for every third, fifth and seventh, and by little else
+    p = load(spark, sf, "part").select(*[F.when(F.col("p_partkey") % k == 0, far).otherwise(close).alias(n) for n, k, far, close in (("d", 13, 1, 0), ("s", 3, 2e-5, 5e-6), ("o", 5, 2e-4, 5e-5), ("r", 7, 2e-5, 5e-6))])
+    a = {"size": F.array(*[F.lit(k) for k in (8, 8, 50)]), "spacing": F.array(*[F.lit(k) for k in (1.5, 1.0, 0.8)]), "origin": F.array(*[F.lit(k) for k in (-10.0, 4.0, 0.0)]), "direction": F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)])}
+    off = {"size": F.col("d"), "spacing": F.col("s"), "origin": F.col("o"), "direction": F.col("r")}
+    moved = lambda c, by: F.transform(c, lambda x: x + by)
+    b = {k: moved(c, off[k]) for k, c in a.items()}
+    return p.groupBy(S.same_geometry(a, b).alias("same")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("model_paths", "path:s n:l", """
+    SELECT CASE WHEN p_partkey % 3 = 0 THEN '/results' ELSE '/runs/' || p_partkey % 3 END || '/Dataset' || 530 + p_size % 5 || '/' || CASE WHEN p_partkey % 4 IN (0, 1) THEN 'Own' || p_size % 5 ELSE 'Trainer' || p_partkey % 4 END || '__nnUNetResEncUNetLPlans__3d_fullres' AS path, count(*) AS n FROM part GROUP BY 1""")
+def model_paths(spark, sf):
+    p = load(spark, sf, "part").selectExpr("CASE WHEN p_partkey % 3 <> 0 THEN concat('/runs/', p_partkey % 3) END root", "concat('Dataset', 530 + p_size % 5) name", "concat('Own', p_size % 5) own", "CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Trainer', p_partkey % 4) END trainer")
+    return p.groupBy(S.model_path(F.col("root"), "/results", F.col("name"), F.col("trainer"), F.col("own")).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("settings_by_key", "key:s value:s n:l", """
+    SELECT ['brand', 'size', 'price'][p_partkey % 3 + 1] AS key, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) END AS value, count(*) AS n FROM part GROUP BY 1, 2""")
+def settings_by_key(spark, sf):
+    record = F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.floor("p_retailprice").cast("long").alias("price"))
+    p = load(spark, sf, "part").select(record.alias("r"), F.element_at(F.array(F.lit("brand"), F.lit("size"), F.lit("price")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("key"))
+    return p.groupBy("key", S.by_key(F.col("r"), ["brand", "size", "price"], F.col("key")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("geometry_check", "same:b volume:d n:l", """
     SELECT abs(s1 - s2) <= 0.00001 AND abs(o1 - o2) <= 0.0001 AS same, s1 * 2 * 0.5 AS volume, count(*) AS n FROM (
         SELECT 0.5 + (p_size % 10) / 10.0 AS s1, 0.5 + (p_size % 10) / 10.0 + CASE WHEN p_partkey % 3 = 0 THEN 0.000001 WHEN p_partkey % 3 = 1 THEN 0 ELSE 0.01 END AS s2, p_retailprice AS o1,
@@ -155,6 +193,17 @@ def bbox_by_label(spark, sf):
     return N.label_boxes(X.instances_b(spark, sf), "gt")
 
 
+@query("bbox_padded", "gt:l z0:l z1:l y0:l y1:l x0:l x1:l back:b", f"""
+    WITH {VOX}, {INST_B} SELECT gt, greatest(min(z) - 3, 0) AS z0, least(max(z) + 4, 400) AS z1, greatest(min(y) - 3, 0) AS y0, least(max(y) + 4, 8) AS y1, greatest(min(x) - 3, 0) AS x0, least(max(x) + 4, 8) AS x1, true AS back
+    FROM inst WHERE gt > 0 AND z < 400 AND y BETWEEN 1 AND 6 AND x < 3 GROUP BY gt""")
+def bbox_padded(spark, sf):
+    edges = [f"{a}{i}" for a in "zyx" for i in (0, 1)]
+    b = N.label_boxes(X.instances_b(spark, sf).where("z < 400 AND y BETWEEN 1 AND 6 AND x < 3"), "gt", pad=3, extent=(400, 8, 8))
+    r = b.select("*", S.box_ranges([F.col(e) for e in edges]).alias("ranges"))
+    # boxes go to ranges and back
+    return r.select("gt", *S.range_edges(F.col("ranges")), (F.struct(*edges) == F.struct(*S.range_edges(F.col("ranges")))).alias("back"))
+
+
 @query("relabel_dense", "part:l compact:l n:l", "SELECT part, dense_rank() OVER (ORDER BY part) AS compact, n FROM (SELECT l_partkey * 3 + l_linenumber % 2 AS part, count(*) AS n FROM lineitem GROUP BY 1)")
 def relabel_dense(spark, sf):
     # distinct ids first, ranked by ranges

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import anatomies, anatomy_of
 from ..operators import ranking as R
+from ..operators import reports as RP
 from ..session import load
 from ..sources import fixtures as X
 from ..sources import volumes as V
@@ -144,3 +145,22 @@ def weight_paths(spark, sf):
 @query("event_status", "start:s kind:s n:l mean:d last:d", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS kind, count(*) AS n, avg(value) AS mean, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1, 2")
 def event_status(spark, sf):
     return windowed_status(load(spark, sf, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("report_lines", "k:l dataset:s value:s", """
+    SELECT 0 AS k, '' AS dataset, '# Split Anatomy Evaluation' AS value UNION ALL SELECT 1, '', '' UNION ALL
+    SELECT 2, CAST(p_size AS VARCHAR), '- Ds' || p_size || ' `' || CASE WHEN p_size % 10 = 0 THEN 'None' ELSE 'Set' || p_size END || '`: n=' || count(*) || ', Dice=' || CASE WHEN p_size % 7 = 0 THEN 'n/a' ELSE format('{:.4f}', (p_size % 64) / 64.0) END
+        || ', IoU=' || format('{:.4f}', (p_size % 32) / 32.0) FROM part GROUP BY p_size""")
+def report_lines(spark, sf):
+    p = load(spark, sf, "part").groupBy(F.col("p_size").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+    d = F.col("dataset")
+    return RP.summary_lines(p.select("dataset", F.when(d % 10 != 0, F.concat(F.lit("Set"), d)).alias("name"), "n", F.when(d % 7 != 0, (d % 64) / 64.0).alias("dice"), ((d % 32) / 32.0).alias("iou")))
+
+
+@query("report_manifest", "source:s json:s text:s", """
+    SELECT path AS source, '/out/visual_' || stem || '_20260101.json' AS json, '/out/visual_' || stem || '_20260101.txt' AS text FROM (
+        SELECT CASE p_partkey % 3 WHEN 0 THEN '/eval_r/eval_' || p_partkey || '.json' WHEN 1 THEN '/r/' || p_partkey || '_eval_eval_b.v2.json' ELSE '/r/plain' || p_partkey END AS path,
+            CASE p_partkey % 3 WHEN 0 THEN '' || p_partkey WHEN 1 THEN p_partkey || '_eval_b.v2' ELSE 'plain' || p_partkey END AS stem FROM part)""")
+def report_manifest(spark, sf):
+    p = load(spark, sf, "part").selectExpr("CASE p_partkey % 3 WHEN 0 THEN concat('/eval_r/eval_', p_partkey, '.json') WHEN 1 THEN concat('/r/', p_partkey, '_eval_eval_b.v2.json') ELSE concat('/r/plain', p_partkey) END path")
+    return RP.dashboards(p, "/out", "20260101")
