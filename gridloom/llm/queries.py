@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html, mixing, neardup, secrets, sharding, tokens, toxicity, urls
+from . import decontaminate, embeddups, fingerprints, html, mixing, neardup, phrases, secrets, sharding, tokens, toxicity, urls
 from .common import table
 
 
@@ -52,9 +52,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and "_" in name and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.oracle_sql(), "op7_decontamination": decontaminate.oracle_sql(), "op8_minhash": neardup.oracle_sql()}
+    return {"op6_sharding": sharding.oracle_sql(), "op7_decontamination": decontaminate.oracle_sql(), "op8_minhash": neardup.oracle_sql(), "op11_phrases": phrases.oracle_sql(), "op12_embedding_dedup": embeddups.oracle_sql()}
