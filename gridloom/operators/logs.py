@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?"
 
 
-def parse_log(lines: DataFrame, by: str, order: str, text: str) -> DataFrame:
-    """Adds to each ordered line: epoch (the last one named so far), seconds, values (class scores), best, done, and mean20 of the last 20 seconds."""
+def fields(lines: DataFrame, text: str) -> DataFrame:
+    """Adds what each line says by itself: named (an epoch), seconds, values (class scores), best and done."""
     get = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    w = Window.partitionBy(by).orderBy(order)
     inner = get(r"(?:Pseudo dice|Diagnostic pseudo dice) \[(.*)\]")
     plain = F.regexp_replace(inner, r"np\.float32\(", "")
-    e = lines.withColumns({
+    return lines.withColumns({
         "named": get(r"Epoch (\d+)").cast("int"), "seconds": get(r"Epoch time: ([0-9.]+) s").cast("double"),
         "values": F.regexp_extract_all(plain, F.lit(f"({NUMBER})"), F.lit(1)).cast("array<double>"),
         "best": get(r"New best EMA (?:pseudo Dice|contact-energy score): ([0-9.]+)").cast("double"), "done": F.contains(text, F.lit("Training done.")),
     })
-    return e.withColumn("epoch", F.last("named", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def with_epoch(lines: DataFrame, by: str, order: str) -> DataFrame:
+    """Adds the epoch that a log's lines have named last."""
+    w = Window.partitionBy(by).orderBy(order)
+    return lines.withColumn("epoch", F.last("named", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def parse_log(lines: DataFrame, by: str, order: str, text: str) -> DataFrame:
+    """Adds to each ordered line: epoch (the last one named so far), seconds, values (class scores), best, done, and mean20 of the last 20 seconds."""
+    return with_epoch(fields(lines, text), by, order)
 
 
 def log_status(parsed: DataFrame, by: str, order: str, recent: int = 20) -> DataFrame:

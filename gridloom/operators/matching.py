@@ -45,8 +45,12 @@ def fragment_rows(grid: DataFrame, threshold: float = 0.1, by: list[str] | None
 
     An unmatched fragment counts 0 in IoU and Dice.
     """
+    return fragments_of(overlaps(grid, by=by), threshold, by)
+
+
+def fragments_of(over: DataFrame, threshold: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """fragment_rows from counts of pairs."""
     by = by or []
-    over = overlaps(grid, by=by)
     best = best_matches(over, threshold, by=by).withColumn("anatomy", anatomy_of(F.col("gt")))
     touching = over.where((F.col("gt") > 0) & (F.col("pred") > 0) & (anatomy_of(F.col("gt")) == anatomy_of(F.col("pred")))).groupBy(*by, "gt").agg(F.count(F.lit(1)).alias("n_touching"))
     uses = Window.partitionBy(*by, "matched_pred")
@@ -62,12 +66,15 @@ def fragment_rows(grid: DataFrame, threshold: float = 0.1, by: list[str] | None
 
 def case_metrics(grid: DataFrame, threshold: float = 0.1, by: list[str] | None = None) -> DataFrame:
     """One row for each anatomy with true fragments: the case-level metrics."""
-    by = by or []
-    rows = fragment_rows(grid, threshold, by)
-    keys = [*by, "anatomy"]
+    return cases_of(fragment_rows(grid, threshold, by), grid.select(*(by or []), "pred"), by)
+
+
+def cases_of(rows: DataFrame, predicted: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """case_metrics from fragment rows, and the predicted ids (by, pred) with or without repeats."""
+    keys = [*(by or []), "anatomy"]
     # each matched prediction beyond its first true fragment is a merge: assignments less distinct predictions
     agg = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gt"), F.count_if("matched").alias("tp"), F.count_distinct("matched_pred").alias("used"), F.avg("iou_score").alias("iou"), F.avg("dice_score").alias("dice"), F.sum("split").alias("split_error"), F.avg("clean").alias("topology"))
-    preds = grid.where("pred > 0").select(*by, anatomy_of(F.col("pred")).alias("anatomy"), "pred").groupBy(*keys).agg(F.count_distinct("pred").alias("n_pred"))
+    preds = predicted.where("pred > 0").select(*(by or []), anatomy_of(F.col("pred")).alias("anatomy"), "pred").groupBy(*keys).agg(F.count_distinct("pred").alias("n_pred"))
     out = agg.join(preds, keys, "left").withColumn("n_pred", F.coalesce("n_pred", F.lit(0)))
     out = out.withColumns({"merge_error": F.col("tp") - F.col("used"), "precision": F.col("tp") / F.greatest(F.col("tp") + F.col("n_pred") - F.col("used"), F.lit(1)), "recall": F.col("tp") / F.greatest(F.col("n_gt"), F.lit(1))})
     return out.withColumn("f1", 2.0 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-8)))
