@@ -34,6 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegralType
@@ -154,23 +155,27 @@ def links(unit: np.ndarray, keys: np.ndarray, counts: np.ndarray, side: np.ndarr
 
 
 def _runs(batches, keys: list[str]):
-    """Record batches of one run of equal keys each, from batches sorted by the keys; a run may cross batches."""
+    """Tables of the rows of equal keys, two at least, from batches sorted by the keys; a run may cross batches."""
     held: list[pa.RecordBatch] = []
-    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(k).to_pylist() for k in keys]
-        own = list(zip(*cols, strict=True))
-        starts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if held and own[a] != last:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = own[a]
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            c = batch.column(k)
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            new[0] |= not held or held[-1].column(k)[-1] != c[0]
+        starts = np.append(np.flatnonzero(new), batch.num_rows)
+        if held and (whole := pa.Table.from_batches([*held, batch.slice(0, starts[0])])).num_rows > 1 and len(starts) > 1:
+            yield whole.combine_chunks()
+        if len(starts) == 1:  # all of it goes on with what is held
+            held.append(batch)
+            continue
+        for i in np.flatnonzero(np.diff(starts[:-1]) > 1):
+            yield pa.Table.from_batches([batch.slice(starts[i], starts[i + 1] - starts[i])])
+        held = [batch.slice(starts[-2])]
+    if held and (whole := pa.Table.from_batches(held)).num_rows > 1:
+        yield whole.combine_chunks()
 
 
 _PLACE = ["label", "tab", "band", "x", "y"]
@@ -189,10 +194,9 @@ def _of(run: pa.Table, how: Tables):
 def _candidate_pass(how: Tables) -> Callable:
     def run(batches):
         for rows in _runs(batches, _PLACE):
-            if rows.num_rows > 1:
-                found = candidates(*_of(rows, how), how)
-                if found.any():
-                    yield from rows.filter(pa.array(found)).to_batches()
+            found = candidates(*_of(rows, how), how)
+            if found.any():
+                yield from rows.filter(pa.array(found)).to_batches()
 
     return run
 
@@ -204,7 +208,7 @@ def _link_pass(how: Tables, stored: type) -> Callable:
             degree, root = links(unit_vectors(_matrix(rows["vec"], stored).astype(np.float64)), keys, rows["n"].to_numpy(), side, table, how)
             linked = np.flatnonzero(degree)
             if len(linked):
-                own = rows["key"].combine_chunks()
+                own = rows["key"].chunk(0)
                 yield pa.RecordBatch.from_arrays([own.take(pa.array(linked)), pa.array(degree[linked]), own.take(pa.array(root[linked]))], names=["key", "links", "root"])
 
     return run
