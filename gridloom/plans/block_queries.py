@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions.registry import anatomy_of
 from ..operators import decode as D
+from ..operators import distance as DI
 from ..operators import gate as G
 from ..operators import heal as H
 from ..operators import masks as MK
 from ..operators import decode_targets as DT
 from ..operators import surfaces as SU
 from ..operators import targets as T
+from ..operators.graph import tiled_components
 from ..sources import fixtures as X
 from .base import INST_B, VOX, query
 
@@ -32,8 +34,8 @@ def components_6(spark, sf):
 
 @query("prune_components", "slab:l kept:l voxels:l", f"{_CC} SELECT slab, count(*) AS kept, sum(n) AS voxels FROM (SELECT slab, root, count(*) AS n FROM c GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1")
 def prune_components(spark, sf):
-    c = SU.component_table(X.vox(spark, sf).withColumn("m", F.col("v") > 0.15), "slab", "m")
-    n = c.groupBy("slab", "root").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    cells = X.vox(spark, sf).withColumn("z", F.col("z") - F.col("slab") * 50)
+    n = tiled_components(cells, "slab", "v > 0.15", 16, (8, 8)).groupBy("slab", "root").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     return n.groupBy("slab").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("voxels"))
 
 
@@ -61,16 +63,22 @@ _NEAR = f"""WITH {VOX}, l AS (SELECT slab, z, y, x, (z - slab * 50) * 64 + y * 8
     d AS (SELECT w.*, l.id, l.label, (w.z - l.z) * (w.z - l.z) * 0.64 + (w.y - l.y) * (w.y - l.y) + (w.x - l.x) * (w.x - l.x) * 2.25 AS d2 FROM w JOIN l ON l.slab = w.slab), n AS (SELECT slab, z, y, x, min(d2) AS d2 FROM d GROUP BY ALL)"""
 
 
+def _near_sides(spark, sf):
+    """Voxels that ask and voxels with a label."""
+    v = X.vox(spark, sf).withColumn("label", F.col("label") % 4 + 1)
+    return v.where("v BETWEEN 0.1 AND 0.25").select("slab", "z", "y", "x"), v.where("v > 0.25").select("slab", "z", "y", "x", "label")
+
+
 @query("edt", "slab:l n:l total:d most:d", f"{_NEAR} SELECT slab, count(*) AS n, sum(sqrt(d2)) AS total, max(sqrt(d2)) AS most FROM n GROUP BY 1")
 def edt(spark, sf):
-    g = X.vox(spark, sf).withColumns({"seed": F.when(F.col("v") > 0.25, F.col("label") % 4 + 1).otherwise(0), "w": F.col("v").between(0.1, 0.25)})
-    return SU.nearest_table(g, "slab", "seed", "w", (0.8, 1.0, 1.5)).groupBy("slab").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("total"), F.max("distance").alias("most"))
+    queries, seeds = _near_sides(spark, sf)
+    return DI.to_nearest(queries, seeds, ["slab"], (0.8, 1.0, 1.5)).groupBy("slab").agg(F.count("distance").alias("n"), F.sum("distance").alias("total"), F.max("distance").alias("most"))
 
 
 @query("nearest_fill", "slab:l filled:l n:l", f"{_NEAR.replace('* 0.64', '').replace('* 2.25', '')} , f AS (SELECT d.slab, d.z, d.y, d.x, arg_min(d.label, d.id) AS filled FROM d JOIN n ON n.slab = d.slab AND n.z = d.z AND n.y = d.y AND n.x = d.x AND n.d2 = d.d2 GROUP BY ALL) SELECT slab, filled, count(*) AS n FROM f GROUP BY 1, 2")
 def nearest_fill(spark, sf):
-    g = X.vox(spark, sf).withColumns({"seed": F.when(F.col("v") > 0.25, F.col("label") % 4 + 1).otherwise(0), "w": F.col("v").between(0.1, 0.25)})
-    return SU.nearest_table(g, "slab", "seed", "w").groupBy("slab", "filled").agg(F.count(F.lit(1)).alias("n"))
+    queries, seeds = _near_sides(spark, sf)
+    return DI.to_nearest(queries, seeds, ["slab"], value="label").groupBy("slab", F.col("nearest").alias("filled")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _HALF_MASK = "vox WHERE v > {0} AND x < 4"
@@ -83,8 +91,8 @@ _SURF = f"""WITH {VOX}, a AS (SELECT slab, z, y, x FROM vox WHERE v > 0.05 AND y
 
 @query("hd95_assd", "slab:l hd95:d assd:d nsd:d", f"{_SURF} SELECT slab, quantile_cont(d, 0.95) AS hd95, avg(d) AS assd, avg(CASE WHEN d <= 2 THEN 1.0 ELSE 0.0 END) AS nsd FROM d GROUP BY 1")
 def hd95_assd(spark, sf):
-    g = X.vox(spark, sf).withColumns({"a": (F.col("v") > 0.05) & (F.col("y") < 5), "b": (F.col("v") > 0.1) & (F.col("y") > 2)})
-    return SU.surface_table(g, "slab", "a", "b")
+    v = X.vox(spark, sf)
+    return DI.surface_metrics(v.where("v > 0.05 AND y < 5"), v.where("v > 0.1 AND y > 2"), ["slab"])
 
 
 @query("local_dice", "slab:l dice:d", f"""
@@ -203,14 +211,13 @@ def official_aligned_metrics(spark, sf):
     return per.groupBy("anatomy").agg(F.sum("n_gt").alias("n_gt"), *[F.avg(c).alias(c) for c in ("iou", "dice", "hd95", "assd", "recall", "precision", "f1")])
 
 
-@query("signed_distance", "slab:l inside:l total:d")
+@query("signed_distance", "slab:l inside:l total:d", f"""
+    WITH {VOX}, m AS (SELECT slab, z - slab * 50 AS z, y, x, 0.5 + 3 * (v - 0.2) >= 0.5 AS inside FROM vox),
+    d AS (SELECT a.slab, a.z, a.y, a.x, a.inside, sqrt(min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS d FROM m a JOIN m b ON b.slab = a.slab AND b.inside <> a.inside GROUP BY ALL)
+    SELECT slab, count(*) FILTER (inside) AS inside, sum(CASE WHEN inside THEN least(d, 40) / 40 ELSE -least(d, 40) / 40 END) AS total FROM d GROUP BY 1""")
 def signed_distance(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, _ = D.dense(pdf, ["v"])
-        d = SU.signed_distance(0.5 + 3 * (c[0] - 0.2))
-        return pd.DataFrame([(pdf["slab"].iloc[0], int((d > 0).sum()), float(d.sum()))], columns=["slab", "inside", "total"])
-
-    return X.vox(spark, sf).groupBy("slab").applyInPandas(run, "slab long, inside long, total double")
+    v = X.vox(spark, sf).withColumn("inside", 0.5 + 3 * (F.col("v") - 0.2) >= 0.5)
+    return DI.signed_distances(v, ["slab"], "inside").groupBy("slab").agg(F.count_if(F.col("signed") > 0).alias("inside"), F.sum("signed").alias("total"))
 
 
 @query("official_audit", "slab:l fragments:l ok:b core_share:d")
