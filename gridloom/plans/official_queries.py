@@ -1,10 +1,11 @@
-"""Queries of exact distances and the challenge's case metrics, without a task that holds a volume."""
+"""Queries of exact distances, of nearest seeds by paths, and of the challenge's case metrics, without a task that holds a volume."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import distance as D
+from ..operators import geodesic as G
 from ..operators import official as O
 from ..sources import fixtures as X
 from .base import INST_B, VOX, query
@@ -26,6 +27,18 @@ def exact_distances(spark, sf):
     return D.to_nearest(v.where("v < -0.25").select("slab", "z", "y", "x"), v.where("v > 0.25").select("slab", "z", "y", "x"), ["slab"], SPACING)
 
 
+@query("geodesic_assign", "slab:l label:l n:l total:d", f"""
+    WITH RECURSIVE {VOX}, c AS (SELECT slab, z - slab * 50 AS z, y, x, CASE WHEN v > 0.3 THEN 1 + label % 4 ELSE 0 END AS seed FROM vox WHERE v > -0.05),
+    e AS (SELECT a.slab, a.z, a.y, a.x, b.z AS z2, b.y AS y2, b.x AS x2 FROM c a JOIN c b ON b.slab = a.slab AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1),
+    r AS (SELECT slab, z, y, x, seed, 0 AS d FROM c WHERE seed > 0 UNION SELECT e.slab, z2, y2, x2, r.seed, d + 1 FROM r JOIN e ON e.slab = r.slab AND e.z = r.z AND e.y = r.y AND e.x = r.x WHERE d < 6),
+    b AS (SELECT slab, z, y, x, min(d * 10 + seed) AS best FROM r GROUP BY ALL)
+    SELECT c.slab, COALESCE(best % 10, 0) AS label, count(*) AS n, sum(COALESCE(best // 10, 0)) AS total FROM c LEFT JOIN b ON b.slab = c.slab AND b.z = c.z AND b.y = c.y AND b.x = c.x GROUP BY 1, 2""")
+def geodesic_assign(spark, sf):
+    v = X.vox(spark, sf).where("v > -0.05").selectExpr("slab", "z - slab * 50 z", "y", "x", "CASE WHEN v > 0.3D THEN 1 + label % 4 ELSE 0 END seed")
+    out = G.assign(v, ["slab"], connectivity=1, edge=16, most=6.0)
+    return out.groupBy("slab", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("distance", F.lit(0.0))).alias("total"))
+
+
 _FACES = "(VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) AS f(dz, dy, dx)"
 
 
