@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.registry import same_anatomy, valid_id
+
 Offsets = list[tuple[int, int, int]]
 
 
@@ -157,6 +159,31 @@ def edge_breaks(grid: DataFrame, label: str, by: list[str] | None = None) -> Dat
     return neighbor_pairs(kept, axis_offsets(), label, by).groupBy(*(by or []), F.col("k").alias("axis")).agg(F.count(F.lit(1)).alias("valid"), F.count_if(F.col(label) != F.col("other")).alias("breaks"))
 
 
+def edge_break_targets(grid: DataFrame, label: str, shapes: DataFrame, by: list[str], radius: int = 1) -> DataFrame:
+    """(by, axis, z, y, x) of the edges, each from a voxel to the next along an axis, that a target marks as breaks.
+
+    Edges between different valid labels of one anatomy, grown by a cube of so many voxels, but only among edges that touch a
+    label at either end. Edges lie inside the volume; shapes: (by, nz, ny, nx). Voxels that aren't in grid have no label.
+    """
+    kept = grid.where(valid_id(F.col(label))).select(*by, "z", "y", "x", label)
+    other = kept.select(*by, F.col("z").alias("tz"), F.col("y").alias("ty"), F.col("x").alias("tx"), F.col(label).alias("other"))
+    ahead = shifted(kept, axis_offsets()).join(other, [*by, "tz", "ty", "tx"])
+    edge = [*by, F.col("k").alias("axis")]
+    breaks = ahead.where((F.col(label) != F.col("other")) & same_anatomy(F.col(label), F.col("other"))).select(*edge, "z", "y", "x")
+    if radius < 1:
+        return breaks
+    near = range(-radius, radius + 1)
+    grown = dilate(breaks, [(a, b, c) for a in near for b in near for c in near if (a, b, c) != (0, 0, 0)], [*by, "axis"])
+    # an edge touches a label at its start, or at the voxel that it leads to
+    starts = kept.select(*by, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("axis"), "z", "y", "x")
+    leads = shifted(kept, [(-a, -b, -c) for a, b, c in axis_offsets()]).select(*edge, F.col("tz").alias("z"), F.col("ty").alias("y"), F.col("tx").alias("x"))
+    place = [*by, "axis", "z", "y", "x"]
+    inside = grown.join(shapes.select(*by, "nz", "ny", "nx"), by)
+    for k, a in enumerate("zyx"):
+        inside = inside.where((F.col(a) >= 0) & (F.col(a) < F.col(f"n{a}") - F.when(F.col("axis") == k, 1).otherwise(0)))
+    return inside.select(*place).join(starts.unionByName(leads).distinct(), place, "left_semi")
+
+
 def distance_to_other(grid: DataFrame, label: str, radius: float, same_block=None, spacing=(1.0, 1.0, 1.0), by: list[str] | None = None) -> DataFrame:
     """(by, z, y, x, label, distance): of each labelled voxel, to the nearest one of another label within the radius; null beyond."""
     by = by or []
