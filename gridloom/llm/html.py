@@ -4,13 +4,15 @@ Each page's containers are scored (their paragraphs' text, less what stands in l
 votes for the generalised tag-class paths of the articles around its containers; Spark adds the votes up
 by host and picks each host's path; then every page is extracted again, at its host's path. A page
 without that path, or with much less of its prose there than at its own best one, keeps its own. Pages
-also vote on what to leave out: a block that stands in the same place with the same text on most
-different articles of a host belongs to the template.
+also vote on what belongs to the template: a block that stands in the same place with the same text on
+most different articles of a host counts nothing when a page's best path is chosen. Nothing inside the
+chosen container goes for that.
 
 Text rules: blocks end at block-level tags; character references are decoded, white space in a block
 becomes one space, empty blocks go, blocks are joined in page order by a line feed. Left out: scripts,
 styles, forms, menus, footers, sidebars, adverts, notices and comments, by tag, role, class or id; a
-header goes too, unless it stands in the article.
+header goes too, unless it stands in the article. A form that holds half of the page's prose is a
+container like others.
 
 Defined cases: a null or empty html gives an empty text; a null url, or one without `://`, has the
 empty host, where pages vote too; pages that repeat are extracted alike and count as one article; markup
@@ -39,6 +41,8 @@ COVER = 0.5
 NOTABLE = 0.25
 #: A block of the template stands on this share of a host's different articles, and on so many, at least.
 TEMPLATE_SHARE, TEMPLATE_LEAST = 0.5, 4
+#: A form with this share of the page's prose is no form to fill in.
+FORM_SHARE = 0.5
 #: Tags that hold blocks and stay on the path; those that end a block, besides; those without content.
 CONTAINERS = frozenset("html body main article section div aside nav header footer form table tbody thead tfoot tr td th ul ol dl figure fieldset details center".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre address figcaption caption summary legend hr".split())
@@ -64,10 +68,11 @@ _SPACE = " \t\n\r\f"
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "article", "own", "parent", "good")
+    __slots__ = ("tag", "path", "skip", "article", "own", "parent", "good", "form")
 
-    def __init__(self, tag: str, path: str, skip: bool, article: bool, good: bool, parent):
+    def __init__(self, tag: str, path: str, skip: bool, article: bool, good: bool, parent, form=None):
         self.tag, self.path, self.skip, self.article, self.good, self.parent = tag, path, skip, article, good, parent
+        self.form = form  # the outermost form around it, unless it is left out for other reasons
         self.own = 0.0
 
 
@@ -199,16 +204,36 @@ def blocks(page: str):
         if not mute and not closing and not container and tag not in VOID and not attributes.endswith("/") and (tag in MUTE_TAGS or (attributes and _marks(attributes)[0])):
             mute, depth, mute_at = tag, 1, stack[-1]
     flush()
+    _open_forms(out, nodes)
     return out, nodes
 
 
+def _open_forms(found, nodes) -> None:
+    """Leaves out what stands in forms, unless a form holds most of the page's prose."""
+    prose: dict[Node | None, float] = defaultdict(float)
+    for text, linked, node in found:
+        prose[node.form] += _gain(text, linked, node)
+    if len(prose) > (None in prose):
+        total = sum(prose.values())
+        for n in nodes:
+            n.skip = n.skip or (n.form is not None and not (prose[n.form] > 0 and prose[n.form] >= FORM_SHARE * total))
+
+
 def skip_word(token: str) -> bool:
     """Whether a class or id is made of words that mark other things than the article, and of words that stand beside them."""
-    parts = {p.lower() for p in _PARTS.findall(token)}
+    parts = {w for p in _PARTS.findall(token) for w in _compound(p.lower())}
     whole = re.sub(r"[^a-z]+", "", token.lower())
     return whole in SKIP_WORDS or bool(parts & SKIP_WORDS and parts <= SKIP_WORDS | BESIDE_WORDS)
 
 
+def _compound(word: str) -> tuple[str, ...]:
+    """A word made of a marking word and one that stands beside it, such as commentlist, as both; others as they are."""
+    for k in range(5, len(word) - 1):
+        if word[:k] in SKIP_WORDS and word[k:] in BESIDE_WORDS:
+            return word[:k], word[k:]
+    return (word,)
+
+
 def _marks(attributes: str) -> tuple[bool, bool, bool, list[str]]:
     """(skip, header, good, classes) by role, style, class and id."""
     skip = header = good = False
@@ -225,7 +250,8 @@ def _marks(attributes: str) -> tuple[bool, bool, bool, list[str]]:
         elif name == "role":
             skip = skip or value.lower() in SKIP_ROLES
         elif name == "style":
-            skip = skip or "display:none" in value.lower().replace(" ", "")
+            style = value.lower().replace(" ", "")
+            skip = skip or "display:none" in style or "visibility:hidden" in style
         else:
             skip = skip or name == "hidden" or value.lower() == "true"
     return skip, header, good, classes
@@ -236,12 +262,16 @@ def _node(tag: str, attributes: str, parent: Node) -> Node:
     article = parent.article or tag in ("article", "main")
     if tag in ("html", "body", "article", "main"):
         skip = False
-    skip = skip or parent.skip or tag in SKIP_TAGS or ((tag == "header" or header) and not article)
+    if tag == "form":  # ids such as form1 say nothing of it
+        skip = skip and _marks(re.sub(r"(?i)form", "", attributes))[0]
+    skip = skip or parent.skip or (tag in SKIP_TAGS and tag != "form") or ((tag == "header" or header) and not article)
     kinds = sorted({re.sub(r"\d+", "", c) for c in classes} - {""})
     path = f"{parent.path}>{'.'.join([tag, *kinds])}"
     if len(path) > PATH:
         path = "#" + hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=16).hexdigest()
-    return Node(tag, path, skip, article, tag in ("article", "main") or good, parent)
+    node = Node(tag, path, skip, article, tag in ("article", "main") or good, parent)
+    node.form = None if skip else parent.form or (node if tag == "form" else None)
+    return node
 
 
 def container_scores(page: str) -> dict[str, float]:
@@ -339,7 +369,7 @@ def article_digest(found) -> int:
 def extract(page: str, path: str | None, template: frozenset[int] = frozenset()) -> str:
     """The text at the path, or at the page's own best one if the path is absent or holds much less of the page's prose.
 
-    template: digests of blocks to leave out; where all blocks are such, they are kept.
+    template: digests of blocks that count nothing in this choice; where all blocks are such, they count.
     """
     found, nodes = blocks(page)
 
@@ -350,14 +380,13 @@ def extract(page: str, path: str | None, template: frozenset[int] = frozenset())
                 out.add(n)
         return out
 
-    prose = lambda held: sum(_gain(*f) for f in found if f[2] in held)
-    mine = article_paths(found, nodes, 1)
+    counted = [f for f in found if block_digest(f[0], f[2]) not in template] or found if template else found
+    prose = lambda held: sum(_gain(*f) for f in counted if f[2] in held)
+    mine = article_paths(counted, nodes, 1) or article_paths(found, nodes, 1)
     own = inside(next(iter(mine))) if mine else set()
     given = inside(path) if path is not None and any(n.path == path and not n.skip for n in nodes) else set()
     held = given if given and prose(given) >= COVER * prose(own) else own
-    kept = [(t, n) for t, _, n in found if n in held and not n.skip]
-    own_text = [t for t, n in kept if block_digest(t, n) not in template] if template else []
-    return "\n".join(own_text or [t for t, _ in kept])
+    return "\n".join(t for t, _, n in found if n in held and not n.skip)
 
 
 def host_votes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -138,11 +138,47 @@ def test_five_templates(spark):
         for j in range(8):
             title, parts = prose(5), [prose(rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]
             rows.append((100 * k + j, f"http://h{k}.example/{j}", f"<html>{make(title, parts)}</html>"))
-            want[100 * k + j] = "\n".join([title, " ".join(parts)] if k == 2 else [title, *parts])
+            said = ["Written by the staff of this paper for its readers", *parts, "Read more of this every day in our paper and on our site"] if k == 4 else parts
+            want[100 * k + j] = "\n".join([title, " ".join(said)] if k == 2 else [title, *said])
     got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
 
 
+def extracted(spark, pages, host="h"):
+    rows = [(k, f"http://{host}.example/{k}", p) for k, p in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[k] for k in range(len(pages))]
+
+
+@pytest.mark.parametrize("n", [1, 3, 8, 30])
+def test_what_articles_share_stays(spark, n):
+    """Recipes with the same headings, ingredients and last words, however many the host has."""
+    recipe = lambda k: page_of(f"<article><h1>Dish {k}</h1><h2>Ingredients</h2><ul><li>Flour of kind {k}<li>Salt</ul><h2>Method</h2><p>Mix it all, {k} times over, and bake it well.</p><p>Serve warm.</p></article>")
+    want = [f"Dish {k}\nIngredients\nFlour of kind {k}\nSalt\nMethod\nMix it all, {k} times over, and bake it well.\nServe warm." for k in range(n)]
+    assert extracted(spark, [recipe(k) for k in range(n)]) == want
+
+
+def test_a_form_around_the_page_is_a_container(spark):
+    inner = lambda k: f'<div id="menu"><a href=/>Home</a></div><div class="text"><h1>Page {k}</h1><p>{k} {BODY}</p><label>Your name</label><select><option>One</select><input type=submit value=Go></div>'
+    said = BODY.strip()
+    for name in ("aspnetForm", "form1", "mainform"):
+        pages = [f'<html><body><form id="{name}" class="form" method="post">{inner(k)}</form><footer>End</footer></body></html>' for k in range(6)]
+        assert extracted(spark, pages) == [f"Page {k}\n{k} {said}" for k in range(6)]
+    asks = page_of(f"<div class=text><p>{BODY}</p><form class=contact><p>Write to us about it, and say who you are.</p><div><p>We answer.</p></div></form><p>Last.</p></div>")
+    assert html.extract(asks, None) == f"{said}\nLast."
+    hidden = f'<html><body><form class="newsletter"><p>{BODY}</p></form><p>Short.</p></body></html>'
+    assert html.extract(hidden, None) == "Short."
+
+
+def test_comment_lists(spark):
+    said = BODY.strip()
+    one = lambda k: page_of(f"<div class='entry'><h1>Post {k}</h1><p>{k} {BODY}</p></div><ol class='commentlist'>" + "".join(f"<li class='comment odd'><div class='comment-body'><p>{j} {BODY} {BODY}</p></div></li>" for j in range(2)) + "</ol>")
+    assert html.extract(one(0), None) == f"Post 0\n0 {said}"
+    assert extracted(spark, [one(k) for k in range(3)]) == [f"Post {k}\n{k} {said}" for k in range(3)]
+    assert html.skip_word("commentList") and html.skip_word("commentbox") and not html.skip_word("commentary") and not html.skip_word("formation")
+    assert html.extract(page_of(f"<p style='visibility: hidden'>no</p><p>{BODY}</p>"), None) == said
+
+
 def test_copies_of_one_article_are_no_template(spark):
     rows = [(k, f"http://h.example/{k}", page_of(f"<article><h1>One</h1><p>{BODY}</p></article>")) for k in range(20)]
     got = {r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
