@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 AXES = "zyx"
 
 
-def takes(n_in: Column, n_out: Column, order: int) -> Column:
-    """An array of (out, in, weight) along an axis: centres of the output voxels among the inputs, the ends repeated."""
+def takes(n_in: Column, n_out: Column, order: int, corners: bool = False) -> Column:
+    """An array of (out, in, weight) along an axis: centres of the output voxels among the inputs, the ends repeated.
+
+    With corners the first and the last voxels of both lie upon each other; a single output voxel is the first.
+    """
 
     def of(o: Column) -> Column:
-        c = (o + 0.5) * n_in / n_out - 0.5
+        c = o * (n_in - 1) / F.greatest(n_out - 1, F.lit(1)) if corners else (o + 0.5) * n_in / n_out - 0.5
         inside = lambda i: F.least(F.greatest(i, F.lit(0)), n_in - 1).cast("long")
         one = lambda i, w: F.struct(o.cast("long").alias("out"), inside(i).alias("in"), w.alias("w"))
         if order == 0:
@@ -26,7 +29,7 @@ def takes(n_in: Column, n_out: Column, order: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), n_out - 1), of))
 
 
-def spread(grid: DataFrame, shapes: DataFrame, by: list[str], orders: tuple[int, int, int]) -> DataFrame:
+def spread(grid: DataFrame, shapes: DataFrame, by: list[str], orders: tuple[int, int, int], corners: bool = False) -> DataFrame:
     """grid with z, y, x of the output and `weight`: a row for each output voxel that takes from an input one.
 
     shapes: (by, nz, ny, nx, mz, my, mx), input and output. orders are 0 or 1, by axis.
@@ -35,7 +38,7 @@ def spread(grid: DataFrame, shapes: DataFrame, by: list[str], orders: tuple[int,
         raise ValueError(f"orders must be 0 or 1: {orders}")
     out = grid.withColumn("weight", F.lit(1.0))
     for a, order in zip(AXES, orders, strict=True):
-        table = shapes.select(*by, F.explode(takes(F.col(f"n{a}"), F.col(f"m{a}"), order)).alias("t")).select(*by, F.col("t.in").alias(a), F.col("t.out").alias("_out"), F.col("t.w").alias("_w")).where("_w > 0")
+        table = shapes.select(*by, F.explode(takes(F.col(f"n{a}"), F.col(f"m{a}"), order, corners)).alias("t")).select(*by, F.col("t.in").alias(a), F.col("t.out").alias("_out"), F.col("t.w").alias("_w")).where("_w > 0")
         # the takes of one input voxel meet it together, so that the voxels are joined and not repeated for the join
         packed = table.groupBy(*by, a).agg(F.collect_list(F.struct("_out", "_w")).alias("_t"))  # as many as the factor
         met = out.join(packed, [*by, a]).withColumn("_e", F.explode("_t"))
@@ -53,9 +56,9 @@ def labels(grid: DataFrame, shapes: DataFrame, by: list[str], orders=(1, 1, 1),
     return held.groupBy(*by, *AXES).agg(F.max(label).alias(label))
 
 
-def values(grid: DataFrame, shapes: DataFrame, by: list[str], columns: list[str], orders=(1, 1, 1)) -> DataFrame:
+def values(grid: DataFrame, shapes: DataFrame, by: list[str], columns: list[str], orders=(1, 1, 1), corners: bool = False) -> DataFrame:
     """(by, z, y, x, columns): interpolated values of a whole grid."""
-    inside = spread(grid.select(*by, *AXES, *columns), shapes, by, orders)
+    inside = spread(grid.select(*by, *AXES, *columns), shapes, by, orders, corners)
     return inside.groupBy(*by, *AXES).agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in columns])
 
 

@@ -58,10 +58,9 @@ def _parts(side: str, source: str) -> str:
 
 
 _A = lambda c: f"(({c} - 1) // 50 + 1)"
-_OFFICIAL = f"""WITH RECURSIVE {VOX}, {INST_B}, i AS (SELECT slab AS scan, z - slab * 50 AS z, y, x, gt, pred, (z - slab * 50) * 64 + y * 8 + x AS cell FROM inst),
-    g0 AS (SELECT scan, gt AS id, z, y, x, cell FROM i WHERE gt BETWEEN 1 AND 200 AND (scan, gt) IN (SELECT (scan, gt) FROM i GROUP BY scan, gt HAVING count(*) >= {O.voxels_of(LIMITS.least_fragment, SPACING)})), p0 AS (SELECT scan, pred AS id, z, y, x, cell FROM i WHERE pred > 0),
-    {_parts('g', 'g0')}, {_parts('p', 'p0')},
-    gn AS (SELECT scan, id AS gt, {_A('id')} AS anatomy, count(*) AS n FROM g GROUP BY ALL), pn AS (SELECT scan, id AS pred, {_A('id')} AS anatomy, count(*) AS n FROM p GROUP BY ALL),
+def _scores(radius: float) -> str:
+    """From cells g and p (scan, id, z, y, x) to cases, in SQL."""
+    return f"""gn AS (SELECT scan, id AS gt, {_A('id')} AS anatomy, count(*) AS n FROM g GROUP BY ALL), pn AS (SELECT scan, id AS pred, {_A('id')} AS anatomy, count(*) AS n FROM p GROUP BY ALL),
     o AS (SELECT g.scan, g.id AS gt, p.id AS pred, count(*) AS both_ FROM g JOIN p USING (scan, z, y, x) WHERE {_A('g.id')} = {_A('p.id')} GROUP BY ALL),
     u AS (SELECT o.*, gn.n AS n_gt, pn.n AS n_pred, both_ / CAST(gn.n + pn.n - both_ AS DOUBLE) AS iou FROM o JOIN gn ON gn.scan = o.scan AND gn.gt = o.gt JOIN pn ON pn.scan = o.scan AND pn.pred = o.pred),
     best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY scan, gt ORDER BY iou DESC, pred) = 1), m AS (SELECT * FROM best WHERE iou >= 0.1),
@@ -70,7 +69,7 @@ _OFFICIAL = f"""WITH RECURSIVE {VOX}, {INST_B}, i AS (SELECT slab AS scan, z - s
     d AS (SELECT a.scan, a.gt, sqrt(min({_D2})) AS d FROM ma a JOIN mb b ON b.scan = a.scan AND b.gt = a.gt GROUP BY a.scan, a.gt, a.z, a.y, a.x
         UNION ALL SELECT a.scan, a.gt, sqrt(min({_D2})) FROM mb a JOIN ma b ON b.scan = a.scan AND b.gt = a.gt GROUP BY a.scan, a.gt, a.z, a.y, a.x),
     s AS (SELECT scan, gt, quantile_cont(d, 0.95) AS hd95, avg(d) AS assd FROM d GROUP BY 1, 2),
-    near AS (SELECT a.scan, a.id AS pred, count(*) AS near FROM p a WHERE (a.scan, a.id) IN (SELECT (scan, pred) FROM m) AND EXISTS (SELECT 1 FROM g b WHERE b.scan = a.scan AND {_A('b.id')} = {_A('a.id')} AND {_D2} <= {LIMITS.radius ** 2}) GROUP BY 1, 2),
+    near AS (SELECT a.scan, a.id AS pred, count(*) AS near FROM p a WHERE (a.scan, a.id) IN (SELECT (scan, pred) FROM m) AND EXISTS (SELECT 1 FROM g b WHERE b.scan = a.scan AND {_A('b.id')} = {_A('a.id')} AND {_D2} <= {radius ** 2}) GROUP BY 1, 2),
     f AS (SELECT gn.scan, gn.gt, gn.anatomy, m.pred, COALESCE(m.iou, 0) AS iou, COALESCE(2.0 * m.both_ / (m.n_gt + m.n_pred), 0) AS dice, COALESCE(2.0 * m.both_ / (m.n_gt + near.near), 0) AS local_dice, hd95, assd,
         count(m.pred) OVER (PARTITION BY gn.scan, m.pred) AS uses, (SELECT count(*) FROM o WHERE o.scan = gn.scan AND o.gt = gn.gt) AS touching
         FROM gn LEFT JOIN m ON m.scan = gn.scan AND m.gt = gn.gt LEFT JOIN s ON s.scan = gn.scan AND s.gt = gn.gt LEFT JOIN near ON near.scan = m.scan AND near.pred = m.pred),
@@ -79,6 +78,12 @@ _OFFICIAL = f"""WITH RECURSIVE {VOX}, {INST_B}, i AS (SELECT slab AS scan, z - s
     k AS (SELECT scan, anatomy, count(*) AS n_pred FROM pn GROUP BY 1, 2),
     w AS (SELECT c.*, COALESCE(n_pred, 0) AS n_pred, COALESCE(n_pred, 0) - used AS fp, n_gt - tp AS fn, tp - used AS merge_error, tp / CAST(greatest(tp + COALESCE(n_pred, 0) - used, 1) AS DOUBLE) AS precision, tp / CAST(n_gt AS DOUBLE) AS recall FROM c LEFT JOIN k ON k.scan = c.scan AND k.anatomy = c.anatomy),
     cases AS (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-8) AS f1 FROM w)"""
+
+
+_OFFICIAL = f"""WITH RECURSIVE {VOX}, {INST_B}, i AS (SELECT slab AS scan, z - slab * 50 AS z, y, x, gt, pred, (z - slab * 50) * 64 + y * 8 + x AS cell FROM inst),
+    g0 AS (SELECT scan, gt AS id, z, y, x, cell FROM i WHERE gt BETWEEN 1 AND 200 AND (scan, gt) IN (SELECT (scan, gt) FROM i GROUP BY scan, gt HAVING count(*) >= {O.voxels_of(LIMITS.least_fragment, SPACING)})), p0 AS (SELECT scan, pred AS id, z, y, x, cell FROM i WHERE pred > 0),
+    {_parts('g', 'g0')}, {_parts('p', 'p0')},
+    {_scores(LIMITS.radius)}"""
 _MEANS = " ".join(f"{c}:d" for c in O.MEANS) + " " + " ".join(f"{c}:l" for c in O.SUMS)
 
 

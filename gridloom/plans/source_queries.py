@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.registry import anatomies, anatomy_of
 from ..operators import ranking as R
 from ..operators import reports as RP
+from ..operators import resample as RS
 from ..session import load
 from ..sources import fixtures as X
 from ..sources import volumes as V
@@ -89,19 +90,20 @@ def resample_nearest(spark, sf):
     return g.where("z % 2 = 1 AND y % 2 = 1 AND x % 2 = 1").selectExpr("slab", "z div 2 z", "y div 2 y", "x div 2 x", "gt")
 
 
-@query("resize_linear", "slab:l n:l total:d")
-def resize_linear(spark, sf):
-    import pandas as pd
-
-    from ..operators.decode import dense
-    from ..operators.kernels import resize_linear as resize
+def _corner_takes(name: str, n: int, m: int) -> str:
+    c = f"(o * {n - 1} / {float(m - 1)})"
+    return f"""{name} AS (SELECT o, least(i, {n - 1}) AS i, sum(w) AS w FROM (SELECT o, floor({c}) AS i, 1 - ({c} - floor({c})) AS w FROM (SELECT unnest(range(0, {m})) AS o) UNION ALL SELECT o, floor({c}) + 1, {c} - floor({c}) FROM (SELECT unnest(range(0, {m})) AS o)) GROUP BY 1, 2)"""
 
-    def run(pdf):
-        c, _ = dense(pdf, ["v"])
-        out = resize(0.5 + c[0], (25, 12, 12)).clip(0, 1)
-        return pd.DataFrame([(pdf["slab"].iloc[0], out.size, float(out.sum()))], columns=["slab", "n", "total"])
 
-    return X.vox(spark, sf).groupBy("slab").applyInPandas(run, "slab long, n long, total double")
+@query("resize_linear", "slab:l n:l total:d", f"""
+    WITH {VOX}, {_corner_takes('tz', 50, 25)}, {_corner_takes('ty', 8, 12)}, {_corner_takes('tx', 8, 12)},
+    h AS (SELECT slab, tz.o AS z, ty.o AS y, tx.o AS x, sum((0.5 + v) * tz.w * ty.w * tx.w) AS v FROM vox JOIN tz ON tz.i = z - slab * 50 JOIN ty ON ty.i = y JOIN tx ON tx.i = x GROUP BY 1, 2, 3, 4)
+    SELECT slab, count(*) AS n, sum(greatest(least(v, 1), 0)) AS total FROM h GROUP BY 1""")
+def resize_linear(spark, sf):
+    # probabilities to another shape, corner on corner
+    v = X.vox(spark, sf).select("slab", (F.col("z") - F.col("slab") * 50).alias("z"), "y", "x", (0.5 + F.col("v")).alias("v"))
+    shapes = v.select("slab").distinct().selectExpr("slab", "50L nz", "8L ny", "8L nx", "25L mz", "12L my", "12L mx")
+    return RS.values(v, shapes, ["slab"], ["v"], corners=True).groupBy("slab").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.least("v", F.lit(1.0)), F.lit(0.0))).alias("total"))
 
 
 @query("blend_tiles", "z:l y:l value:d weight:d", f"""
