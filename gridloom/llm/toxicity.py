@@ -19,7 +19,8 @@ Learned from at most TRAIN_ROWS labelled rows whose crc32(doc_id as text) mod 5
 hash order; the windows of whole texts of all rows are scored.
 
 Defined cases: a null or empty text has no windows and gets the calibration's score for none; windows
-that repeat in a text count once; a word over WINDOW_BYTES bytes is several windows; labels that repeat
+that repeat in a text count once; of several texts of one labelled doc_id the first in code-point order
+teaches; a null doc_id is held out of nothing (`held_out` gives null) and teaches nothing; a word over WINDOW_BYTES bytes is several windows; labels that repeat
 a doc_id count as toxic if one of them does, null labels not at all; without labelled rows of both kinds
 every score is the smoothed rate of toxic rows, (toxic + 0.5) / (all + 2); an empty table gives no rows; other columns pass through
 `score_documents` and are no input of a score (given columns score and predicted are replaced; `drop_toxic` returns them as given).
@@ -212,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[b
     tune(docs.sparkSession)
     told = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = first_by_hash(told, "doc_id", rows).withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), F.lit(FOLDS)).cast("int"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", "fold")
+    # one text an id, so that ids bound the rows; of several the first in code-point order
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("fold").alias("fold")).select("text", "toxic", "fold")
 
     def count(batches):
         columns = {"w": pa.binary(), "pair": pa.bool_(), "toxic": pa.int64(), "fold": pa.int32()}
@@ -255,6 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[b
             yield pa.RecordBatch.from_arrays([pa.array([measures[k].features(t) for t, k in zip(texts, folds, strict=True)], pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     measured = sample.mapInArrow(describe, "x array<double>, toxic int").collect()
+    measured.sort(key=lambda r: (r["toxic"], r["x"]))  # sums in one order, whatever order the rows came in
     x, y = np.array([r["x"] for r in measured]), np.array([r["toxic"] for r in measured], float)
     weights = fit_logistic(x, y)
     weights[0] -= best_cut(weights[0] + x @ weights[1:], y)

@@ -63,6 +63,17 @@ def test_planted_words_are_caught(spark):
     assert {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, flipped, keep=["doc_id"]).collect()} == {k: r["score"] for k, r in got.items()}
 
 
+def test_ids_bound_the_training_rows(spark):
+    """A labelled id on a thousand rows teaches as one text, the first in code-point order."""
+    rows, labels = planted(400, 5)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    teaches = next(i for i, *_ in rows if i % 8 == 0 and zlib.crc32(str(i).encode()) % 5)
+    more = [(teaches, f"~ another text {k}", "en", "a", 0) for k in range(1000)]
+    one = toxicity.train(spark.createDataFrame(rows, DOCS), lab)
+    many = toxicity.train(spark.createDataFrame(rows + more, DOCS).repartition(5), lab)
+    assert one[:2] == many[:2] and np.allclose(one[2], many[2], rtol=1e-9)
+
+
 def test_every_significant_mark_counts(spark):
     """Many rare marks, together over a kilobyte, each in under 1 % of the toxic texts; and a pair of words that are ordinary apart."""
     rng = random.Random(11)
@@ -271,9 +282,12 @@ def test_stages_take_odd_documents(odd, none, spark, sf):
 def test_registered_queries(spark, sf):
     from gridloom.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 13))
     assert set(queries.oracle_sql()) <= set(queries.queries())
     for name, q in queries.queries().items():
         out = q(spark, sf)
-        table = "pages" if "doc_id" not in out.columns else "documents"
+        if name.startswith("op11_"):  # a report of phrases, and few documents have any
+            assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+            continue
+        table = next(t for c, t in (("doc_id", "documents"), ("page_id", "pages"), ("vec_id", "embeddings")) if c in out.columns)
         assert out.count() == spark.read.parquet(f"{sf}/{table}.parquet").count(), name
