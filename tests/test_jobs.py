@@ -10,6 +10,9 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from gridloom.operators import official as O
 from gridloom.sources import volumes as V
 from jobs import common, evaluate_cases, watch_logs
 from jobs import queries as Q
@@ -89,6 +92,34 @@ def test_volumes_in_files_and_a_missing_prediction(spark, tmp_path):
         evaluate_cases.run(spark, f"{tmp_path}/in", f"{tmp_path}/no", {"format": "dicom"})
 
 
+def test_official_metrics_by_parts(spark, tmp_path):
+    """The challenge's metrics in the job equal the operator's, and parts are done again alone."""
+    config = {"official": True, "spacing": [0.8, 1.0, 1.5], "least_fragment_mm3": 24.0, "least_component_mm3": 6.0, "local_radius_mm": 2.5, "scans_a_part": 5}
+    out = str(tmp_path)
+    evaluate_cases.run(spark, SF, out, config)
+    grid = evaluate_cases.instance_maps(spark, SF, "planes")
+    want = O.official_metrics(grid, (0.8, 1.0, 1.5), O.Limits(24.0, 6.0, 0.1, 2.5))
+    rounded = lambda df: rows(df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.drop("part").dtypes]))
+    got = rounded(spark.read.parquet(f"{out}/official"))
+    assert got == rounded(want) and len(got) > 20
+    others = files(f"{out}/official/part=1")
+    evaluate_cases.run(spark, SF, out, config, parts=[0])
+    assert files(f"{out}/official/part=1") == others and rounded(spark.read.parquet(f"{out}/official")) == got
+    summary = spark.read.json(f"{out}/official_summary").where("anatomy IS NULL").first()
+    assert summary["samples"] == len(got) and summary["hd95"] > 0
+
+
+def test_command_line_of_the_evaluation(tmp_path):
+    call = [sys.executable, "-m", "jobs.evaluate_cases", "--input", SF, "--output", f"{tmp_path}/out"]
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false --conf spark.sql.shuffle.partitions=4 pyspark-shell"}
+    for more in ([], ["--parts", "1"]):
+        p = subprocess.run(call + more, cwd=REPO, env=env, capture_output=True, text=True, timeout=300, check=False)
+        assert p.returncode == 0, p.stderr[-2000:]
+    assert "reading planes volumes" in p.stderr and "parts [1]" in p.stderr and "wrote" in p.stderr
+    p = subprocess.run([*call, "--config", f"{tmp_path}/none.json"], cwd=REPO, env=env, capture_output=True, text=True, timeout=300, check=False)
+    assert p.returncode != 0
+
+
 # ------------------------------------------------------------------ logs
 
 
