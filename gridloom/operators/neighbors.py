@@ -184,6 +184,21 @@ def edge_break_targets(grid: DataFrame, label: str, shapes: DataFrame, by: list[
     return inside.select(*place).join(starts.unionByName(leads).distinct(), place, "left_semi")
 
 
+def class_target(grid: DataFrame, label: str, by: list[str], grow: int = 1, shrink: int = 1) -> DataFrame:
+    """grid (by, z, y, x, label, ...) with cls: 0 outside, 2 within `grow` voxels of where fragments of one anatomy touch, 3 further than
+    `shrink` from any voxel outside, 1 between; distances go along all axes at once (cubes), and beyond the grid there is nothing."""
+    place = [*by, "z", "y", "x"]
+    cube = lambda r: [o for o in ((a, b, c) for a in range(-r, r + 1) for b in range(-r, r + 1) for c in range(-r, r + 1)) if o != (0, 0, 0)]
+    touch = contact_voxels(grid, label, forward_offsets(), same_anatomy, by)
+    boundary = (dilate(touch, cube(grow), by) if grow else touch).withColumn("_b", F.lit(True))
+    inside = grid.where(F.col(label) > 0).select(*place)
+    outside = grid.where(F.coalesce(F.col(label), F.lit(0)) <= 0).select(*by, *[F.col(a).alias(f"t{a}") for a in "zyx"])
+    rim = shifted(inside, cube(shrink)).join(outside, [*by, "tz", "ty", "tx"], "left_semi").select(*place).distinct() if shrink else inside.limit(0)
+    out = grid.join(boundary, place, "left").join(rim.withColumn("_r", F.lit(True)), place, "left")
+    cls = F.when(F.coalesce(F.col(label), F.lit(0)) <= 0, 0).when(F.col("_b"), 2).when(F.col("_r"), 1).otherwise(3)
+    return out.withColumn("cls", cls.cast("long")).select(*grid.columns, "cls")
+
+
 def distance_to_other(grid: DataFrame, label: str, radius: float, same_block=None, spacing=(1.0, 1.0, 1.0), by: list[str] | None = None) -> DataFrame:
     """(by, z, y, x, label, distance): of each labelled voxel, to the nearest one of another label within the radius; null beyond."""
     by = by or []

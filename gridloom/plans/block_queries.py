@@ -12,6 +12,7 @@ from ..operators import distance as DI
 from ..operators import gate as G
 from ..operators import heal as H
 from ..operators import masks as MK
+from ..operators import neighbors as N
 from ..operators import decode_targets as DT
 from ..operators import surfaces as SU
 from ..operators import targets as T
@@ -99,8 +100,6 @@ def hd95_assd(spark, sf):
     WITH {VOX}, g AS (SELECT slab, z, y, x, v > 0.2 AS gt, v > 0.1 AS p FROM vox), band AS (SELECT DISTINCT a.slab, a.z, a.y, a.x FROM g a JOIN g b ON b.slab = a.slab AND b.gt AND abs(a.z - b.z) <= 2 AND (a.z - b.z) ** 2 + (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 4)
     SELECT g.slab, 2.0 * count(*) FILTER (gt AND p) / greatest(count(*) FILTER (gt) + count(*) FILTER (p), 1) AS dice FROM g JOIN band USING (slab, z, y, x) GROUP BY 1""")
 def local_dice(spark, sf):
-    from ..operators import neighbors as N
-
     g = X.vox(spark, sf).select("slab", "z", "y", "x", (F.col("v") > 0.2).alias("gt"), (F.col("v") > 0.1).alias("p"))
     band = N.dilate(g.where("gt"), N.ball_offsets(2), ["slab"])
     inside = g.join(band, ["slab", "z", "y", "x"], "left_semi")
@@ -113,8 +112,7 @@ def local_dice(spark, sf):
     bd AS (SELECT DISTINCT slab, z + dz AS z, y + dy AS y, x + dx AS x FROM s, o), e AS (SELECT DISTINCT slab, z + dz AS z, y + dy AS y, x + dx AS x FROM inst, o WHERE gt = 0)
     SELECT slab, CASE WHEN gt = 0 THEN 0 WHEN bd.z IS NOT NULL THEN 2 WHEN e.z IS NULL THEN 3 ELSE 1 END AS cls, count(*) AS n FROM inst LEFT JOIN bd USING (slab, z, y, x) LEFT JOIN e USING (slab, z, y, x) GROUP BY 1, 2""")
 def abbc_class_target(spark, sf):
-    g = X.instances_b(spark, sf)
-    return D.per_block(g, "slab", ["gt"], lambda c: T.abbc_target(c[0].astype(np.int64), 1, 1), "cls").groupBy("slab", "cls").agg(F.count(F.lit(1)).alias("n"))
+    return N.class_target(X.instances_b(spark, sf), "gt", ["slab"]).groupBy("slab", "cls").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _classes(c: np.ndarray) -> np.ndarray:

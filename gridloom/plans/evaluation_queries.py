@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.registry import anatomy_of
 from ..operators import decode_targets as DT
+from ..operators import losses as LO
 from ..operators import matching as M
 from ..operators import ranking as R
 from ..operators import surfaces as SU
@@ -42,13 +43,16 @@ def expert_folds(spark, sf):
     return s.groupBy("fold", "side").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_custkey").alias("patients"))
 
 
-@query("patch_validation", "patch:l iou_f:d recall:d precision:d", f"""
+_PATCHES = f"""
     WITH {VOX}, {INST_B.replace('inst AS', 'i0 AS')}, inst AS (SELECT * FROM i0), per AS (SELECT slab, gt, pred, count(*) AS overlap FROM inst GROUP BY 1, 2, 3),
     g AS (SELECT slab, gt, sum(overlap) AS n FROM per WHERE gt > 0 GROUP BY 1, 2), p AS (SELECT slab, pred, sum(overlap) AS n FROM per WHERE pred > 0 GROUP BY 1, 2),
     b AS (SELECT g.slab, g.gt, per.pred, COALESCE(per.overlap / CAST(g.n + p.n - per.overlap AS DOUBLE), 0) AS iou, row_number() OVER (PARTITION BY g.slab, g.gt ORDER BY COALESCE(per.overlap / CAST(g.n + p.n - per.overlap AS DOUBLE), 0) DESC, per.pred) AS r
         FROM g LEFT JOIN per ON per.slab = g.slab AND per.gt = g.gt AND per.pred > 0 LEFT JOIN p ON p.slab = per.slab AND p.pred = per.pred),
     s AS (SELECT slab, avg(iou) AS iou_f, avg(CASE WHEN iou >= 0.5 THEN 1.0 ELSE 0.0 END) AS recall, count(DISTINCT CASE WHEN iou >= 0.5 THEN pred END) AS used FROM b WHERE r = 1 GROUP BY 1)
-    SELECT s.slab AS patch, iou_f, recall, used / CAST(greatest(k, 1) AS DOUBLE) AS precision FROM s LEFT JOIN (SELECT slab, count(*) AS k FROM p GROUP BY 1) k ON k.slab = s.slab""")
+    SELECT s.slab AS patch, iou_f, recall, used / CAST(greatest(k, 1) AS DOUBLE) AS precision FROM s LEFT JOIN (SELECT slab, count(*) AS k FROM p GROUP BY 1) k ON k.slab = s.slab"""
+
+
+@query("patch_validation", "patch:l iou_f:d recall:d precision:d", _PATCHES)
 def patch_validation(spark, sf):
     """Of each patch: mean best IoU, the share of true ids over 0.5, and distinct predictions so matched over all predictions."""
     over = M.overlaps(X.instances_b(spark, sf), by=["slab"])
@@ -168,3 +172,9 @@ def boundary_evaluation(spark, sf):
     {_BOUNDARY} SELECT count(*) AS scans, avg(iou_f) AS iou_f_mean, min(iou_f) AS iou_f_min, avg(support_dice) AS support_dice_mean, avg(support_hd95) AS support_hd95_mean, avg(barrier_precision) AS barrier_precision_mean, avg(barrier_recall) AS barrier_recall_mean, avg(barrier_ratio) AS barrier_ratio_mean, count(*) FILTER (seeds = 0) AS missing_seeds FROM e""")
 def boundary_summary(spark, sf):
     return EV.boundary_summary(_boundary(spark, sf))
+
+
+@query("patch_scores", "iou_f:d recall:d precision:d f1:d", f"SELECT iou_f, recall, precision, 2 * precision * recall / greatest(precision + recall, 1e-8) AS f1 FROM (SELECT avg(iou_f) AS iou_f, avg(recall) AS recall, avg(precision) AS precision FROM ({_PATCHES}) AS p) AS m")
+def patch_scores(spark, sf):
+    """Validation of an epoch: means over patches, and the F1 of the means."""
+    return LO.patch_scores(patch_validation(spark, sf))
