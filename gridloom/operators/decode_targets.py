@@ -3,70 +3,85 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 from . import heal
 from . import kernels as K
 from .targets import BARRIER, OFFICIAL, V5, fracture_regions
 
 
+#: What it costs a flood to enter a barrier, by profile, or a contact.
+BARRIER_COST, CONTACT_COST = {"geodesic_marker": 12.0, "geodesic_marker_v2": 64.0}, 12.0
+
+
+def flooded(labels: np.ndarray, seeds: np.ndarray, costs: dict[int, float]) -> np.ndarray:
+    """A flood from numbered seeds over the classes that have a cost."""
+    price = np.full(max(int(labels.max()), *costs) + 1, np.inf)
+    price[list(costs)] = list(costs.values())
+    energy = price[labels]
+    return K.flood(energy, seeds, np.isfinite(energy))
+
+
+def nearest_core(labels: np.ndarray) -> np.ndarray:
+    """Shell and core by their connected parts (26 neighbours), a part of several cores by the nearest of its own; barrier voxels join what is nearest.
+
+    A voxel's piece is the pair of its part and its core, no core if the part has one at most; pieces are numbered in the order of the pairs.
+    """
+    parts, n = K.components(np.isin(labels, (BARRIER["shell"], BARRIER["core"])), 3)
+    cores, _ = K.components(labels == BARRIER["core"], 3)
+    held = np.unique(np.stack([parts[cores > 0], cores[cores > 0]]), axis=1)  # a core lies in one part
+    several = np.flatnonzero(np.bincount(held[0], minlength=n + 1) > 1)
+    core = np.zeros(labels.shape, np.int64)
+    for part in several:
+        own = parts == part
+        core[own] = K.fill_nearest(np.where(own, cores, 0), own)[own]
+    inside = parts > 0
+    out = np.zeros(labels.shape, np.int32)
+    out[inside] = np.unique(np.stack([parts[inside], core[inside]]), axis=1, return_inverse=True)[1].ravel() + 1
+    return K.fill_nearest(out, labels == BARRIER["barrier"])
+
+
 def barrier(labels: np.ndarray, profile: str = "hard_barrier") -> np.ndarray:
-    """hard_barrier: parts of shell and core, split by their cores, then the barrier by the nearest. geodesic_marker, geodesic_marker_v2: a flood from the cores with a barrier cost of 12 or 64."""
+    """hard_barrier: nearest_core. The profiles of BARRIER_COST: a flood from the cores over shell and barrier, or the support's parts if there is no core."""
     if profile == "hard_barrier":
-        support = np.isin(labels, (BARRIER["shell"], BARRIER["core"]))
-        parts, n = K.components(support, 3)
-        seeds, _ = K.components(labels == BARRIER["core"], 3)
-        out, last = np.zeros(labels.shape, np.int32), 0
-        for p in range(1, n + 1):
-            own = parts == p
-            ids = np.unique(seeds[own & (seeds > 0)])
-            if len(ids) > 1:
-                near = K.fill_nearest(np.where(own, seeds, 0), own)
-                pieces = [own & (near == i) for i in ids]
-            else:
-                pieces = [own]
-            for piece in pieces:
-                if piece.any():
-                    last += 1
-                    out[piece] = last
-        return K.fill_nearest(out, labels == BARRIER["barrier"])
-    costs = {"geodesic_marker": 12.0, "geodesic_marker_v2": 64.0}
-    if profile not in costs:
+        return nearest_core(labels)
+    if profile not in BARRIER_COST:
         raise ValueError(f"unknown decoder profile: {profile}")
-    support = labels >= BARRIER["barrier"]
-    markers, n = K.components(labels == BARRIER["core"], 1)
-    if not n:
-        return K.components(support, 1)[0]
-    energy = np.select([labels == BARRIER["core"], labels == BARRIER["shell"], labels == BARRIER["barrier"]], [0.0, 1.0, costs[profile]], 100.0)
-    return K.flood(energy, markers, support)
+    seeds, n = K.components(labels == BARRIER["core"], 1)
+    if n == 0:
+        return K.components(labels >= BARRIER["barrier"], 1)[0]
+    return flooded(labels, seeds, {BARRIER["core"]: 0.0, BARRIER["shell"]: 1.0, BARRIER["barrier"]: BARRIER_COST[profile]})
+
+
+def healed_cores(core: np.ndarray, room: np.ndarray, least: int, steps: int) -> np.ndarray:
+    """Cores closed over gaps of so many steps by faces, inside the room; of the parts those of `least` voxels, or else the largest."""
+    reach = range(-steps, steps + 1)
+    around = [(i, j, k) for i in reach for j in reach for k in reach if abs(i) + abs(j) + abs(k) <= steps]
+    joined = (K.erode(K.dilate(core & room, around), around) | core) & room
+    parts, n = K.components(joined, 1)
+    if n == 0:
+        return joined
+    size = np.bincount(parts.ravel(), minlength=n + 1)[1:]
+    kept = size >= least if size.max() >= least else np.arange(n) == size.argmax()
+    return np.append(False, kept)[parts]
 
 
 def markers_v5(labels: np.ndarray, healed: bool = False, least_core: int = 128, closings: int = 2) -> tuple[np.ndarray, dict]:
-    """A flood from the cores, with contact as a ridge of 12. healed: cores are closed first and small ones dropped (the largest stays)."""
-    support = np.isin(labels, (V5["shell"], V5["core"], V5["contact"]))
-    contact, core = labels == V5["contact"], labels == V5["core"]
+    """A flood from the cores over shell and contact, and a report: seeds, and the parts of the support that have none.
+
+    healed: the cores are healed_cores of the support without contact; what was core and isn't any more counts as shell.
+    """
+    core = labels == V5["core"]
     if healed and core.any():
-        cross = [(0, 0, 0), *K.structure(1)]
-        place = core & support & ~contact
-        closed = place
-        for _ in range(closings):
-            closed = K.dilate(closed, cross)
-        for _ in range(closings):
-            closed = K.erode(closed, cross)
-        parts, n = K.components((closed | place) & support & ~contact, 1)
-        sizes = np.bincount(parts.ravel(), minlength=n + 1)
-        sizes[0] = 0
-        keep = sizes >= least_core
-        if not keep.any() and n:
-            keep[int(np.argmax(sizes))] = True
-        core = keep[parts]
+        core = healed_cores(core, np.isin(labels, (V5["shell"], V5["core"])), least_core, closings)
     seeds, n = K.components(core, 1)
-    parts, k = K.components(support, 1)
-    seeded = set(np.unique(parts[seeds > 0]).tolist())
-    missing = [p for p in range(1, k + 1) if p not in seeded]
-    if not n:
-        return np.zeros(labels.shape, np.int32), {"seeds": 0, "missing": missing}
-    energy = np.select([core, contact], [0.0, 12.0], 1.0)
-    return K.flood(energy, seeds, support), {"seeds": n, "missing": missing}
+    classes = np.where(core, V5["core"], np.where(labels == V5["core"], V5["shell"], labels))
+    parts, k = K.components(np.isin(classes, (V5["shell"], V5["core"], V5["contact"])), 1)
+    missing = np.setdiff1d(np.arange(1, k + 1), parts[core]).tolist()
+    report = {"seeds": n, "missing": missing}
+    if n == 0:
+        return np.zeros(labels.shape, np.int32), report
+    return flooded(classes, seeds, {V5["core"]: 0.0, V5["shell"]: 1.0, V5["contact"]: CONTACT_COST}), report
 
 
 def official_to_instances(classes: np.ndarray, least_core: int = 50) -> np.ndarray:
@@ -98,32 +113,56 @@ def majority_anatomy(semantic: np.ndarray, inst: np.ndarray) -> dict[int, int]:
     return out
 
 
-def to_global_ids(semantic: np.ndarray, inst: np.ndarray, least: int = 1000) -> np.ndarray:
-    """Splits instances by anatomy and connection, folds small ones into the most touched of their anatomy (within 3, then 10 voxels), numbers by falling size in the anatomy's block."""
-    combined = np.where((semantic > 0) & (inst > 0), semantic.astype(np.int64) * 100_000 + inst, 0)
-    parts, _ = K.components_by_value(combined, 3)
-    owner = majority_anatomy(semantic, parts)
-    ids, counts = np.unique(parts[parts > 0], return_counts=True)
-    for i, n in zip(ids.tolist(), counts.tolist()):
-        if n > least:
-            continue
-        if i not in owner:
-            parts[parts == i] = 0
-            continue
-        for radius in (3, 10):
-            near = parts[K.dilate(parts == i, K.ball(radius)) & (parts != i) & (parts > 0)]
-            touched, k = np.unique(near[[owner.get(int(v)) == owner[i] for v in near]] if len(near) else near, return_counts=True)
-            if len(touched):
-                parts[parts == i] = touched[np.argmax(k)]
-                break
-    out = np.zeros(inst.shape, np.int32)
-    for a in (1, 2, 3):
-        ids, n = np.unique(parts[(semantic == a) & (parts > 0)], return_counts=True)
-        for k, i in enumerate(ids[np.lexsort((ids, -n))].tolist()):
-            out[(parts == i) & (semantic == a)] = 50 * (a - 1) + 1 + k
+def nearby(parts: np.ndarray, of: np.ndarray, radius: int) -> dict[int, np.ndarray]:
+    """Of each given part the places (raster numbers) of other parts' voxels within so many voxels of it."""
+    place, ball, out = np.arange(parts.size).reshape(parts.shape), K.ball(radius), {}
+    for part in of.tolist():
+        crop = heal.box(parts == part, radius)
+        view = parts[crop]
+        out[part] = place[crop][K.dilate(view == part, ball) & (view != part) & (view > 0)]
     return out
 
 
+def to_global_ids(semantic: np.ndarray, inst: np.ndarray, least: int = 1000, radii: tuple[int, ...] = (3, 10)) -> np.ndarray:
+    """Ids of the anatomies' blocks, by falling size, of the connected parts of instances in one anatomy.
+
+    A part of `least` voxels or fewer, with what has joined it, joins the part of its anatomy of which most voxels lie within the first of
+    the radii that reaches any (of equal ones the lowest). One of no anatomy of 1 to 3 goes if it is as small.
+
+    What lies near each small part is found once, on the parts as they were; joining only moves pointers, and one sort numbers all.
+    """
+    both = (semantic > 0) & (inst > 0)
+    if not both.any():
+        return np.zeros(inst.shape, np.int32)
+    kind = np.zeros(inst.shape, np.int64)
+    kind[both] = np.unique(np.stack([semantic[both], inst[both]]), axis=1, return_inverse=True)[1].ravel() + 1
+    parts, count = K.components_by_value(kind, 3)
+    owner, size = np.zeros(count + 1, np.int64), np.bincount(parts.ravel(), minlength=count + 1)
+    owner[parts[both]] = semantic[both]
+    size[0] = 0  # no part
+    small = np.flatnonzero((size > 0) & (size <= least))
+    named = small[owner[small] <= 3]
+    near = [nearby(parts, named, r) for r in radii]
+    flat, head, members = parts.ravel(), np.arange(count + 1), {int(i): [int(i)] for i in named}
+    head[np.setdiff1d(small, named)] = 0
+    for part in named.tolist():
+        for around in near:
+            at = np.unique(np.concatenate([around[m] for m in members[part]]))
+            votes = np.bincount(head[flat[at]], minlength=count + 1)
+            votes[(owner != owner[part]) | (np.arange(count + 1) == part)] = 0
+            if votes.any():
+                joined = int(votes.argmax())
+                head[members[part]] = joined
+                members[joined] = members.get(joined, [joined]) + members.pop(part)
+                break
+
+    table = pd.DataFrame({"part": head[parts[both]], "anatomy": semantic[both]}).query("part > 0 and anatomy <= 3")
+    sizes = table.value_counts(["anatomy", "part"]).rename("n").reset_index().sort_values(["anatomy", "n", "part"], ascending=[True, False, True])
+    number = np.zeros(count + 1, np.int32)
+    number[sizes["part"]] = 50 * (sizes["anatomy"] - 1) + 1 + sizes.groupby("anatomy").cumcount()
+    return np.where(both & (semantic <= 3), number[head[parts]], 0)
+
+
 def split_official(inst: np.ndarray, classes: np.ndarray, disk: int = 6) -> np.ndarray:
     """Cuts instances of 400 voxels or more along predicted contact, if it is more than an edge and large pieces come of it.
 
