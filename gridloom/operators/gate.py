@@ -10,7 +10,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cluster import shipped
@@ -35,10 +35,14 @@ def check_payload(payload: dict, keys=KEYS) -> dict:
     return payload
 
 
-def load_payload(path: str, keys=KEYS) -> dict:
-    """A pickled model of your own making; never load one that you don't trust."""
-    with open(path, "rb") as f:
-        return check_payload(pickle.load(f), keys)
+def load_payload(spark: SparkSession, path: str, keys=KEYS) -> dict:
+    """A pickled model of your own making, from any store that Spark reads; never load one that you don't trust. Fails by name if keys
+    are missing, or regressors that can't predict."""
+    payload = check_payload(pickle.loads(spark.read.format("binaryFile").load(path).select("content").first()["content"]), keys)
+    deaf = sorted(k for k, m in payload.get("models", {}).items() if not callable(getattr(m, "predict", None)))
+    if deaf:
+        raise TypeError(f"these models can't predict: {', '.join(deaf)}")
+    return payload
 
 
 def candidates(grid: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -116,10 +120,11 @@ def predict(rows: DataFrame, payload: dict) -> DataFrame:
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                lost = [n for n in names if any(n not in dict(f) for f in pdf["features"])]
+                rows = [dict(f) for f in pdf["features"]]
+                lost = [n for n in names if any(n not in f for f in rows)]
                 if lost:
                     raise KeyError(f"missing features: {', '.join(lost)}")
-                x = np.array([[dict(f)[n] for n in names] for f in pdf["features"]], float)
+                x = np.array([[f[n] for n in names] for f in rows], float)
                 pdf = pdf.assign(**{f"d_{t}": np.asarray(payload["models"][f"delta_{t}"].predict(x), float) for t in TARGETS})
             else:
                 pdf = pdf.assign(**{f"d_{t}": 0.0 for t in TARGETS})

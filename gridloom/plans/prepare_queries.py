@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..cluster import shared_dir
+from ..operators import datasets as DS
+from ..operators import gate as G
 from ..operators import neighbors as N
 from ..operators import router as R
 from ..operators import splits as SP
@@ -113,3 +116,56 @@ def audited_clip(spark, sf):
     per = out.groupBy("scan").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum(F.when(F.col("v") > 0, F.expr("z * 10000 + y * 100 + x")).otherwise(0)).alias("moment"))
     g = spark.read.parquet(f"{path}/geometry").select("scan", F.col("source.orientation").alias("code"), F.col("output.size")[2].alias("nz"), F.col("output.origin")[0].alias("ox"))
     return per.join(g, "scan").withColumns({"voxels": F.lit(seen["voxels"]), "clipped": F.lit(seen["clipped"])})
+
+
+#: What decoders report of a volume and anatomy, as counts of the values, and relative errors of accepted splits.
+_COUNTS = {"supervoxels": "v > 0.2", "rag_edges": "v > 0.15", "mid_covered": "v > 0.15 AND x < 5", "long_covered": "v > 0.15 AND x < 3", "vetoed": "v > 0.15 AND y = 0", "border": "v > 0 AND v <= 0.05", "boundary": "v > 0.05 AND v <= 0.1", "core": "v > 0.1", "hard_total": "v > 0"}
+_RATIOS = {"context_initial_supervoxels": "supervoxels", "context_initial_rag_edges": "rag_edges", **{f"context_{k}": f"{c} / greatest(rag_edges, 1)" for k, c in (("mid_coverage", "mid_covered"), ("long_coverage", "long_covered"), ("veto_fraction", "vetoed"))}, **{f"context_abbc_{k}_fraction": f"{k} / greatest(hard_total, 1)" for k in ("border", "boundary", "core")}, "context_accepted_splits": "splits", "context_max_relative_error": "COALESCE(worst, 0)", "context_mean_relative_error": "COALESCE(summed, 0) / greatest(splits, 1)"}
+
+
+@query("decoder_context", "vol:l anatomy:l " + " ".join(f"{n}:d" for n in G.CONTEXT_FEATURES), f"""
+    WITH {VOX}, c AS (SELECT slab AS vol, label % 4 + 1 AS anatomy, {', '.join(f'CAST(count(*) FILTER ({c}) AS DOUBLE) AS {k}' for k, c in _COUNTS.items())}, count(*) FILTER (v > 0.38) AS splits, max(v) FILTER (v > 0.38) AS worst, sum(v) FILTER (v > 0.38) AS summed FROM vox GROUP BY 1, 2)
+    SELECT vol, anatomy, {', '.join(f'{e} AS {n}' for n, e in _RATIOS.items())} FROM c""")
+def decoder_context(spark, sf):
+    v = X.vox(spark, sf)
+    counts = [F.count_if(F.expr(re.sub(r"(0\.\d+)", r"\1D", c))).alias(k) for k, c in _COUNTS.items()]  # doubles, not decimals
+    reports = v.groupBy(F.col("slab").alias("vol"), (F.col("label") % 4 + 1).alias("anatomy")).agg(*counts, F.collect_list(F.when(F.col("v") > 0.38, F.col("v"))).alias("errors"))
+    return G.decoder_context(reports)
+
+
+def _truth(spark, sf):
+    g = X.instances_b(spark, sf).selectExpr("slab scan", "z - slab * 50 z", "y", "x", "gt")
+    return g, g.select("scan").distinct().selectExpr("scan", "50L nz", "8L ny", "8L nx")
+
+
+_SAMPLE = "'CASE_' || lpad(CAST(slab AS VARCHAR), CAST(greatest(length(CAST(slab AS VARCHAR)), 3) AS INTEGER), '0') || '_' || CASE (gt - 1) // 50 WHEN 0 THEN 'Sacrum' WHEN 1 THEN 'LeftHip' WHEN 2 THEN 'RightHip' ELSE 'Femur' END"
+
+
+@query("roi_samples", "sample:s anatomy:l z0:l z1:l y0:l y1:l x0:l x1:l voxels:l ids:l", f"""
+    WITH {VOX}, {INST_B} SELECT {_SAMPLE} AS sample, (gt - 1) // 50 + 1 AS anatomy, greatest(min(z - slab * 50) - 2, 0) AS z0, least(max(z - slab * 50) + 3, 50) AS z1, greatest(min(y) - 2, 0) AS y0, least(max(y) + 3, 8) AS y1, greatest(min(x) - 2, 0) AS x0, least(max(x) + 3, 8) AS x1, count(*) AS voxels, count(DISTINCT gt) AS ids
+    FROM inst WHERE gt > 0 GROUP BY slab, (gt - 1) // 50""")
+def roi_samples(spark, sf):
+    g, scans = _truth(spark, sf)
+    return DS.samples(g, scans, pad=2)
+
+
+@query("sample_targets", "sample:s local:l n:l sz:l sy:l sx:l", f"""
+    WITH {VOX}, {INST_B.replace('(z // 50) % 10', '(z // 50) % 10 + 3 * (y // 3)')}, i AS (SELECT slab, z - slab * 50 AS z, y, x, gt, {_SAMPLE} AS sample FROM inst WHERE gt > 0), b AS (SELECT sample, greatest(min(z) - 2, 0) AS z0, greatest(min(y) - 2, 0) AS y0, greatest(min(x) - 2, 0) AS x0 FROM i GROUP BY 1)
+    SELECT i.sample, dense_rank() OVER (PARTITION BY i.sample ORDER BY gt) AS local, count(*) AS n, sum(z - z0) AS sz, sum(y - y0) AS sy, sum(x - x0) AS sx FROM i JOIN b ON b.sample = i.sample GROUP BY i.sample, gt""")
+def sample_targets(spark, sf):
+    """Several fragments of an anatomy in a scan: ids from 1 on in each sample."""
+    g, scans = _truth(spark, sf)
+    g = g.withColumn("gt", F.when(F.col("gt") > 0, F.col("gt") + 3 * F.expr("y div 3")).otherwise(0))
+    t = DS.sample_targets(g, DS.samples(g, scans, pad=2))
+    return t.groupBy("sample", "local").agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("sz"), F.sum("y").alias("sy"), F.sum("x").alias("sx"))
+
+
+@query("unknown_labels", "scan:l label:l", f"WITH {VOX}, {INST_B} SELECT DISTINCT slab AS scan, (gt - 1) // 50 + 1 AS label FROM inst WHERE gt > 0 AND (gt - 1) // 50 + 1 = 4")
+def unknown_labels(spark, sf):
+    """Scans with a label that a pelvic dataset doesn't hold."""
+    return DS.unknown_labels(DS.semantic(_truth(spark, sf)[0]), [0, 1, 2, 3])
+
+
+@query("missing_cache", "o_custkey:l", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def missing_cache(spark, sf):
+    return DS.missing(load(spark, sf, "orders"), load(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"])
