@@ -17,14 +17,16 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of any ordered type to (node, root): the least node reachable, of nodes that aren't their own root.
 
     Every round hangs each node's larger neighbours on its least one, then its smaller ones; the rounds
-    needed grow about with the logarithm of the longest path, and each is written before the next.
+    needed grow about with the logarithm of the longest path, and each is written before the next. A node of very many
+    neighbours is no task of its own: its minimum comes from partial sums, and the joins with minima are splittable.
     """
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        hung = both.where("a < b").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        low = hung.groupBy("b").agg(F.min("a").alias("m"))
+        # minima are written before they are joined: a join of two read tables can be broadcast, or its skewed keys split
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        hung = written(both.where("a < b").join(least, "a").select(F.col("m").alias("a"), "b").distinct())
+        low = written(hung.groupBy("b").agg(F.min("a").alias("m")))
         nxt = written(hung.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct())
         n, leaves = nxt.agg(F.count(F.lit(1)), F.count_distinct("b")).first()
         if n == leaves and nxt.join(nxt.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
