@@ -1,7 +1,7 @@
 """Split candidates scored by injected regressors: enumerate, predict, select, apply; all keyed by volume and source.
 
-The tables are long: a grid has (vol, z, y, x, base, proposal, ct). Overlaps, ranks and ids are relational;
-only a candidate's shape features need its voxels, in one group a source.
+The tables are long: a grid has (vol, z, y, x, base, proposal, ct). Overlaps, ranks, ids and features are relational; only
+the injected models see rows as arrays.
 """
 
 from __future__ import annotations
@@ -9,15 +9,14 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cluster import shipped
 from ..functions.registry import ANATOMIES, anatomy_of
-from .decode import dense
 from .ranking import select_splits
-from .surfaces import candidate_features
+from .shape import shape_features
+from .surfaces import SHAPE_FEATURES
 
 TARGETS = ("merge", "split", "dice", "f1", "precision")
 #: The names by which stored models ask for features of the decoders' reports.
@@ -86,20 +85,12 @@ def decoder_context(reports: DataFrame) -> DataFrame:
 
 
 def with_features(grid: DataFrame, found: DataFrame, spacing=(1.0, 1.0, 1.0), context: DataFrame | None = None) -> DataFrame:
-    """The candidates with their features in a map column: those of counts by relations, those of shape from the source's voxels.
+    """The candidates with their features in a map column: counts and shapes, all by relations.
 
     context: (vol, anatomy, CONTEXT_FEATURES); 0 for volumes and anatomies that it lacks.
     """
-    rows = grid.join(found.select("vol", F.col("source_id").alias("base"), "proposal_id", "invert"), ["vol", "base"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, _ = dense(pdf.assign(one=1), ["one", "proposal", "ct"])
-        source = c[0] > 0
-        piece = source & ((c[1] == pdf["proposal_id"].iloc[0]) != pdf["invert"].iloc[0])
-        f = candidate_features(source, piece, c[2], spacing)
-        return pd.DataFrame([(pdf["vol"].iloc[0], pdf["base"].iloc[0], pdf["proposal_id"].iloc[0], f)], columns=["vol", "source_id", "proposal_id", "features"])
-
-    made = rows.groupBy("vol", "base", "proposal_id").applyInPandas(shipped(rows, run), "vol long, source_id long, proposal_id long, features map<string,double>")
+    shape = shape_features(grid, found, spacing)
+    made = shape.select("vol", "source_id", "proposal_id", F.create_map(*[x for k in SHAPE_FEATURES for x in (F.lit(k), F.col(k))]).alias("features"))
     by_name = {n: i for n, i, _, _ in ANATOMIES}
     counted = {k: (F.col("anatomy") == by_name[n]) for k, n in (("is_sacrum", "Sacrum"), ("is_left_hip", "LeftHip"), ("is_right_hip", "RightHip"), ("is_femur", "Femur"))}
     counted |= {"anatomy_v35_fragment_count": F.col("fragments"), "isolated_is_complement": F.col("invert"), "proposal_ids_in_source": F.col("proposals"), "proposal_foreground_coverage": F.col("coverage"), "proposal_label_leakage_fraction": F.col("leakage")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -168,7 +170,39 @@ def decode_contact_heads(spark, sf):
     return _sizes(D.per_block(X.vox(spark, sf).withColumn("s", F.col("label") % 4), "slab", ["v", "s"], lambda c: DT.contact_heads(c[1].astype(int), s(8 * c[0] + 1), s(20 * c[0] - 1), s(-15 * c[0] - 2), s(-15 * c[0] - 2))))
 
 
-@query("candidate_features", "vol:l source_id:l proposal_id:l feature:s value:d")
+def _features_sql() -> str:
+    """Candidates as the gate finds them, and their features by counting; components spread over neighbours inside a side."""
+    near = "abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.z <> b.z OR a.y <> b.y OR a.x <> b.x)"
+    moments = lambda piece: f"max(n) FILTER ({piece}) AS n, max(mz) FILTER ({piece}) AS mz, max(my) FILTER ({piece}) AS my, max(mx) FILTER ({piece}) AS mx, max(mean) FILTER ({piece}) AS mean, max(dev) FILTER ({piece}) AS dev, COALESCE(max(inner_) FILTER ({piece}), 0) AS inner_, max(parts) FILTER ({piece}) AS parts"
+    rename = lambda text, p: re.sub(r" AS (\w+)", rf" AS {p}\1", text)
+    shape = {
+        "source_log_volume_cm3": "ln(1 + t_n / 1000)", "source_component_count": "t_parts", "source_bbox_short_mm": "span[1]", "source_bbox_mid_mm": "span[2]", "source_bbox_long_mm": "span[3]", "source_bbox_elongation": "span[3] / greatest(span[1], 1e-6)", "piece_small_volume_cm3": "least(p_n, r_n) / 1000", "piece_large_volume_cm3": "greatest(p_n, r_n) / 1000",
+        "piece_small_large_ratio": "least(p_n, r_n) / CAST(greatest(p_n, r_n) AS DOUBLE)", "isolated_piece_fraction": "p_n / CAST(t_n AS DOUBLE)", "piece_component_count": "p_parts", "remainder_component_count": "r_parts", "piece_surface_fraction": "1 - p_inner_ / CAST(p_n AS DOUBLE)", "remainder_surface_fraction": "1 - r_inner_ / CAST(r_n AS DOUBLE)",
+        "interface_voxels": "meet", "interface_source_fraction": "meet / CAST(t_n AS DOUBLE)", "centroid_distance_mm": "apart", "centroid_distance_radius_ratio": "apart / pow(3 * t_n / (4 * pi()), 1.0 / 3)", "ct_piece_mean": "p_mean", "ct_remainder_mean": "r_mean", "ct_absolute_mean_difference": "abs(p_mean - r_mean)",
+        "ct_standardized_mean_difference": "abs(p_mean - r_mean) / greatest(sqrt((p_dev ** 2 + r_dev ** 2) / 2), 1e-6)", "ct_piece_std": "p_dev", "ct_remainder_std": "r_dev",
+        "is_sacrum": "CAST(a = 0 AS INT)", "is_left_hip": "CAST(a = 1 AS INT)", "is_right_hip": "CAST(a = 2 AS INT)", "is_femur": "CAST(a = 3 AS INT)", "anatomy_v35_fragment_count": "fragments", "isolated_is_complement": "CAST(inv AS INT)", "proposal_ids_in_source": "k", "proposal_foreground_coverage": "covered / CAST(t_n AS DOUBLE)", "proposal_label_leakage_fraction": "(everywhere - n) / CAST(everywhere AS DOUBLE)",
+    } | dict.fromkeys(G.CONTEXT_FEATURES, "0")
+    return f"""WITH RECURSIVE {VOX}, {INST_B}, g AS (SELECT slab AS vol, z, y, x, v, gt AS base, pred AS proposal, (gt - 1) // 50 AS a FROM inst WHERE gt > 0),
+        p AS (SELECT vol, a, base, proposal, count(*) AS n, sum(z) AS sz, sum(y) AS sy, sum(x) AS sx FROM g WHERE proposal > 0 AND (proposal - 1) // 50 = a GROUP BY ALL),
+        t AS (SELECT vol, a, base, count(*) AS t_n, sum(z) AS tz, sum(y) AS ty, sum(x) AS tx, list_sort([max(z) - min(z) + 1.0, max(y) - min(y) + 1.0, max(x) - min(x) + 1.0]) AS span FROM g GROUP BY ALL),
+        w AS (SELECT vol, proposal, count(*) AS everywhere FROM g WHERE proposal > 0 GROUP BY ALL), q AS (SELECT vol, a, count(*) AS fragments FROM t GROUP BY ALL),
+        r AS (SELECT p.*, t_n, tz, ty, tx, span, count(*) OVER s AS k, sum(n) OVER s AS covered, row_number() OVER (PARTITION BY p.vol, p.base ORDER BY n, proposal) AS nth FROM p JOIN t ON t.vol = p.vol AND t.base = p.base WINDOW s AS (PARTITION BY p.vol, p.base)),
+        c AS (SELECT *, n > t_n - n AS inv, least(n, t_n - n) AS piece FROM r WHERE k > 2 OR (k = 2 AND nth = 1)),
+        d AS (SELECT *, row_number() OVER (PARTITION BY vol, base, piece, CASE WHEN inv THEN tz - sz ELSE sz END, CASE WHEN inv THEN ty - sy ELSE sy END, CASE WHEN inv THEN tx - sx ELSE sx END ORDER BY n DESC, proposal) AS copy FROM c WHERE piece >= 20 AND t_n - piece >= 20),
+        cand AS (SELECT d.* EXCLUDE (copy), fragments, everywhere, row_number() OVER (ORDER BY d.vol, d.base, d.proposal) AS id FROM d JOIN q ON q.vol = d.vol AND q.a = d.a JOIN w ON w.vol = d.vol AND w.proposal = d.proposal WHERE copy = 1),
+        cells AS (SELECT id, (g.proposal = cand.proposal) <> inv AS piece, id * 4 + CAST((g.proposal = cand.proposal) <> inv AS INT) AS side, g.z, g.y, g.x, g.v, g.z * 64 + g.y * 8 + g.x AS cell FROM cand JOIN g ON g.vol = cand.vol AND g.base = cand.base),
+        every AS (SELECT side, z, y, x, cell FROM cells UNION ALL SELECT id * 4 + 2, z, y, x, cell FROM cells),
+        e AS (SELECT a.side, a.cell AS a, b.cell AS b FROM every a JOIN every b ON b.side = a.side AND b.z BETWEEN a.z - 1 AND a.z + 1 AND {near}),
+        s AS (SELECT side, cell AS a, cell AS root FROM every UNION SELECT e.side, e.b, s.root FROM s JOIN e ON e.side = s.side AND e.a = s.a),
+        m AS (SELECT side, count(DISTINCT root) AS parts FROM (SELECT side, a, min(root) AS root FROM s GROUP BY 1, 2) GROUP BY 1), i AS (SELECT side, count(*) AS inner_ FROM (SELECT side, a FROM e GROUP BY 1, 2 HAVING count(*) = 26) GROUP BY 1),
+        f AS (SELECT id, side, piece, count(*) AS n, avg(z) AS mz, avg(y) AS my, avg(x) AS mx, avg(v) AS mean, stddev_pop(v) AS dev FROM cells GROUP BY ALL),
+        both_ AS (SELECT id, {rename(moments('piece'), 'p_')}, {rename(moments('NOT piece'), 'r_')} FROM f LEFT JOIN m ON m.side = f.side LEFT JOIN i ON i.side = f.side GROUP BY 1),
+        o AS (SELECT a.id, count(DISTINCT a.cell) AS meet FROM cells a JOIN cells b ON b.id = a.id AND b.z BETWEEN a.z - 1 AND a.z + 1 AND b.piece AND NOT a.piece AND {near} GROUP BY 1),
+        u AS (SELECT cand.*, both_.* EXCLUDE (id), COALESCE(meet, 0) AS meet, m.parts AS t_parts, sqrt((p_mz - r_mz) ** 2 + (p_my - r_my) ** 2 + (p_mx - r_mx) ** 2) AS apart FROM cand JOIN both_ ON both_.id = cand.id LEFT JOIN o ON o.id = cand.id LEFT JOIN m ON m.side = cand.id * 4 + 2)
+        SELECT vol, base AS source_id, proposal AS proposal_id, feature, value FROM (SELECT vol, base, proposal, unnest([{', '.join(f"'{k}'" for k in shape)}]) AS feature, unnest([{', '.join(f'CAST({v} AS DOUBLE)' for v in shape.values())}]) AS value FROM u)"""
+
+
+@query("candidate_features", "vol:l source_id:l proposal_id:l feature:s value:d", _features_sql())
 def candidate_features(spark, sf):
     """Every candidate of every slab."""
     g = X.instances_b(spark, sf).where("gt > 0").selectExpr("slab vol", "z", "y", "x", "gt base", "pred proposal", "v ct")
