@@ -88,9 +88,13 @@ def macro(rows: DataFrame, key: str, means: list[str], sums: list[str]) -> DataF
 def many_to_many(over: DataFrame, top: int = 5, low: float = 0.90) -> DataFrame:
     """(gt, best_pred, iou, n_overlaps, merged_with, is_low, largest): the overlaps of each true id as text of the largest ones."""
     pairs = iou_pairs(over)
-    best = pairs.groupBy("gt").agg(F.max_by(F.struct("pred", "iou"), F.struct("iou", -F.col("pred"))).alias("b"), F.count(F.lit(1)).alias("n_overlaps"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("both")).alias("o"), "pred"))), 1, top).alias("l"))
+    best = pairs.groupBy("gt").agg(F.max_by(F.struct("pred", "iou"), F.struct("iou", -F.col("pred"))).alias("b"), F.count(F.lit(1)).alias("n_overlaps"))
+    order = Window.partitionBy("gt").orderBy(F.desc("both"), "pred")
+    first = pairs.select("gt", "pred", "both").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= top)  # only these are gathered
+    listed = first.groupBy("gt").agg(F.array_sort(F.collect_list(F.struct("_k", F.concat(F.col("pred").cast("string"), F.lit(":"), F.col("both").cast("string")).alias("said")))).alias("l"))
     shares = Window.partitionBy("b.pred")
-    return best.withColumn("merged_with", F.count(F.lit(1)).over(shares) - 1).select("gt", F.col("b.pred").alias("best_pred"), F.col("b.iou").alias("iou"), "n_overlaps", "merged_with", (F.col("b.iou") < low).alias("is_low"), F.concat_ws(",", F.transform("l", lambda r: F.concat(r["pred"].cast("string"), F.lit(":"), (-r["o"]).cast("string")))).alias("largest"))
+    shared = best.join(listed, "gt").withColumn("merged_with", F.count(F.lit(1)).over(shares) - 1)
+    return shared.select("gt", F.col("b.pred").alias("best_pred"), F.col("b.iou").alias("iou"), "n_overlaps", "merged_with", (F.col("b.iou") < low).alias("is_low"), F.concat_ws(",", F.col("l.said")).alias("largest"))
 
 
 def majority(over: DataFrame, key: str, vote: str) -> DataFrame:

@@ -10,9 +10,12 @@ from ..cluster import shipped, written
 
 def slot_cap(sizes: DataFrame, by: str, ident: str, n: str, cap: int = 50) -> DataFrame:
     """The cap largest ids of each group. On overflow ids are numbered by size (then id), otherwise by id."""
-    by_size = Window.partitionBy(by).orderBy(F.desc(n), ident)
-    r = sizes.withColumn("by_size", F.row_number().over(by_size)).withColumn("by_id", F.row_number().over(Window.partitionBy(by).orderBy(ident))).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy(by)) > cap)
-    return r.where(F.col("by_size") <= cap).select(by, ident, n, F.when(F.col("many"), F.col("by_size")).otherwise(F.col("by_id")).alias("slot"))
+    # the limit stands on the window itself, so that a task passes on cap rows of a group at most; the other steps see these alone
+    order = Window.partitionBy(by).orderBy(F.desc(n), ident)
+    top = sizes.select(by, ident, n).withColumn("by_size", F.row_number().over(order)).where(F.col("by_size") <= cap)
+    overflow = sizes.groupBy(by).agg((F.count(F.lit(1)) > cap).alias("many"))
+    r = top.withColumn("by_id", F.row_number().over(Window.partitionBy(by).orderBy(ident))).join(overflow, by)
+    return r.select(by, ident, n, F.when(F.col("many"), F.col("by_size")).otherwise(F.col("by_id")).alias("slot"))
 
 
 def ranked(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
