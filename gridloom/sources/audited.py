@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from . import volumes
 
 
 def turned(volume: DataFrame, geometry: DataFrame) -> DataFrame:
@@ -42,6 +43,14 @@ def after_turn(geometry: DataFrame) -> DataFrame:
     return g.select("scan", source.alias("source"), output.alias("output"))
 
 
+def read_lps(spark: SparkSession, folder: str, pattern: str = "*.mha") -> tuple[DataFrame, DataFrame]:
+    """(voxels, geometry) of image files: (scan, z, y, x, v) turned to LPS, scan being the file's path, and (scan, source, output) as after_turn."""
+    voxels, files = volumes.read_mha(spark, folder, pattern)
+    n, s = (F.array(*[F.col(f"{k}{a}") for a in "xyz"]) for k in ("n", "s"))
+    geometry = files.select(F.col("path").alias("scan"), n.alias("size"), s.alias("spacing"), "origin", "direction")
+    return turned(voxels.withColumnsRenamed({"path": "scan", "value": "v"}), geometry), after_turn(geometry)
+
+
 def write_clipped(volume: DataFrame, geometry: DataFrame, path: str, value: str = "v", low: float = S.HU_RANGE[0], high: float = S.HU_RANGE[1]) -> dict:
     """Writes the turned volume, its values clipped, to path/voxels by scan and the geometry before and after to path/geometry.
 

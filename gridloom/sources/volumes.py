@@ -122,19 +122,22 @@ def cropped_origin(origin: list[F.Column], direction: list[F.Column], spacing: l
     return [origin[r] + sum(direction[3 * r + c] * start[c] * spacing[c] for c in range(3)) for r in range(3)]
 
 
-def read_npz(spark: SparkSession, folder: str, keys=("probabilities", "softmax"), pattern: str = "*.npz") -> DataFrame:
-    """(path, c, z, y, x, value) of the first preferred array of each file, or its first one; it must have four axes."""
+def read_npz(spark: SparkSession, folder: str, keys=("probabilities", "softmax"), pattern: str = "*.{npz,npy}") -> DataFrame:
+    """(path, c, z, y, x, value) of the first preferred array of each file, or its first one; it must have four axes. A .npy file is one array."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "content")
 
     def rows(batches):
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                with np.load(io.BytesIO(content)) as z:
-                    a = z[next((k for k in keys if k in z.files), z.files[0])]
+                a = np.load(io.BytesIO(content), allow_pickle=False)
+                if not isinstance(a, np.ndarray):
+                    a = a[next((k for k in keys if k in a.files), a.files[0])]
                 if a.ndim != 4:
                     raise ValueError(f"{path}: four axes are needed, not {a.ndim}")
-                c, zz, y, x = np.indices(a.shape)
-                yield pd.DataFrame({"path": path, "c": c.ravel(), "z": zz.ravel(), "y": y.ravel(), "x": x.ravel(), "value": a.ravel().astype(float)})
+                for c in range(a.shape[0]):  # a plane at a time
+                    for z in range(a.shape[1]):
+                        y, x = np.indices(a.shape[2:])
+                        yield pd.DataFrame({"path": path, "c": c, "z": z, "y": y.ravel(), "x": x.ravel(), "value": a[c, z].ravel().astype(float)})
 
     return files.mapInPandas(shipped(files, rows), "path string, c long, z long, y long, x long, value double")
 

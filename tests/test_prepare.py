@@ -11,6 +11,7 @@ from gridloom.operators import neighbors as N
 from gridloom.operators import router as R
 from gridloom.operators import splits as SP
 from gridloom.sources import audited as AU
+from gridloom.sources import volumes as V
 
 
 def test_router_features_of_scans_of_different_sizes(spark):
@@ -115,3 +116,31 @@ def test_audited_write(spark, tmp_path):
         got = {world(geo[s]["output"], (r["z"], r["y"], r["x"])): r["v"] for r in spark.read.parquet(f"{tmp_path}/voxels").where(F.col("scan") == s).collect()}
         assert got == want
     assert np.linalg.det(np.array(geo[2]["output"]["direction"]).reshape(3, 3)) == pytest.approx(1)
+
+
+def test_image_files_are_read_turned(spark, tmp_path):
+    """The same object in two orientations, on disk, lies in the same places once read."""
+    a = np.arange(24, dtype=np.int16).reshape(2, 3, 4)
+    (tmp_path / "one.mha").write_bytes(V.mha_bytes(a, (1, 2, 3), (10, 20, 30)))
+    mirrored = np.ascontiguousarray(a[:, :, ::-1])
+    (tmp_path / "two.mha").write_bytes(V.mha_bytes(mirrored, (1, 2, 3), (13, 20, 30), (-1, 0, 0, 0, 1, 0, 0, 0, 1)))
+    voxels, geometry = AU.read_lps(spark, str(tmp_path))
+    got = {}
+    for r in voxels.collect():
+        got.setdefault(r["scan"].rsplit("/", 1)[1], {})[r["z"], r["y"], r["x"]] = r["v"]
+    assert got["one.mha"] == got["two.mha"] == {at: float(a[at]) for at in np.ndindex(*a.shape)}
+    out = {r["scan"].rsplit("/", 1)[1]: r for r in geometry.collect()}
+    assert out["two.mha"]["source"]["orientation"] == "RPS" and out["two.mha"]["output"] == out["one.mha"]["output"]
+
+
+def test_arrays_with_and_without_names(spark, tmp_path):
+    a = np.random.default_rng(1).random((2, 3, 2, 4)).astype(np.float32)
+    np.save(tmp_path / "plain.npy", a)
+    np.savez(tmp_path / "named.npz", other=a * 0, softmax=a)
+    got = {}
+    for r in V.read_npz(spark, str(tmp_path)).collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1], {})[r["c"], r["z"], r["y"], r["x"]] = r["value"]
+    assert got["plain.npy"] == got["named.npz"] == {at: float(a[at]) for at in np.ndindex(*a.shape)}
+    np.save(tmp_path / "flat.npy", a[0])
+    with pytest.raises(Exception, match="four axes"):
+        V.read_npz(spark, str(tmp_path)).count()
