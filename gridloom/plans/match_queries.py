@@ -127,12 +127,13 @@ for _d, _first in ((1, 0), (3, 3), (9, 6)):
 
 
 @query("pair_affinity", "lo:l hi:l affinity:d n:l", f"""
-    WITH w AS (SELECT a.col0 AS lo, b.col0 AS hi FROM (VALUES (1), (2), (51), (52), (101)) a, (VALUES (1), (2), (51), (52), (101)) b WHERE a.col0 < b.col0), e AS ({_evidence_sql(1, 0)})
+    WITH {VOX}, {INST_B.replace('inst AS', 'all_ AS')}, w AS (SELECT DISTINCT pred AS lo, pred + k AS hi FROM all_, (SELECT unnest(range(1, 5)) AS k) WHERE pred > 0), e AS ({_evidence_sql(1, 0)})
     SELECT w.lo, w.hi, 1 - e.weight AS affinity, COALESCE(e.n, 0) AS n FROM w LEFT JOIN e ON e.lo = w.lo AND e.hi = w.hi""")
 def pair_affinity(spark, sf):
-    ids = (1, 2, 51, 52, 101)
-    wanted = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "lo long, hi long")
-    return N.pair_affinity(X.affinity_columns(X.instances_b(spark, sf)), "pred", ["a0", "a1", "a2"], N.axis_offsets(), wanted)
+    """Each id with the four after it, whether they touch or not, or aren't there."""
+    g = X.instances_b(spark, sf)
+    wanted = g.where("pred > 0").select(F.col("pred").alias("lo")).distinct().withColumn("hi", F.explode(F.sequence(F.col("lo") + 1, F.col("lo") + 4)))
+    return N.pair_affinity(X.affinity_columns(g), "pred", ["a0", "a1", "a2"], N.axis_offsets(), wanted)
 
 
 _BALL2 = "o AS (SELECT a.i AS dz, b.i AS dy, c.i AS dx FROM (SELECT unnest(range(-2, 3)) AS i) a, (SELECT unnest(range(-2, 3)) AS i) b, (SELECT unnest(range(-2, 3)) AS i) c WHERE a.i * a.i + b.i * b.i + c.i * c.i <= 4)"

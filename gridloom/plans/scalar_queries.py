@@ -193,15 +193,17 @@ def bbox_by_label(spark, sf):
     return N.label_boxes(X.instances_b(spark, sf), "gt")
 
 
-@query("bbox_padded", "gt:l z0:l z1:l y0:l y1:l x0:l x1:l back:b", f"""
-    WITH {VOX}, {INST_B} SELECT gt, greatest(min(z) - 3, 0) AS z0, least(max(z) + 4, 400) AS z1, greatest(min(y) - 3, 0) AS y0, least(max(y) + 4, 8) AS y1, greatest(min(x) - 3, 0) AS x0, least(max(x) + 4, 8) AS x1, true AS back
-    FROM inst WHERE gt > 0 AND z < 400 AND y BETWEEN 1 AND 6 AND x < 3 GROUP BY gt""")
+@query("bbox_padded", "slab:l pred:l z0:l z1:l y0:l y1:l x0:l x1:l back:b", f"""
+    WITH {VOX}, {INST_B} SELECT slab, pred, greatest(min(z) - 3, 0) AS z0, least(max(z) + 4, (SELECT max(z) + 1 FROM vox)) AS z1, greatest(min(y) - 3, 0) AS y0, least(max(y) + 4, 8) AS y1, greatest(min(x) - 3, 0) AS x0, least(max(x) + 4, 8) AS x1, true AS back
+    FROM inst WHERE pred > 0 GROUP BY slab, pred""")
 def bbox_padded(spark, sf):
     edges = [f"{a}{i}" for a in "zyx" for i in (0, 1)]
-    b = N.label_boxes(X.instances_b(spark, sf).where("z < 400 AND y BETWEEN 1 AND 6 AND x < 3"), "gt", pad=3, extent=(400, 8, 8))
+    g = X.instances_b(spark, sf)
+    planes = g.agg(F.max("z") + 1).first()[0]
+    b = N.label_boxes(g, "pred", ["slab"], pad=3, extent=(planes, 8, 8))
     r = b.select("*", S.box_ranges([F.col(e) for e in edges]).alias("ranges"))
     # boxes go to ranges and back
-    return r.select("gt", *S.range_edges(F.col("ranges")), (F.struct(*edges) == F.struct(*S.range_edges(F.col("ranges")))).alias("back"))
+    return r.select("slab", "pred", *S.range_edges(F.col("ranges")), (F.struct(*edges) == F.struct(*S.range_edges(F.col("ranges")))).alias("back"))
 
 
 @query("relabel_dense", "part:l compact:l n:l", "SELECT part, dense_rank() OVER (ORDER BY part) AS compact, n FROM (SELECT l_partkey * 3 + l_linenumber % 2 AS part, count(*) AS n FROM lineitem GROUP BY 1)")
