@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -65,6 +66,15 @@ def test_equals_all_pairs(spark, seed):
     assert got(spark, rows) == brute(rows)
 
 
+def test_sql_equals_all_pairs():
+    rows = [*scene(2, n=25), (900, None, 1), (901, [], 1), (902, [0.0] * 48, 1), (903, [1.0, None] * 24, 1), (904, [1.0, float("inf")] * 24, 1), (905, [1.0] * 48, None), (906, [1.0] * 3, 1), (907, [1.0] * 3, 1)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", [[i, v, k] for i, v, k in rows])
+    got = {i: (n, c, k) for i, n, c, k in con.execute(E.oracle_sql()).fetchall()}
+    assert got == {i: (n, c, i == c) for i, (n, c) in brute(rows).items()} and sum(n for n, *_ in got.values()) > 20
+
+
 def test_large_buckets_go_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(E, "BUCKET", 20)
     monkeypatch.setattr(E, "BLOCK", 8)
