@@ -22,11 +22,12 @@ from .scan_plan import Rules, boxes
 AXES = "zyx"
 
 
-def held_out(samples: DataFrame, truth: DataFrame, scans: DataFrame, said: DataFrame, channels: list[str], decode: Callable[[DataFrame], DataFrame], spacing=(1.0, 1.0, 1.0), limits: Limits = Limits(), pad: int = 24, background: float = 0.5, most_support: float = 6.0) -> DataFrame:  # noqa: B008
+def held_out(samples: DataFrame, truth: DataFrame, scans: DataFrame, said: DataFrame, channels: list[str], decode: Callable[[DataFrame], DataFrame], spacing=(1.0, 1.0, 1.0), limits: Limits = Limits(), pad: int = 24, background: float = 0.5, most_support: float = 6.0, shape: tuple[int, int, int] | None = None) -> DataFrame:  # noqa: B008
     """samples (sample, scan, anatomy) scored one by one against their anatomy's fragments.
 
     truth (scan, z, y, x, gt), scans (scan, nz, ny, nx). said (sample, z, y, x, channels): probabilities on the model's own grid, background
-    first; they are brought to the sample's region (the anatomy's box, padded), corner on corner, and scaled to a sum of 1.
+    first; they are brought to the sample's region (the anatomy's box, padded), corner on corner, and scaled to a sum of 1. shape is that
+    grid's extent (z, y, x); without it, it ends at the sample's last voxels.
     decode takes (sample, anatomy, z, y, x, channels) of regions and returns (sample, z, y, x, piece). A sample is decoded if voxels with a
     background under the limit are at most most_support times its true ones; else, or without what the model said, nothing of it is predicted.
 
@@ -37,7 +38,7 @@ def held_out(samples: DataFrame, truth: DataFrame, scans: DataFrame, said: DataF
     box = boxes(cells.select("scan", "anatomy", "z", "y", "x"), scans, Rules(pad=pad)).drop("box_share", "eta")
     regions = samples.join(box, ["scan", "anatomy"])
     true = cells.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
-    loose = said.groupBy("sample").agg(F.count_if(F.col(channels[0]) < background).alias("loose"), *[(F.max(a) + 1).alias(f"n{a}") for a in AXES])
+    loose = said.groupBy("sample").agg(F.count_if(F.col(channels[0]) < background).alias("loose"), *[(F.lit(shape[k]).cast("long") if shape else F.max(a) + 1).alias(f"n{a}") for k, a in enumerate(AXES)])
     plan = samples.join(true, "sample", "left").join(loose, "sample", "left").withColumn("support", F.col("loose") / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)))
     plan = written(plan.withColumn("decoded", F.coalesce((F.col("support") <= most_support) & (F.col("n") > 0), F.lit(False))))
 

@@ -140,7 +140,7 @@ def held_out_evaluation(spark, sf):
     scans = g.select("scan").distinct().selectExpr("scan", "50L nz", "8L ny", "8L nx")
     said = g.where("z % 5 = 0").select("scan", F.expr("z div 5").alias("z"), "y", "x", "v").join(samples.where("sample % 7 <> 6"), "scan").selectExpr("sample", "z", "y", "x", "0.5D - v + (sample % 5) * 0.02D p0", "0.5D + v p1")
     decode = lambda r: r.where("round(p1, 9) > 0.5D").selectExpr("sample", "z", "y", "x", "1 + z div 12 piece")
-    return EV.held_out(samples, g.select("scan", "z", "y", "x", "gt"), scans, said, ["p0", "p1"], decode, SPACING, O.Limits(0.0, 0.0, 0.1, 2.5), pad=2, most_support=0.55)
+    return EV.held_out(samples, g.select("scan", "z", "y", "x", "gt"), scans, said, ["p0", "p1"], decode, SPACING, O.Limits(0.0, 0.0, 0.1, 2.5), pad=2, most_support=0.55, shape=_SAID)
 
 
 _TARGET = "CASE WHEN {v} > 0.2 THEN 4 WHEN {v} > 0.05 THEN 3 WHEN {v} > 0 THEN 2 WHEN {v} > -0.1 THEN 1 ELSE 0 END"

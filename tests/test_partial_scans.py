@@ -21,7 +21,7 @@ def test_exploded_tables_are_not_broadcast(spark):
     assert d.where("distance = 1").count() == 2 * 28  # both ends of each border
 
 
-@pytest.mark.parametrize("name", ["audited_clip", "router_features"])
+@pytest.mark.parametrize("name", ["audited_clip", "held_out_evaluation", "router_features"])
 def test_a_table_that_ends_within_a_slab(spark, tmp_path, name):
     """Slabs are scans of 50 planes, also the last one of 40."""
     spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 90").write.parquet(f"{tmp_path}/embeddings.parquet")
