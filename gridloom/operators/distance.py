@@ -5,7 +5,8 @@ where the distances along x and then y are made; another gathers, for each y, th
 takes the least along z. So a task holds one plane at a time: a group is (job, z) and then (job, y).
 
 A job is any set of seeds and queries of its own, such as a pair of fragments; its key columns are named in `by`. Only the box that
-the job's seeds and queries span along x and y is worked on, and only planes that hold seeds.
+the job's seeds and queries span along x and y is worked on, and only planes that hold seeds. Groups are dealt out to all shuffle
+partitions, as they take long for their bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import shipped
+from ..cluster import dealt, shipped
 from .neighbors import Offsets, erode
 
 FACES: Offsets = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
@@ -60,34 +61,32 @@ def to_nearest(queries: DataFrame, seeds: DataFrame, by: list[str], spacing=(1.0
 
     def plane(pdf: pd.DataFrame) -> pd.DataFrame:
         y0, y1, x0, x1 = (int(pdf[c].iloc[0]) for c in ("_y0", "_y1", "_x0", "_x1"))
-        ys = np.sort(pdf["y"].unique())
+        ys = np.unique(pdf["y"].to_numpy())
         marks, carried = (np.zeros((len(ys), x1 - x0 + 1), t) for t in (bool, np.int64))
         at = np.searchsorted(ys, pdf["y"]), (pdf["x"] - x0).to_numpy()
         marks[at], carried[at] = True, pdf["_value"]
         mark = along_line(marks)  # every row has one
         wanted = np.arange(y0, y1 + 1)
         lines, row = least_sums(((np.arange(marks.shape[1]) - mark) * sx) ** 2, ys, wanted, sy)
-        out = pd.concat([pdf[[*by, "z"]].head(1)] * len(wanted), ignore_index=True).assign(y=wanted, _x0=x0, _line=list(lines), _values=None)
-        if value:
-            out["_values"] = list(np.take_along_axis(np.take_along_axis(carried, mark, 1), row, 0))
-        return out
+        values = list(np.take_along_axis(np.take_along_axis(carried, mark, 1), row, 0)) if value else None
+        return pd.DataFrame({**{k: np.repeat(pdf[k].to_numpy()[:1], len(wanted)) for k in (*by, "z")}, "y": wanted, "_x0": x0, "_line": list(lines), "_values": values})
 
     def column(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return right.assign(distance=None, nearest=None)
-        left = left.sort_values("z")
+        rise = np.argsort(left["z"].to_numpy())
+        lines = np.stack(left["_line"].to_numpy()[rise])
         x = right["x"].to_numpy() - int(left["_x0"].iloc[0])
         zs, own = np.unique(right["z"].to_numpy(), return_inverse=True)
         xs, place = np.unique(x, return_inverse=True)
-        best, row = least_sums(np.stack(left["_line"].to_numpy())[:, xs], left["z"].to_numpy(), zs, sz)
-        out = right.assign(distance=np.sqrt(best[own, place]), nearest=None)
-        if value:
-            out["nearest"] = np.stack(left["_values"].to_numpy())[row[own, place], x]
-        return out
+        best, row = least_sums(lines[:, xs], left["z"].to_numpy()[rise], zs, sz)
+        nearest = np.stack(left["_values"].to_numpy()[rise])[row[own, place], x] if value else None
+        return right.assign(distance=np.sqrt(best[own, place]), nearest=nearest)
 
-    lines = named.join(box, by).groupBy(*by, "z").applyInPandas(shipped(seeds, plane), f"{key}, z long, y long, _x0 long, _line array<double>, _values array<long>")
+    boxed = named.join(box, by)
+    lines = dealt(boxed, *by, "z").groupBy(*by, "z").applyInPandas(shipped(seeds, plane), f"{key}, z long, y long, _x0 long, _line array<double>, _values array<long>")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema) + ", distance double, nearest long"
-    out = lines.groupBy(*by, "y").cogroup(queries.groupBy(*by, "y")).applyInPandas(column, schema)
+    out = dealt(lines, *by, "y").groupBy(*by, "y").cogroup(dealt(queries, *by, "y").groupBy(*by, "y")).applyInPandas(column, schema)
     return out if value else out.drop("nearest")
 
 

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions.registry import same_anatomy
+from gridloom.operators import distance as D
 from gridloom.operators import neighbors as N
 from gridloom.plans import ORACLES, QUERIES
 
@@ -31,3 +33,13 @@ def test_a_table_that_ends_within_a_slab(spark, tmp_path, name):
     cur = cur.execute(ORACLES[name])
     columns = [d[0] for d in cur.description]
     assert canon(map(tuple, df.collect()), df.columns, sorted(columns)) == canon(cur.fetchall(), columns, sorted(columns))
+
+
+def test_distances_are_dealt_to_all_partitions(spark):
+    """Few bytes of many planes would else meet in one or two tasks."""
+    q = spark.range(4000).selectExpr("id div 50 job", "id % 50 z", "0L y", "0L x")
+    d = D.to_nearest(q, q.where("z = 3"), ["job"], (2.0, 1.0, 1.0))
+    got = d.select("job", "z", "distance", F.spark_partition_id().alias("at"))
+    rows = got.collect()
+    assert len(rows) == 4000 and all(r["distance"] == 2.0 * abs(r["z"] - 3) for r in rows)
+    assert len({r["at"] for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
