@@ -357,7 +357,7 @@ _BCE = " UNION ALL ".join(f"SELECT {k} AS k, a.a{k} AS p, a.gt = b.gt AS same FR
 def affinity_bce(spark, sf):
     g = X.affinity_columns(X.instances_b(spark, sf)).where("gt > 0").select("z", "y", "x", "gt", *[f"a{k}" for k in range(9)])
     offsets = [o for d in (1, 3, 9) for o in N.axis_offsets(d)]
-    pairs = N.neighbor_pairs(g, offsets, "gt").select("k", F.element_at(F.array(*[F.col(f"a{k}") for k in range(9)]), F.col("k") + 1).alias("p"), (F.col("gt") == F.col("other")).alias("same"))
+    pairs = N.affinity_pairs(g, "gt", [f"a{k}" for k in range(9)], offsets)
     return pairs.groupBy("k").agg(F.count(F.lit(1)).alias("n"), L.affinity_loss(pairs, "p", "same").alias("loss"))
 
 

@@ -45,7 +45,7 @@ _PAIRS = " UNION ALL ".join(f"SELECT a.slab, a.a{k} AS p, a.pred = b.pred AS sam
 def class_affinity_loss(spark, sf):
     g = X.affinity_columns(X.instances_b(spark, sf)).where("pred > 0").select("slab", "z", "y", "x", "pred", *[f"a{k}" for k in range(9)])
     offsets = [o for d in (1, 3, 9) for o in N.axis_offsets(d)]
-    pairs = N.neighbor_pairs(g, offsets, "pred", ["slab"]).select("slab", F.element_at(F.array(*[F.col(f"a{k}") for k in range(9)]), F.col("k") + 1).alias("p"), (F.col("pred") == F.col("other")).alias("same"))
+    pairs = N.affinity_pairs(g, "pred", [f"a{k}" for k in range(9)], offsets, ["slab"])
     return L.with_affinity(class_loss(spark, sf), pairs, ["slab"], "p", "same", 0.7)
 
 

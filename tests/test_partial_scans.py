@@ -43,3 +43,13 @@ def test_distances_are_dealt_to_all_partitions(spark):
     rows = got.collect()
     assert len(rows) == 4000 and all(r["distance"] == 2.0 * abs(r["z"] - 3) for r in rows)
     assert len({r["at"] for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pairs_carry_one_channel(spark):
+    """A joined row holds the channel of its offset, not all of them."""
+    g = spark.range(4).selectExpr("7L vol", "id z", "0L y", "0L x", "1 + id div 2 gt", "id * 1.0D a0", "id * 10.0D a1")
+    pairs = N.affinity_pairs(g, "gt", ["a0", "a1"], [(1, 0, 0), (2, 0, 0)], ["vol"])
+    assert sorted(tuple(r) for r in pairs.collect()) == [(7, 0, 0.0, True), (7, 0, 1.0, False), (7, 0, 2.0, True), (7, 1, 0.0, False), (7, 1, 10.0, False)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Generate explode" in x]
+    assert dealt and all("a0" not in x.split("[vol")[-1] and "a1" not in x.split("[vol")[-1] for x in dealt), dealt
