@@ -7,21 +7,27 @@ takes the least along z. So a task holds one plane at a time: a group is (job, z
 A job is any set of seeds and queries of its own, such as a pair of fragments; its key columns are named in `by`. Only the box that
 the job's seeds and queries span along x and y is worked on, and only planes that hold seeds. Groups are dealt out to all shuffle
 partitions, as they take long for their bytes.
+
+A group costs a call, whatever its size. So jobs whose boxes and rows are few go whole, many in a call, by the same passes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import dealt, shipped
+from ..cluster import dealt, in_groups, shipped, written
 from .neighbors import Offsets, erode
 
+AXES = ("z", "y", "x")
 FACES: Offsets = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 #: Numbers in a block of a plane's pass along y.
 BLOCK = 1 << 22
+#: Voxels of a box, and rows, of a job that goes whole.
+SMALL = 1 << 16
 
 
 def along_line(seeds: np.ndarray) -> np.ndarray:
@@ -47,17 +53,46 @@ def least_sums(values: np.ndarray, places: np.ndarray, wanted: np.ndarray, step:
     return best, row
 
 
+def nearest_of_job(asked: np.ndarray, seeds: np.ndarray, spacing) -> tuple[np.ndarray, np.ndarray]:
+    """The squared distance of each place (z, y, x) to the nearest seed, and that seed's number; of equally near ones the first by z, y, x."""
+    sz, sy, sx = spacing
+    low = np.minimum(asked.min(0), seeds.min(0))
+    ny, nx = np.maximum(asked.max(0), seeds.max(0))[1:] - low[1:] + 1
+    zs, plane = np.unique(seeds[:, 0], return_inverse=True)
+    marks, number = (np.zeros((ny, len(zs), nx), t) for t in (bool, np.int64))
+    at = seeds[:, 1] - low[1], plane, seeds[:, 2] - low[2]
+    marks[at], number[at] = True, np.arange(len(seeds))
+    mark = along_line(marks.reshape(-1, nx)).reshape(marks.shape)
+    lines = np.where(mark >= 0, ((np.arange(nx) - mark) * sx) ** 2, np.inf)
+    best, row = least_sums(lines.reshape(ny, -1), np.arange(ny), np.arange(ny), sy)
+    wanted, own = np.unique(asked[:, 0], return_inverse=True)
+    y, x = asked[:, 1] - low[1], asked[:, 2] - low[2]
+    best, of = least_sums(best.reshape(ny, len(zs), nx).swapaxes(0, 1).reshape(len(zs), -1), zs, wanted, sz)
+    place = own, y * nx + x
+    of = of[place]
+    seed_y = row.reshape(ny, len(zs), nx)[y, of, x]
+    return best[place], number[seed_y, of, mark[seed_y, of, x]]
+
+
 def to_nearest(queries: DataFrame, seeds: DataFrame, by: list[str], spacing=(1.0, 1.0, 1.0), value: str | None = None) -> DataFrame:
     """queries (by, z, y, x, ...) with `distance` to the nearest seed (by, z, y, x) of their job, in units of spacing; null without one.
 
     With value, a whole number of the seeds, `nearest` is that of the nearest seed, of equally near ones the first by z, y, x.
     """
     sz, sy, sx = spacing
-    kinds = dict(queries.dtypes)
+    kinds, names = dict(queries.dtypes), queries.columns
     key = ", ".join(f"{k} {kinds[k]}" for k in by)
-    places = queries.select(*by, "y", "x").unionByName(seeds.select(*by, "y", "x"))
-    box = places.groupBy(*by).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"))
-    named = seeds.select(*by, "z", "y", "x", (F.col(value) if value else F.lit(0)).cast("long").alias("_value"))
+    named = seeds.select(*by, *AXES, (F.col(value) if value else F.lit(0)).cast("long").alias("_value"))
+    # one table of both, so that what makes them runs once
+    both = written(queries.withColumn("_asks", F.lit(True)).unionByName(named.withColumn("_asks", F.lit(False)), allowMissingColumns=True))
+    ends = [(g(a), f"_{a}{k}") for a in AXES for k, g in enumerate((F.min, F.max))]
+    box = written(both.groupBy(*by).agg(*[e.alias(n) for e, n in ends], F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_asks")).alias("_seeds")))
+    voxels = F.lit(1.0)
+    for a in AXES:
+        voxels = voxels * (F.col(f"_{a}1") - F.col(f"_{a}0") + 1)
+    small = box.where((voxels <= SMALL) & (F.col("_n") <= SMALL) & (F.col("_seeds") > 0)).select(*by)
+    apart = both.join(small, by, "left_anti")
+    queries, named = apart.where("_asks").select(queries.columns), apart.where("NOT _asks").select(named.columns)
 
     def plane(pdf: pd.DataFrame) -> pd.DataFrame:
         y0, y1, x0, x1 = (int(pdf[c].iloc[0]) for c in ("_y0", "_y1", "_x0", "_x1"))
@@ -83,10 +118,24 @@ def to_nearest(queries: DataFrame, seeds: DataFrame, by: list[str], spacing=(1.0
         nearest = np.stack(left["_values"].to_numpy()[rise])[row[own, place], x] if value else None
         return right.assign(distance=np.sqrt(best[own, place]), nearest=nearest)
 
+    def whole(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        cells = np.stack([table.column(a).to_numpy() for a in AXES], 1)
+        asks, carried = table.column("_asks").to_numpy(), table.column("_value").to_numpy()
+        distance, nearest = np.zeros(len(cells)), np.zeros(len(cells), np.int64)
+        for a, b in zip(starts, np.append(starts[1:], len(cells)), strict=True):
+            q, s = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
+            if len(q):
+                squares, of = nearest_of_job(cells[q], cells[s], spacing)
+                distance[q], nearest[q] = np.sqrt(squares), carried[s[of]] if value else 0
+        asked = table.column("_asks")
+        out = table.select(names).append_column("distance", pa.array(distance)).append_column("nearest", pa.array(nearest))
+        return out.filter(asked)
+
     boxed = named.join(box, by)
     lines = dealt(boxed, *by, "z").groupBy(*by, "z").applyInPandas(shipped(seeds, plane), f"{key}, z long, y long, _x0 long, _line array<double>, _values array<long>")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema) + ", distance double, nearest long"
     out = dealt(lines, *by, "y").groupBy(*by, "y").cogroup(dealt(queries, *by, "y").groupBy(*by, "y")).applyInPandas(column, schema)
+    out = out.unionByName(in_groups(both.join(small, by, "left_semi"), by, whole, schema))
     return out if value else out.drop("nearest")
 
 

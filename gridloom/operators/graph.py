@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import shipped, written
+from ..cluster import in_groups, written
 from . import kernels as K
-from .decode import dense
 from .neighbors import Offsets, shifted
 
 
@@ -43,15 +42,17 @@ def tiled_components(grid: DataFrame, by: str, mask: str, planes: int, extent: t
     ny, nx = extent
     raster = lambda z, y, x: (z * ny + y) * nx + x
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, at = dense(pdf.assign(one=1), ["one"])
-        parts = K.components(c[0] > 0, connectivity)[0][at]
-        number = raster(pdf["z"], pdf["y"], pdf["x"])
-        return pdf[[by, "z", "y", "x"]].assign(root=number.groupby(parts).transform("min").astype(np.int64))
+    def label(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        cells = np.stack([table.column(c).to_numpy() for c in "zyx"], 1)
+        tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(cells))))
+        parts = K.components_of_cells(tile, cells, connectivity)
+        first = np.full(len(cells), np.iinfo(np.int64).max)
+        np.minimum.at(first, parts, raster(*cells.T))
+        return table.select([by, "z", "y", "x"]).append_column("root", pa.array(first[parts]))
 
     inside = grid.where(mask).select(by, "z", "y", "x", F.expr(f"z div {planes}").alias("tile"))
-    # a tile may lie in several pieces: its dense block spans them all, and they are labelled apart
-    local = written(inside.groupBy(by, "tile").applyInPandas(shipped(grid, label), f"{by} long, z long, y long, x long, root long"))
+    inside = inside.select(*[F.col(c).cast("long") for c in inside.columns])
+    local = written(in_groups(inside, [by, "tile"], label, f"{by} long, z long, y long, x long, root long"))
     across: Offsets = [(1, b, c) for b in (-1, 0, 1) for c in (-1, 0, 1) if 1 + abs(b) + abs(c) <= connectivity]
     top = local.where(F.col("z") % planes == planes - 1)
     low = local.where(F.col("z") % planes == 0).select(by, F.col("z").alias("tz"), F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("root").alias("other"))
