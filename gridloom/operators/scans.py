@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import shipped
+from ..cluster import dealt, shipped, written
 from .decode import dense
 from .ranking import slot_cap
 
@@ -25,10 +25,12 @@ def instance_map(grid: DataFrame, columns: list[str], decode: Callable[[np.ndarr
         c, at = dense(pdf, columns)
         return pdf[["scan", "anatomy", "z", "y", "x"]].assign(piece=decode(c)[at].astype(np.int64))
 
-    pieces = grid.select("scan", "anatomy", "z", "y", "x", *columns).groupBy("scan", "anatomy").applyInPandas(shipped(grid, run), "scan long, anatomy long, z long, y long, x long, piece long").where("piece > 0")
+    regions = dealt(grid.select("scan", "anatomy", "z", "y", "x", *columns), "scan", "anatomy").groupBy("scan", "anatomy")
+    # written, as sizes, slots and owners all read them
+    pieces = written(regions.applyInPandas(shipped(grid, run), "scan long, anatomy long, z long, y long, x long, piece long").where("piece > 0"))
     sizes = pieces.groupBy("scan", "anatomy", "piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     slots = slot_cap(sizes.withColumn("group", F.struct("scan", "anatomy")), "group", "piece", "n", cap).select("group.scan", "group.anatomy", "piece", "slot")
-    owned = pieces.join(slots, ["scan", "anatomy", "piece"]).groupBy("scan", "z", "y", "x").agg(F.min(F.struct("anatomy", "slot")).alias("w"))
+    owned = pieces.join(slots.hint("merge"), ["scan", "anatomy", "piece"]).groupBy("scan", "z", "y", "x").agg(F.min(F.struct("anatomy", "slot")).alias("w"))
     return owned.select("scan", "z", "y", "x", ((F.col("w.anatomy") - 1) * 50 + F.col("w.slot")).alias("id"))
 
 
