@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import shipped, written
+from ..cluster import dealt, shipped, written
 
 UNIT = 1_000_000
 FAR = 1 << 62
@@ -94,10 +94,11 @@ def assign(cells: DataFrame, by: list[str], spacing=(1.0, 1.0, 1.0), connectivit
     offers = written(start.where("seed > 0").select(*key, *CELL, F.lit(0).cast("long").alias("length"), F.col("seed").alias("label")))
     while not offers.isEmpty():
         active = offers.select(*key).distinct()
-        done = written(state.join(active, key, "left_semi").groupBy(*key).cogroup(offers.groupBy(*key)).applyInPandas(shipped(cells, work), schema))
+        done = written(dealt(state.join(active, key, "left_semi"), *key).groupBy(*key).cogroup(dealt(offers, *key).groupBy(*key)).applyInPandas(shipped(cells, work), schema))
         state = written(state.join(active, key, "left_anti").unionByName(done.where("NOT offer").drop("offer")))
-        best = done.where("offer").groupBy(*key, *CELL).agg(F.min(F.struct("length", "label")).alias("o"))
+        best = dealt(done.where("offer"), *key, *CELL).groupBy(*key, *CELL).agg(F.min(F.struct("length", "label")).alias("o"))
         now = state.select(*key, *CELL, F.struct("length", F.when(F.col("label") > 0, F.col("label")).otherwise(F.lit(FAR)).alias("label")).alias("now"))
-        offers = written(best.join(now, [*key, *CELL]).where("o < now").select(*key, *CELL, "o.length", "o.label"))
+        # dealt: a task sorts its share of the cells, not what fills a partition of compressed bytes
+        offers = written(best.join(dealt(now, *key, *CELL).hint("merge"), [*key, *CELL]).where("o < now").select(*key, *CELL, "o.length", "o.label"))
     reached = (F.col("label") > 0) & (F.col("length") <= limit)
     return state.select(*place, F.when(reached, F.col("label")).otherwise(0).cast("long").alias("label"), F.when(reached, F.col("length") / UNIT).alias("distance"))

@@ -106,3 +106,36 @@ def test_flood_takes_the_lowest_and_then_the_earliest(connectivity):
                 n += 1
     got = K.flood(priority, markers, mask, connectivity)
     assert (got == want).all() and got.dtype == np.int32
+
+
+def test_blocks_and_tiles_are_dealt_to_all_partitions(spark):
+    """Few bytes of blocks that take long would else meet in one task."""
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import decode as DE
+    from gridloom.operators import geodesic as G
+    from gridloom.operators import scans as P
+
+    every = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = spark.range(400).selectExpr("id div 4 slab", "id div 4 scan", "1L anatomy", "id % 4 z", "0L y", "0L x", "1.0D v")
+    one = DE.per_block(g, "slab", ["v"], lambda c: c[0].astype(int))
+    assert len({r[0] for r in one.select(F.spark_partition_id()).distinct().collect()}) == every
+    plans, written = [], G.written
+    with pytest.MonkeyPatch.context() as m:
+        for module in (G, P):
+            m.setattr(module, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+        rest = P.instance_map(g, ["v"], lambda c: c[0].astype(int))._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plans[0] and "FlatMapGroupsInPandas" in plans[0] and "InPandas" not in rest  # decoded once
+        G.assign(g.selectExpr("slab", "z", "y", "x", "if(z = 0, 1, 0) seed"), ["slab"], edge=2)
+    rounds = [p for p in plans if "FlatMapCoGroupsInPandas" in p]
+    assert len(rounds) == 2 and all(p.count("REPARTITION_BY_NUM") == 2 for p in rounds)
+
+
+def test_tables_of_candidates_are_not_broadcast(spark):
+    """Only the free ids of an anatomy (200 rows) and the counts of ranges are."""
+    from gridloom.operators import gate as T
+
+    g = spark.range(4000).selectExpr("id div 800 vol", "id % 800 div 16 z", "id % 16 div 4 y", "id % 4 x", "1 + id % 2 base", "1 + id % 800 div 200 proposal", "id * 0.5D ct")
+    found, _ = T.candidates(g, 5)
+    plan = T.with_features(g, found)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") <= 2, plan.count("BroadcastExchange")
