@@ -59,7 +59,7 @@ def candidates(grid: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     source = Window.partitionBy("vol", "source_id")
     totals = grid.where("proposal > 0").groupBy("vol", F.col("proposal").alias("proposal_id")).agg(F.count(F.lit(1)).alias("everywhere"))
     fragments = whole.groupBy("vol", "anatomy").agg(F.count(F.lit(1)).alias("fragments"))
-    joined = whole.join(fragments, ["vol", "anatomy"]).join(per, ["vol", "anatomy", "source_id"], "left").join(totals, ["vol", "proposal_id"], "left")
+    joined = whole.join(fragments.hint("merge"), ["vol", "anatomy"]).join(per.hint("merge"), ["vol", "anatomy", "source_id"], "left").join(totals.hint("merge"), ["vol", "proposal_id"], "left")
     ranked = joined.withColumn("k", F.count("proposal_id").over(source)).withColumn("covered", F.sum("n").over(source)).withColumn("nth", F.row_number().over(source.orderBy("n", "proposal_id")))
     few = ranked.where("k < 2").select("vol", "source_id").distinct().select(F.lit("fewer_than_two").alias("reason"))
     kept = ranked.where("k > 2 OR (k = 2 AND nth = 1)").withColumn("invert", F.col("n") > F.col("t_n") - F.col("n"))
@@ -94,9 +94,9 @@ def with_features(grid: DataFrame, found: DataFrame, spacing=(1.0, 1.0, 1.0), co
     by_name = {n: i for n, i, _, _ in ANATOMIES}
     counted = {k: (F.col("anatomy") == by_name[n]) for k, n in (("is_sacrum", "Sacrum"), ("is_left_hip", "LeftHip"), ("is_right_hip", "RightHip"), ("is_femur", "Femur"))}
     counted |= {"anatomy_v35_fragment_count": F.col("fragments"), "isolated_is_complement": F.col("invert"), "proposal_ids_in_source": F.col("proposals"), "proposal_foreground_coverage": F.col("coverage"), "proposal_label_leakage_fraction": F.col("leakage")}
-    joined = found.join(made, ["vol", "source_id", "proposal_id"])
+    joined = found.join(made.hint("merge"), ["vol", "source_id", "proposal_id"])
     if context is not None:
-        joined = joined.join(context.select("vol", "anatomy", *CONTEXT_FEATURES), ["vol", "anatomy"], "left")
+        joined = joined.join(context.select("vol", "anatomy", *CONTEXT_FEATURES).hint("merge"), ["vol", "anatomy"], "left")
     counted |= {n: F.coalesce(F.col(n), F.lit(0.0)) if context is not None else F.lit(0.0) for n in CONTEXT_FEATURES}
     more = F.create_map(*[x for k, v in counted.items() for x in (F.lit(k), v.cast("double"))])
     return joined.withColumn("features", F.map_concat("features", more)).drop(*CONTEXT_FEATURES)
@@ -127,7 +127,7 @@ def predict(rows: DataFrame, payload: dict) -> DataFrame:
 def select(rows: DataFrame, payload: dict) -> DataFrame:
     """(vol, anatomy, source_id, proposal_id, invert): the best eligible candidate of each source."""
     best = select_splits(rows, payload["policy"], payload["quality_guards"], ["vol", "anatomy", "source_id"])
-    return rows.join(best.select("vol", "anatomy", "source_id", "proposal_id"), ["vol", "anatomy", "source_id", "proposal_id"], "left_semi").select("vol", "anatomy", "source_id", "proposal_id", "invert")
+    return rows.join(best.select("vol", "anatomy", "source_id", "proposal_id").hint("merge"), ["vol", "anatomy", "source_id", "proposal_id"], "left_semi").select("vol", "anatomy", "source_id", "proposal_id", "invert")
 
 
 def apply(grid: DataFrame, selected: DataFrame) -> DataFrame:
@@ -136,10 +136,10 @@ def apply(grid: DataFrame, selected: DataFrame) -> DataFrame:
     ids = spark.range(1, 201).select("id", (F.floor((F.col("id") - 1) / 50) + 1).alias("anatomy"))
     used = grid.where("base > 0").select("vol", F.col("base").alias("id")).distinct()
     volumes = selected.select("vol").distinct()
-    free = volumes.join(F.broadcast(ids)).join(used, ["vol", "id"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("vol", "anatomy").orderBy("id")))  # 200 rows a volume
-    want = selected.withColumn("k", F.row_number().over(Window.partitionBy("vol", "anatomy").orderBy("source_id"))).join(free, ["vol", "anatomy", "k"]).select("vol", F.col("source_id").alias("base"), "proposal_id", "invert", F.col("id").alias("new_id"))
+    free = volumes.join(F.broadcast(ids)).join(used.hint("merge"), ["vol", "id"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("vol", "anatomy").orderBy("id")))  # 200 rows a volume
+    want = selected.withColumn("k", F.row_number().over(Window.partitionBy("vol", "anatomy").orderBy("source_id"))).join(free.hint("merge"), ["vol", "anatomy", "k"]).select("vol", F.col("source_id").alias("base"), "proposal_id", "invert", F.col("id").alias("new_id"))
     hit = (F.col("proposal") == F.col("proposal_id")) != F.col("invert")
-    return grid.join(want, ["vol", "base"], "left").withColumn("base", F.when(F.col("new_id").isNotNull() & hit, F.col("new_id")).otherwise(F.col("base"))).drop("proposal_id", "invert", "new_id")
+    return grid.join(want.hint("merge"), ["vol", "base"], "left").withColumn("base", F.when(F.col("new_id").isNotNull() & hit, F.col("new_id")).otherwise(F.col("base"))).drop("proposal_id", "invert", "new_id")
 
 
 def run_gate(grid: DataFrame, payload: dict, least: int, spacing=(1.0, 1.0, 1.0), context: DataFrame | None = None) -> DataFrame:

@@ -12,23 +12,25 @@ from . import kernels as K
 from .neighbors import Offsets, shifted
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, merge: bool = False) -> DataFrame:
     """edges (a, b) of any ordered type to (node, root): the least node reachable, of nodes that aren't their own root.
 
     Every round hangs each node's larger neighbours on its least one, then its smaller ones; the rounds
     needed grow about with the logarithm of the longest path, and each is written before the next. A node of very many
     neighbours is no task of its own: its minimum comes from partial sums, and the joins with minima are splittable.
+    merge: nothing is broadcast. Files of numbers are many times smaller than their rows, which the driver would gather.
     """
+    side = lambda df: df.hint("merge") if merge else df
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # minima are written before they are joined: a join of two read tables can be broadcast, or its skewed keys split
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        hung = written(both.where("a < b").join(least, "a").select(F.col("m").alias("a"), "b").distinct())
+        hung = written(both.where("a < b").join(side(least), "a").select(F.col("m").alias("a"), "b").distinct())
         low = written(hung.groupBy("b").agg(F.min("a").alias("m")))
-        nxt = written(hung.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct())
+        nxt = written(hung.join(side(low), "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct())
         n, leaves = nxt.agg(F.count(F.lit(1)), F.count_distinct("b")).first()
-        if n == leaves and nxt.join(nxt.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        if n == leaves and nxt.join(side(nxt.select(F.col("b").alias("a"))), "a", "left_semi").isEmpty():
             return nxt.select(F.col("b").alias("node"), F.col("a").alias("root"))
         now = nxt
 
@@ -57,6 +59,6 @@ def tiled_components(grid: DataFrame, by: str, mask: str, planes: int, extent: t
     top = local.where(F.col("z") % planes == planes - 1)
     low = local.where(F.col("z") % planes == 0).select(by, F.col("z").alias("tz"), F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("root").alias("other"))
     node = lambda c: F.struct(F.col(by).alias("vol"), F.col(c).alias("root"))
-    joins = components(shifted(top, across).join(low, [by, "tz", "ty", "tx"]).select(node("root").alias("a"), node("other").alias("b")))
+    joins = components(shifted(top, across).join(low.hint("merge"), [by, "tz", "ty", "tx"]).select(node("root").alias("a"), node("other").alias("b")), merge=True)
     to = joins.select(F.col("node.vol").alias(by), F.col("node.root").alias("root"), F.col("root.root").alias("first"))
-    return local.join(to, [by, "root"], "left").select(by, "z", "y", "x", F.coalesce("first", "root").alias("root"))
+    return local.join(to.hint("merge"), [by, "root"], "left").select(by, "z", "y", "x", F.coalesce("first", "root").alias("root"))

@@ -2,6 +2,7 @@
 
 Moments of both sides come from one aggregate by (volume, source, proposal), whatever the number of candidates. Components,
 surfaces and the interface need the cells of each candidate's sides, which stand as rows: (candidate, piece or not, z, y, x).
+Candidates and sources grow with the volumes, so no table of them is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -35,27 +36,27 @@ def shape_features(grid: DataFrame, found: DataFrame, spacing=(1.0, 1.0, 1.0), p
     """
     named = written(ranked(found.select(*CANDIDATE, "invert"), "cand", *CANDIDATE))
     sources = written(ranked(named.select(*SOURCE).distinct(), "src", *SOURCE))
-    held = grid.where("base > 0").withColumnRenamed("base", "source_id").join(sources, SOURCE)
+    held = grid.where("base > 0").withColumnRenamed("base", "source_id").join(sources.hint("merge"), SOURCE)
     ct = F.col("ct").cast("double")
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(a).alias(f"s_{a}") for a in AXES], F.sum(ct).alias("v"), F.sum(ct * ct).alias("vv")]
     names = ["n", *[f"s_{a}" for a in AXES], "v", "vv"]
     per = written(held.groupBy(*SOURCE, "src", F.col("proposal").alias("proposal_id")).agg(*sums, *[g(a).alias(f"{g.__name__}_{a}") for a in AXES for g in (F.min, F.max)]))
     whole = per.groupBy(*SOURCE, "src").agg(*[F.sum(c).alias(f"t_{c}") for c in names], *[g(f"{g.__name__}_{a}").alias(f"{g.__name__}_{a}") for a in AXES for g in (F.min, F.max)])
-    two = named.join(per.select(*CANDIDATE, *names), CANDIDATE).join(whole, SOURCE)
+    two = named.join(per.select(*CANDIDATE, *names).hint("merge"), CANDIDATE).join(whole.hint("merge"), SOURCE)
     own = lambda c: F.when(F.col("invert"), F.col(f"t_{c}") - F.col(c)).otherwise(F.col(c))
     two = two.withColumns({f"p_{c}": own(c) for c in names}).withColumns({f"r_{c}": F.col(f"t_{c}") - F.col(f"p_{c}") for c in names})
 
-    rows = held.join(named, SOURCE).withColumn("side", F.col("cand") * 2 + ((F.col("proposal") == F.col("proposal_id")) != F.col("invert")).cast("long"))
+    rows = held.join(named.hint("merge"), SOURCE).withColumn("side", F.col("cand") * 2 + ((F.col("proposal") == F.col("proposal_id")) != F.col("invert")).cast("long"))
     cells = written(rows.select("cand", "side", "z", "y", "x"))
     extent = tuple(grid.agg(F.coalesce(F.max("y"), F.lit(0)) + 1, F.coalesce(F.max("x"), F.lit(0)) + 1).first())
     inner = erode(cells, all26(), ["side"]).groupBy("side").agg(F.count(F.lit(1)).alias("inner"))
-    sides = _parts(cells, "side", extent, planes).join(inner, "side", "left").select(F.expr("side div 2").alias("cand"), (F.col("side") % 2).alias("of"), "parts", F.coalesce("inner", F.lit(0)).alias("inner"))
+    sides = _parts(cells, "side", extent, planes).join(inner.hint("merge"), "side", "left").select(F.expr("side div 2").alias("cand"), (F.col("side") % 2).alias("of"), "parts", F.coalesce("inner", F.lit(0)).alias("inner"))
     by_side = sides.groupBy("cand").agg(*[F.max(F.when(F.col("of") == k, F.col(c))).alias(f"{p}_{c}") for k, p in ((1, "p"), (0, "r")) for c in ("parts", "inner")])
     whole_parts = _parts(held, "src", extent, planes).withColumnRenamed("parts", "t_parts")
     beside = shifted(cells.where("side % 2 = 1").select("cand", "z", "y", "x"), all26()).select("cand", F.col("tz").alias("z"), F.col("ty").alias("y"), F.col("tx").alias("x")).distinct()
-    meet = cells.where("side % 2 = 0").join(beside, ["cand", "z", "y", "x"], "left_semi").groupBy("cand").agg(F.count(F.lit(1)).alias("meet"))
+    meet = cells.where("side % 2 = 0").join(beside.hint("merge"), ["cand", "z", "y", "x"], "left_semi").groupBy("cand").agg(F.count(F.lit(1)).alias("meet"))
 
-    out = two.join(by_side, "cand", "left").join(whole_parts, "src", "left").join(meet, "cand", "left").na.fill(0, ["meet", "p_parts", "r_parts", "t_parts", "p_inner", "r_inner"])
+    out = two.join(by_side.hint("merge"), "cand", "left").join(whole_parts.hint("merge"), "src", "left").join(meet.hint("merge"), "cand", "left").na.fill(0, ["meet", "p_parts", "r_parts", "t_parts", "p_inner", "r_inner"])
     voxel, least = math.prod(spacing), F.lit(1e-6)
     n = {p: F.col(f"{p}_n").cast("double") for p in "prt"}
     one = {p: F.greatest(n[p], F.lit(1.0)) for p in "prt"}
